@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import secrets
+from corpusloom.llm import pii, secrets
 
-_MODULES = (secrets,)
+_MODULES = (secrets, pii)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
