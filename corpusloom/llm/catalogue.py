@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, pii, secrets
+from corpusloom.llm import bpe, packing, pii, secrets
 
-_MODULES = (bpe, secrets, pii)
+_MODULES = (bpe, secrets, pii, packing)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
