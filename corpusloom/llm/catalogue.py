@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, html_text, packing, pii, quality, rules, secrets
+from corpusloom.llm import bpe, html_text, near_dups, packing, pii, quality, rules, secrets
 
-_MODULES = (html_text, bpe, secrets, pii, packing, rules, quality)
+_MODULES = (near_dups, html_text, bpe, secrets, pii, packing, rules, quality)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

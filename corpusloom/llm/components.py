@@ -1,0 +1,33 @@
+"""Connected components of a table of links, without gathering them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.sources.session import materialise
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(v, label) of each node of a table of links (v1, v2); label is the least node reached.
+
+    Each round gives a node the least label among itself and its neighbours,
+    then the label of its label, so that long chains shorten to half.  Sums by
+    node are partially aggregated and joins are plain equi-joins, which adaptive
+    execution splits where one node has very many links.  Every round is
+    written to the shared folder, so lineage stays short.
+    """
+    both = links.select("v1", "v2").union(links.select(F.col("v2"), F.col("v1"))).where("v1 <> v2").distinct()
+    edges = materialise(both, "edges")
+    labels = materialise(edges.groupBy(F.col("v1").alias("v")).agg(F.min("v2").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
+    while True:
+        heard = (
+            edges.join(labels.withColumnRenamed("v", "v2"), "v2").groupBy(F.col("v1").alias("v")).agg(F.min("label").alias("near"))
+        )
+        closer = labels.join(heard, "v").select("v", "label", F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
+        stepped = closer.join(jump, "next").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("changed"))
+        stepped = materialise(stepped, "labels")
+        labels = stepped.select("v", "label")
+        if stepped.where("changed").isEmpty():
+            return labels
