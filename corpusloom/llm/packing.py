@@ -170,7 +170,8 @@ def pack(
     cut = df.select(
         df[id_col].cast("long").alias("doc_id"), token_pieces(text_of(df, text_col), path, capacity).alias("p")
     )
-    pieces = materialise(cut.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*"), "pieces")
+    # Every document has a piece.  For the outer form no filter on the array is inferred, which would tokenise twice.
+    pieces = materialise(cut.select("doc_id", F.explode_outer("p").alias("p")).select("doc_id", "p.*"), "pieces")
     shards = max(1, -(-pieces.count() // SHARD_PIECES))
     dealt = pieces.withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(shards)).cast("long")
