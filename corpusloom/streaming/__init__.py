@@ -1 +1,30 @@
-"""Part of the engine; see the modules."""
+"""Row-local checks and cleaning over streams; both are stateless."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.config import CheckerConfig
+from corpusloom.operators import get_all_checkers
+from corpusloom.operators.cleaner import TextCleaner
+from corpusloom.operators.checks import SchemaChecker
+from corpusloom.plans.runner import annotate_stream
+from corpusloom.sources.session import ship_package
+
+#: Checks that need other rows, or no rows at all.
+_NOT_LOCAL = ("schema", "exact_duplicate", "near_duplicate")
+
+
+def check_stream(stream: DataFrame, text_field: str = "text", config: CheckerConfig | None = None) -> DataFrame:
+    """``stream`` with a column ``<check>.<measure>`` for each row-local measure."""
+    config = config or CheckerConfig()
+    skip = {*_NOT_LOCAL, *config.skip_checkers}
+    checks = [c(config) for n, c in get_all_checkers().items() if n not in skip and not issubclass(c, SchemaChecker)]
+    return annotate_stream(stream, text_field, [c for c in checks if not c.skipped()])
+
+
+def clean_stream(stream: DataFrame, text_field: str = "text") -> DataFrame:
+    """``stream`` with its texts cleaned."""
+    ship_package(stream.sparkSession)
+    return stream.withColumn(text_field, TextCleaner().clean(F.col(text_field)))
