@@ -38,13 +38,24 @@ def band_shape(threshold: float, num_perm: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signature(shingles: Column, num_perm: int) -> Column:
-    """Column array<bigint> of a column of word runs; empty for none."""
+def word_runs(text: str, k: int = 5) -> set[str]:
+    """Distinct runs of ``k`` lower-case words; a shorter text is one run."""
+    words = text.lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
-    def run(sets: pa.Array) -> pa.Array:
+
+def signature(text: Column, num_perm: int) -> Column:
+    """Column array<bigint> of a text's word runs; empty where it has none.
+
+    It is marked as not deterministic so that it is never copied into a lambda
+    or computed twice.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
         a, c = (np.array(x, dtype=np.int64)[:, None] for x in family(num_perm))
         out = []
-        for runs in sets.to_pylist():
+        for text in texts.to_pylist():
+            runs = word_runs(text) if text else ()
             if not runs:
                 out.append([])
                 continue
@@ -55,7 +66,7 @@ def signature(shingles: Column, num_perm: int) -> Column:
             out.append(least)
         return pa.array(out, type=pa.list_(pa.int64()))
 
-    return F.arrow_udf(run, "array<bigint>")(shingles)
+    return F.arrow_udf(run, "array<bigint>").asNondeterministic()(text)
 
 
 def band_keys(sig: Column, bands: int, rows: int) -> Column:

@@ -187,7 +187,7 @@ class NearDuplicateChecker(_DuplicateChecker):
         """(row_id, band, key): the band keys of every row that has words."""
         bands, per = minhash.band_shape(self.config.minhash_threshold, self.config.minhash_num_perm)
         signed = rows.select(
-            "row_id", minhash.signature(T.shingles(F.col("text")), self.config.minhash_num_perm).alias("signature")
+            "row_id", minhash.signature(F.col("text"), self.config.minhash_num_perm).alias("signature")
         ).where(F.size("signature") > 0)
         keys = minhash.band_keys(F.col("signature"), bands, per)
         return signed.select("row_id", F.posexplode(keys).alias("band", "key"))

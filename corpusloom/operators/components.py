@@ -7,27 +7,36 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.session import materialise
 
+#: Rows of a written table for each of its files.
+ROWS_A_FILE = 100_000
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(v, label) of each node of a table of links (v1, v2); label is the least node reached.
 
-    Each round gives a node the least label among itself and its neighbours,
-    then the label of its label, so that long chains shorten to half.  Sums by
-    node are partially aggregated and joins are plain equi-joins, which adaptive
-    execution splits where one node has very many links.  Every round is
+    Each round gives a node the least label among itself and its neighbours: one
+    join and one partially aggregated sum, which adaptive execution splits where
+    a node has very many links.  From the third round on, a node also takes the
+    label of its label, so that long chains shorten to half.  Every round is
     written to the shared folder, so lineage stays short.
     """
     both = links.select("v1", "v2").union(links.select(F.col("v2"), F.col("v1"))).where("v1 <> v2").distinct()
     edges = materialise(both, "edges")
-    labels = materialise(edges.groupBy(F.col("v1").alias("v")).agg(F.min("v2").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
+    files = max(1, -(-edges.count() // ROWS_A_FILE))
+    first = edges.groupBy(F.col("v1").alias("v")).agg(F.min("v2").alias("near"))
+    labels = materialise(first.select("v", F.least("v", "near").alias("label")).coalesce(files), "labels")
+    turn = 0
     while True:
-        heard = (
-            edges.join(labels.withColumnRenamed("v", "v2"), "v2").groupBy(F.col("v1").alias("v")).agg(F.min("label").alias("near"))
-        )
-        closer = labels.join(heard, "v").select("v", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("v").alias("next"), F.col("label").alias("far"))
-        stepped = closer.join(jump, "next").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("changed"))
-        stepped = materialise(stepped, "labels")
+        turn += 1
+        heard = edges.join(labels.withColumnRenamed("v", "v2"), "v2").select(F.col("v1").alias("v"), "label")
+        said = heard.withColumn("own", F.lit(None).cast(labels.schema["label"].dataType))
+        if turn > 2:
+            jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
+            far = labels.join(jump, "label").select("v", F.col("far").alias("label"))
+            said = said.union(far.withColumn("own", F.lit(None).cast(labels.schema["label"].dataType)))
+        said = said.union(labels.select("v", "label", F.col("label").alias("own")))
+        stepped = said.groupBy("v").agg(F.min("label").alias("label"), F.min("own").alias("own"))
+        stepped = materialise(stepped.coalesce(files), "labels")
         labels = stepped.select("v", "label")
-        if stepped.where("changed").isEmpty():
+        if stepped.where("label <> own").isEmpty():
             return labels

@@ -7,6 +7,7 @@ language guesses) there is none, and tests hold the query to given cases.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,7 +176,7 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
-    s = minhash.signature(T.shingles(F.col("text")), 128)
+    s = minhash.signature(F.col("text"), 128)
     return _docs(spark, d).select("doc_id", F.array_join(s.cast("array<string>"), ",").alias("signature"))
 
 
@@ -312,7 +313,20 @@ _ALL = (
     language_detect, token_length_candidates, control_char_clean, whitespace_clean, clean_stats, strip_html, fix_text,
     mojibake_flags, row_filter_stats, row_filter_rows, check_summary, issue_samples, fix_before_after,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _shipped(query):  # noqa: ANN001, ANN202
+    """The query, run once the executors have the package: functions remember what was shipped when they were made."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, d)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in _ALL}
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------
 
