@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from corpusloom.llm import bpe, html_text, near_dups, packing, pii, quality, rules, secrets, substrings
+from corpusloom.llm import bpe, graph_search, html_text, near_dups, packing, pii, quality, rules, secrets, substrings
 
-_MODULES = (near_dups, substrings, html_text, bpe, secrets, pii, packing, rules, quality)
+_MODULES = (near_dups, substrings, html_text, bpe, secrets, pii, packing, rules, quality, graph_search)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
