@@ -312,14 +312,14 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         carried.mapInArrow(_context_rows, "cid binary, anchor long, bytes binary, v string, first long, n long"), "contexts"
     )
     given = contexts.where("bytes is not null")
-    per_anchor = given.groupBy("anchor").agg(F.sum("n").alias("size"))
+    # Where an anchor has one context, all its windows are equal to each other and to no others: nothing to sort.
+    per_anchor = given.groupBy("anchor").agg(F.sum("n").alias("size"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    per_anchor = per_anchor.where("lo <> hi").select("anchor", "size")
     total = per_anchor.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     # Anchors whose contexts overfill a shard are dealt over several, each pair of which is merged.
-    blocks = per_anchor.where(F.col("size") > SHARD_BYTES).select(
-        "anchor", F.ceil(F.col("size") / SHARD_BYTES).cast("int").alias("blocks")
-    )
-    dealt = given.select("anchor", "cid", "bytes").join(blocks, "anchor", "left")
+    many_blocks = F.when(F.col("size") > SHARD_BYTES, F.ceil(F.col("size") / SHARD_BYTES).cast("int"))
+    dealt = given.select("anchor", "cid", "bytes").join(per_anchor.select("anchor", many_blocks.alias("blocks")), "anchor")
     one = dealt.where("blocks is null").select(
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string").alias("shard"),
         F.lit(0).alias("side"), "cid", "bytes", F.lit(True).alias("inside"),
