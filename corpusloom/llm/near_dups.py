@@ -17,8 +17,14 @@ its member that shares buckets with most others (the original among copies);
 every other member is paired with it: a linear number of pairs.  Then, for
 buckets that still hold several components: in a bucket of at most
 ``SMALL_BUCKET`` members all pairs across components are tried, in a larger one
-a new centre against the members of other components, round after round as
-long as links are found.  Nothing is capped: a member is never left out.
+a new centre against the members of other components, as long as a tenth of
+such pairs are links.  Last, in the large buckets left, every pair across
+components is excluded by a bound or tried: members are dealt by length band
+and salt into blocks of about ``BLOCK``, each two blocks meet in one task, and
+pairs whose parity signatures (``PARITY_BITS`` bits, one toggled by each k-mer)
+differ in more bits than alike texts can have k-mers unshared are dropped.
+Nothing is capped: no pair of a bucket is left out.  Rows of the last step grow
+with the square of a bucket's components, divided by ``BLOCK``.
 
 Shuffles carry keys; whole texts move once (those in a shared bucket stay), then
 only with pairs.  Hot keys only meet partial aggregates and plain equi-joins,
@@ -37,7 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, text_of
@@ -50,6 +56,9 @@ TABLES = 16
 PICKS = 3
 THRESHOLD = 0.8
 SMALL_BUCKET = 32
+BLOCK = 1024
+PARITY_BITS = 4096
+
 
 def _stable_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words, the same in every process."""
@@ -81,16 +90,21 @@ def _seeds(tables: int) -> np.ndarray:
     return mixed(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
 
 
+def occurrences(grams: np.ndarray) -> np.ndarray:
+    """The k-mers labelled with their occurrence number."""
+    _, where, count = np.unique(grams, return_inverse=True, return_counts=True)
+    if not len(grams) or count.max() == 1:
+        return grams
+    order = np.argsort(where, kind="stable")
+    first = np.cumsum(count) - count
+    label = np.empty(len(grams), dtype=np.uint64)
+    label[order] = (np.arange(len(grams)) - np.repeat(first, count)).astype(np.uint64)
+    return mixed(grams + label * np.uint64(0xA0761D6478BD642F))
+
+
 def order_minhash(grams: np.ndarray, tables: int = TABLES, picks: int = PICKS) -> np.ndarray:
     """One key for each table: the least occurrence-labelled k-mers, in text order."""
-    _, where, count = np.unique(grams, return_inverse=True, return_counts=True)
-    labelled = grams
-    if count.max() > 1:
-        order = np.argsort(where, kind="stable")
-        first = np.cumsum(count) - count
-        label = np.empty(len(grams), dtype=np.uint64)
-        label[order] = (np.arange(len(grams)) - np.repeat(first, count)).astype(np.uint64)
-        labelled = mixed(grams + label * np.uint64(0xA0761D6478BD642F))
+    labelled = occurrences(grams)
     picks = min(picks, len(grams))
     key = np.full(tables, picks, dtype=np.uint64)
     seeds = _seeds(tables)
@@ -172,6 +186,71 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], names=["v1", "v2"])
 
 
+def parity(text: str) -> bytes:
+    """A text's signature: each labelled k-mer toggles one of ``PARITY_BITS`` bits."""
+    grams = occurrences(gram_hashes(_stable_hashes(words_of(text))))
+    odd = np.bincount((grams % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([parity(t) for t in batch.column(1).to_pylist()], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["v", "parity"])
+
+
+_BLOCKS = ["t", "key", "b1", "s1", "b2", "s2"]
+
+
+def _possible(group: pa.Table, threshold: float) -> pa.Table:
+    """Pairs across components of two blocks (or within one) that no bound excludes."""
+    v, n = group["v"].to_pylist(), group["n"].to_numpy().astype(np.float64)
+    label = np.unique(group["label"].to_pylist(), return_inverse=True)[1]
+    bits = np.frombuffer(b"".join(group["parity"].to_pylist()), dtype=np.uint64).reshape(len(v), -1)
+    b1, s1, b2, s2 = (group[c][0].as_py() for c in _BLOCKS[2:])
+    one = (group["band"].to_numpy() == b1) & (group["salt"].to_numpy() == s1)
+    within = (b1, s1) == (b2, s2)
+    right = np.flatnonzero(one if within else ~one)
+    out: list[tuple[str, str]] = []
+    for i in np.flatnonzero(one).tolist():
+        js = right[right > i] if within else right
+        js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
+        # Each bit that differs stands for at least one k-mer that the two texts do not share.
+        unshared = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        js = js[unshared <= (n[js] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]
+        out += [(v[i], v[j]) for j in js.tolist()]
+    return pa.table([pa.array(c, type=pa.string()) for c in (zip(*out) if out else ([], []))], names=["v1", "v2"])
+
+
+def _all_across(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (v1, v2) across components of large buckets, all but those that surely are not alike."""
+    signed = texts.join(large.select("v").distinct(), "v", "left_semi").select("v", "text")
+    signed = materialise(signed.mapInArrow(_parities, "v string, parity binary"), "parities")
+    # Texts whose bands differ by two or more differ too much in length.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1 / threshold) + 1e-9))
+    rows = large.select("t", "key", "v", "n", "label", band.alias("band"))
+    counts = rows.groupBy("t", "key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    above = counts.select("t", "key", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_above"))
+    below = counts.select("t", "key", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_below"))
+    counts = counts.join(above, ["t", "key", "band"], "left").join(below, ["t", "key", "band"], "left")
+    rows = rows.join(counts, ["t", "key", "band"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
+
+    def blocks(salts: str, b1: Column, s1, b2: Column, s2) -> Column:
+        """The pairs of blocks of a row with each block of a band."""
+        each = F.when(F.col(salts) > 0, F.sequence(F.lit(0).cast("long"), F.col(salts) - 1))
+        each = F.coalesce(each, F.array().cast("array<bigint>"))
+        return F.transform(each, lambda x: F.struct(b1.alias("b1"), s1(x).alias("s1"), b2.alias("b2"), s2(x).alias("s2")))
+
+    own, up, down, salt = F.col("band"), F.col("band") + 1, F.col("band") - 1, F.col("salt")
+    met = F.concat(
+        blocks("salts", own, lambda x: F.least(x, salt), own, lambda x: F.greatest(x, salt)),
+        blocks("salts_above", own, lambda x: salt, up, lambda x: x),
+        blocks("salts_below", down, lambda x: x, own, lambda x: salt),
+    )
+    dealt = rows.withColumn("met", F.explode(met)).select("t", "key", "met.*", "band", "salt", "v", "n", "label")
+    return dealt.join(signed, "v").groupBy(*_BLOCKS).applyInArrow(lambda g: _possible(g, threshold), "v1 string, v2 string")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (v1, v2) whose texts are alike."""
     one = texts.select(F.col("v").alias("v1"), F.col("text").alias("x"))
@@ -217,7 +296,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     tried = materialise(pairs, "pairs")
     links = _linked(tried, texts, threshold)
     labels = connected_components(links)
-    turn = 0
+    turn, last = 0, False
     while True:
         turn += 1
         member = shared.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
@@ -227,20 +306,27 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
             break
         small, large = member.where(F.col("size") <= SMALL_BUCKET), member.where(F.col("size") > SMALL_BUCKET)
         left = small.select(*by_bucket, F.col("v").alias("v1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-        new_centre = large.groupBy(by_bucket).agg(F.max(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n", "label")).alias("c"))
-        centres = new_centre.select(*by_bucket, F.col("c.v").alias("v1"), F.col("c.n").alias("n1"), F.col("c.label").alias("l1"))
         right = member.select(*by_bucket, F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-        across = left.union(centres).join(right, by_bucket).where(fits & (F.col("l1") != F.col("l2")))
+        if not last:
+            new_centre = large.groupBy(by_bucket).agg(F.max(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n", "label")).alias("c"))
+            left = left.union(
+                new_centre.select(*by_bucket, F.col("c.v").alias("v1"), F.col("c.n").alias("n1"), F.col("c.label").alias("l1"))
+            )
+        across = left.join(right, by_bucket).where(fits & (F.col("l1") != F.col("l2"))).select("v1", "v2")
+        if last:
+            across = across.union(_all_across(large, texts, threshold))
         ordered = across.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2")).distinct()
         done = tried.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"))
         pairs = materialise(ordered.join(done, ["v1", "v2"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        found = _linked(pairs, texts, threshold)
-        if found.isEmpty():
+        tries = pairs.count()
+        found = _linked(pairs, texts, threshold) if tries else links.limit(0)
+        links_found = found.count()
+        if links_found:
+            links = links.union(found)
+            labels = connected_components(links)
+        if last:  # every pair across components has been tried or excluded
             break
-        tried, links = tried.union(pairs), links.union(found)
-        labels = connected_components(links)
+        tried, last = tried.union(pairs), 10 * links_found <= tries
     labelled = sketch.select("id", "v").join(labels, "v", "left")
     return labelled.select("id", "v", F.coalesce("label", "v").alias("class_key"))
 

@@ -109,3 +109,33 @@ def test_sketch_keeps_order():
     same = (nd.order_minhash(a) == nd.order_minhash(a.copy())).mean()
     turned = (nd.order_minhash(a) == nd.order_minhash(a[::-1].copy())).mean()
     assert same == 1 and turned < 0.3
+
+
+def test_pairs_among_many_documents_of_one_template(spark):
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(204)]
+    rows, twins = [], {}
+    for i in range(1000):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(28)]
+        if i >= 900:  # shares five words with one other document: 205 of 251 grams, other pairs 200 of 256
+            twins[i] = i - 900
+            own[:5] = rows[i - 900][1].split()[204:209]
+        rows.append((i, " ".join(template + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()}
+    assert got == {i: twins.get(i, i) for i in range(1000)}
+
+
+def test_bound_never_excludes_a_link():
+    import numpy as np
+
+    rng = random.Random(9)
+    for n in (6, 40, 300, 9000):
+        base = [f"w{rng.randrange(n // 2)}" for _ in range(n)]
+        for edits in (1, n // 60, n // 45, n // 20):
+            w = base[:]
+            for _ in range(edits):
+                w[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            if nd.similarity(" ".join(base), " ".join(w)) >= 0.8:
+                x, y = (np.frombuffer(nd.parity(" ".join(t)), dtype=np.uint8) for t in (base, w))
+                assert np.bitwise_count(x ^ y).sum() <= (2 * n - 8) * 0.2 / 1.8 + 1e-6
