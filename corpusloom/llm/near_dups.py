@@ -91,7 +91,7 @@ def _seeds(tables: int) -> np.ndarray:
 
 
 def occurrences(grams: np.ndarray) -> np.ndarray:
-    """The k-mers labelled with their occurrence number."""
+    """The k-mers labelled with their occurrence number; a first occurrence keeps its hash."""
     _, where, count = np.unique(grams, return_inverse=True, return_counts=True)
     if not len(grams) or count.max() == 1:
         return grams
@@ -99,7 +99,7 @@ def occurrences(grams: np.ndarray) -> np.ndarray:
     first = np.cumsum(count) - count
     label = np.empty(len(grams), dtype=np.uint64)
     label[order] = (np.arange(len(grams)) - np.repeat(first, count)).astype(np.uint64)
-    return mixed(grams + label * np.uint64(0xA0761D6478BD642F))
+    return np.where(label == 0, grams, mixed(grams + label * np.uint64(0xA0761D6478BD642F)))
 
 
 def order_minhash(grams: np.ndarray, tables: int = TABLES, picks: int = PICKS) -> np.ndarray:

@@ -139,3 +139,14 @@ def test_bound_never_excludes_a_link():
             if nd.similarity(" ".join(base), " ".join(w)) >= 0.8:
                 x, y = (np.frombuffer(nd.parity(" ".join(t)), dtype=np.uint8) for t in (base, w))
                 assert np.bitwise_count(x ^ y).sum() <= (2 * n - 8) * 0.2 / 1.8 + 1e-6
+
+
+def test_sketch_of_a_text_and_its_copy_with_a_doubled_sentence(spark):
+    rng = random.Random(2)
+    rows = []
+    for f in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join(words[:40] + words[28:40] + words[40:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(nd.similarity(rows[2 * f][1], rows[2 * f + 1][1]) >= 0.8 for f in range(10))
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {i: i - i % 2 for i in range(20)}
