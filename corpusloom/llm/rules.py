@@ -1,17 +1,16 @@
 """Quality rules: repetition and size rules, and n-gram perplexity bands.
 
-Counting.  Texts become symbols of a fixed alphabet of 64, and Spark counts all
-their 4-grams, for each language, over the whole corpus: a map step counts
-within a task, then a partially aggregated ``groupBy`` adds up.  What is
-gathered grows with the input, one set of distinct n-grams for each task.
+Counting.  A text's symbols are its UTF-16 code units, so a 4-gram is a 64-bit
+number, and Spark counts all 4-grams, for each language, over the whole corpus:
+a map step counts within a task, then a partially aggregated ``groupBy`` adds up.
 
 Model.  An interpolated modified Kneser-Ney model for each language, with three
 discounts for each order and continuation counts below the highest.  A
-language's table is bounded by the alphabet (64**4 n-grams) whatever the corpus.
-All tables go into hash slots, a mix of the n-gram's number; n-grams that share
-a slot share the mean.  So the model is two sorted arrays of at most
-``SLOTS`` entries (12 bytes each, 50 MB), which is the proven bound of what is
-gathered and broadcast.  It is read by binary search.
+language's model is made in one task.  Entries are kept by a 64-bit key, a
+one-to-one mix of the n-gram within a language and order, in two arrays sorted
+by key.  They grow with the corpus, so they are files, written by the driver
+``SHARD`` entries at a time, sent to each executor's disk, mapped into memory
+there and read by binary search.
 
 Bands.  From the log-perplexities of all documents that pass the base rules,
 each language gets a lower and an upper bound: the median and ``WIDTH`` times
@@ -25,25 +24,31 @@ their own result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, text_of
+from corpusloom.llm.hashing import mixed
 from corpusloom.sources.session import materialise, ship_package
 
 ORDER = 4
-SLOT_BITS = 22
-#: Hash slots of the model.
-SLOTS = 1 << SLOT_BITS
-#: Languages are told apart by their hash modulo this in the model; bands use the language itself.
-MODEL_LANGUAGES = 64
+#: Bits of a symbol in the query's model; the functions also take the small alphabet's 6.
+BITS = 16
+#: Entries of the model that the driver holds at once.
+SHARD = 1 << 22
 WIDTH = 6.0
 LEAST_SPREAD = 0.02
 _SYMBOLS = "#*$%&|<>"
@@ -77,8 +82,10 @@ def _alphabet() -> np.ndarray:
 _SYMBOL_OF = _alphabet()
 
 
-def symbols(text: str) -> np.ndarray:
-    """Symbols of a text, after three that stand for its start."""
+def symbols(text: str, bits: int = 6) -> np.ndarray:
+    """Symbols of a text, after three that stand for its start: UTF-16 code units, or of the small alphabet."""
+    if bits == 16:
+        return np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-16-le", "surrogatepass"), dtype="<u2")
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     out = np.empty(len(points) + ORDER - 1, dtype=np.uint8)
     out[: ORDER - 1] = 29
@@ -87,11 +94,12 @@ def symbols(text: str) -> np.ndarray:
     return out
 
 
-def grams(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """4-grams of symbols as 24-bit numbers, some at a time."""
+def grams(codes: np.ndarray, bits: int = 6) -> Iterator[np.ndarray]:
+    """4-grams of symbols as numbers of four times ``bits`` bits, some at a time."""
+    b = np.uint64(bits)
     for at in range(0, len(codes) - ORDER + 1, STEP):
-        s = codes[at : at + STEP + ORDER - 1].astype(np.int32)
-        yield ((s[:-3] * 64 + s[1:-2]) * 64 + s[2:-1]) * 64 + s[3:]
+        s = codes[at : at + STEP + ORDER - 1].astype(np.uint64)
+        yield ((s[:-3] << b | s[1:-2]) << b | s[2:-1]) << b | s[3:]
 
 
 def _batches(texts: list[str], size: int = STEP) -> Iterator[tuple[int, int]]:
@@ -106,7 +114,7 @@ def _batches(texts: list[str], size: int = STEP) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_grams(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Counts of (language, 4-gram) in a task."""
     parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -120,7 +128,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _batches(texts):
             codes: dict[int, list[np.ndarray]] = {}
             for i in range(a, b):
-                codes.setdefault(int(model[i]), []).extend(grams(symbols(texts[i])))
+                codes.setdefault(int(model[i]), []).extend(grams(symbols(texts[i], bits), bits))
             for m, found in codes.items():
                 if not found:  # empty texts only
                     continue
@@ -132,14 +140,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(g), 100_000):
             x, n = g[at : at + 100_000], c[at : at + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(x), m, dtype=np.int32)), pa.array(x.astype(np.int64)), pa.array(n)],
+                [pa.array(np.full(len(x), m, dtype=np.int64)), pa.array(x.view(np.int64)), pa.array(n)],
                 names=["model", "gram", "n"],
             )
 
 
-def count_grams(df: DataFrame) -> DataFrame:
+def count_grams(df: DataFrame, bits: int = 6) -> DataFrame:
     """(model, gram, n) of a table of (text, model)."""
-    got = df.select("text", "model").mapInArrow(_count_grams, "model int, gram long, n long")
+    got = df.select("text", "model").mapInArrow(lambda it: _count_grams(it, bits), "model long, gram long, n long")
     return got.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -151,22 +159,30 @@ def _kept_discounts(counts: np.ndarray) -> np.ndarray:
     return np.select([counts == 1, counts == 2], d[:2], d[2])
 
 
-def kneser_ney(gram: np.ndarray, count: np.ndarray) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+def _last(gram: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The last n symbols of n-grams."""
+    return gram & np.uint64((1 << bits * n) - 1)
+
+
+def kneser_ney(
+    gram: np.ndarray, count: np.ndarray, bits: int = 6
+) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """Log-probabilities ("p", n) and log-weights of backing off ("b", n) of the n-grams and contexts seen."""
+    gram = gram.astype(np.uint64)
     order = np.argsort(gram)
-    levels = {ORDER: (gram[order].astype(np.int64), count[order].astype(float))}
+    levels = {ORDER: (gram[order], count[order].astype(float))}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: different symbols before
-        g, c = np.unique(levels[n + 1][0] & ((1 << 6 * n) - 1), return_counts=True)
+        g, c = np.unique(_last(levels[n + 1][0], n, bits), return_counts=True)
         levels[n] = g, c.astype(float)
     out: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    lower_g, lower_p = np.zeros(1, dtype=np.int64), np.full(1, 1 / 64)
+    lower_g, lower_p = np.zeros(1, dtype=np.uint64), np.full(1, 1 / (1 << bits))
     for n in range(1, ORDER + 1):
         g, c = levels[n]
         off = _kept_discounts(c)
-        context, at = np.unique(g >> 6, return_inverse=True)
+        context, at = np.unique(g >> np.uint64(bits), return_inverse=True)
         total, freed = np.bincount(at, c), np.bincount(at, off)
         back = freed / total
-        suffix = g & ((1 << 6 * (n - 1)) - 1)
+        suffix = _last(g, n - 1, bits)
         p = (c - off) / total[at] + back[at] * lower_p[np.searchsorted(lower_g, suffix)]
         out["p", n] = g, np.log(p)
         out["b", n - 1] = context, np.log(np.maximum(back, 1e-9))
@@ -175,22 +191,19 @@ def kneser_ney(gram: np.ndarray, count: np.ndarray) -> dict[tuple[str, int], tup
 
 
 def slot(kind: str, n: int, model: int, gram: np.ndarray) -> np.ndarray:
-    """Hash slot of an n-gram's entry."""
+    """64-bit key of an n-gram's entry; different for all n-grams of one kind, order and model."""
     part = 2 * n + (kind == "b")  # below 16
-    number = np.asarray(gram, dtype=np.uint64) | np.uint64(int(model) * 16 + part << 24)
-    number *= np.uint64(0x9E3779B97F4A7C15)
-    number ^= number >> np.uint64(31)
-    number *= np.uint64(0xBF58476D1CE4E5B9)
-    return (number >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    salt = mixed(np.array([(int(model) * 16 + part) & ((1 << 64) - 1)], dtype=np.uint64))
+    return mixed(np.asarray(gram).astype(np.uint64) ^ salt)
 
 
 def _model_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     model = int(pdf["model"].iloc[0])
-    tables = kneser_ney(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
+    tables = kneser_ney(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), BITS)
     return pd.DataFrame(
         {
-            "slot": np.concatenate([slot(k, n, model, g) for (k, n), (g, _) in tables.items()]),
-            "value": np.concatenate([v for _, v in tables.values()]),
+            "slot": np.concatenate([slot(k, n, model, g) for (k, n), (g, _) in tables.items()]).view(np.int64),
+            "value": np.concatenate([v for _, v in tables.values()]).astype(np.float32),
         }
     )
 
@@ -198,40 +211,61 @@ def _model_rows(pdf: pd.DataFrame) -> pd.DataFrame:
 class HashModel:
     """The model as two arrays sorted by slot."""
 
-    def __init__(self, slots: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, slots: np.ndarray, values: np.ndarray, bits: int = 6) -> None:
         order = np.argsort(slots)
-        self.slots = slots[order].astype(np.int32)
+        self.slots = slots[order].astype(np.uint64)
         self.values = values[order].astype(np.float32)
+        self.bits = bits
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of slots, and which of them are there."""
         if not len(self.slots):
             return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
-        at = np.minimum(np.searchsorted(self.slots, wanted.astype(np.int32)), len(self.slots) - 1)
+        at = np.minimum(np.searchsorted(self.slots, wanted), len(self.slots) - 1)
         return self.values[at].astype(float), self.slots[at] == wanted
 
     def log_p(self, gram: np.ndarray, model: int) -> np.ndarray:
         """Log-probability of each 4-gram's last symbol; unseen ones back off."""
+        gram = np.asarray(gram).astype(np.uint64)
         out, seen = self.find(slot("p", ORDER, model, gram))
         left = np.flatnonzero(~seen)
         weight = np.zeros(len(left))
         for n in range(ORDER - 1, 0, -1):
             if not len(left):
                 break
-            short = gram[left].astype(np.int64) & ((1 << 6 * (n + 1)) - 1)
-            back, known = self.find(slot("b", n, model, short >> 6))
+            short = _last(gram[left], n + 1, self.bits)
+            back, known = self.find(slot("b", n, model, short >> np.uint64(self.bits)))
             weight += np.where(known, back, 0)
-            value, seen = self.find(slot("p", n, model, short & ((1 << 6 * n) - 1)))
+            value, seen = self.find(slot("p", n, model, _last(short, n, self.bits)))
             out[left[seen]] = weight[seen] + value[seen]
             left, weight = left[~seen], weight[~seen]
         back, known = self.find(slot("b", 0, model, np.zeros(1, dtype=np.int64)))
-        out[left] = weight + (back[0] if known[0] else 0) - np.log(64)
+        out[left] = weight + (back[0] if known[0] else 0) - np.log(1 << self.bits)
         return out
 
     def log_perplexity(self, text: str, model: int) -> float:
         """Mean negative log-probability of a text's symbols; 0 for an empty text."""
-        total = sum(-self.log_p(g, model).sum() for g in grams(symbols(text)))
-        return float(total / max(1, len(text)))
+        codes = symbols(text, self.bits)
+        total = sum(-self.log_p(g, model).sum() for g in grams(codes, self.bits))
+        return float(total / max(1, len(codes) - ORDER + 1))
+
+
+class FileModel(HashModel):
+    """The model in two files that Spark sends to each executor; mapped when first read."""
+
+    def __init__(self, slots: str, values: str, bits: int) -> None:
+        self.names, self.bits = (slots, values), bits
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name not in ("slots", "values"):
+            raise AttributeError(name)
+        for attr, file, kind in zip(("slots", "values"), self.names, (np.uint64, np.float32)):
+            path = SparkFiles.get(file)
+            setattr(self, attr, np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind))
+        return self.__dict__[name]
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "bits": self.bits}
 
 
 def split_words(text: str) -> list[str]:
@@ -298,7 +332,7 @@ def statistics(text: Column, model: Column, lm: HashModel) -> Column:
                     if not 0 < len(pairs[i][0]) < STEP:
                         ppl[i] = lm.log_perplexity(pairs[i][0], m)
                 if small:
-                    found = [np.concatenate(list(grams(symbols(pairs[i][0])))) for i in small]
+                    found = [np.concatenate(list(grams(symbols(pairs[i][0], lm.bits), lm.bits))) for i in small]
                     sizes = np.array([len(x) for x in found])
                     p = lm.log_p(np.concatenate(found), m)
                     ppl[small] = -np.add.reduceat(p, np.cumsum(sizes) - sizes) / sizes
@@ -308,12 +342,27 @@ def statistics(text: Column, model: Column, lm: HashModel) -> Column:
     return F.arrow_udf(run, _STATS)(text, model)
 
 
-def language_model(texts: DataFrame) -> HashModel:
+def language_model(texts: DataFrame) -> FileModel:
     """The model of a table of (text, model)."""
-    ship_package(texts.sparkSession)
-    rows = count_grams(texts).groupBy("model").applyInPandas(_model_rows, "slot long, value double")
-    got = rows.groupBy("slot").agg(F.avg("value").alias("value")).toArrow()  # at most SLOTS rows
-    return HashModel(np.asarray(got["slot"]), np.asarray(got["value"]))
+    spark = texts.sparkSession
+    ship_package(spark)
+    rows = count_grams(texts, BITS).groupBy("model").applyInPandas(_model_rows, "slot long, value float")
+    rows = materialise(rows, "ngrams")
+    splits = (max(1, rows.count()) // SHARD).bit_length()  # 2**splits shards by the first bits of the key
+    folder, tag = tempfile.mkdtemp(prefix="corpusloom-lm-"), uuid.uuid4().hex
+    slots, values = f"slots-{tag}", f"values-{tag}"
+    with open(os.path.join(folder, slots), "wb") as a, open(os.path.join(folder, values), "wb") as b:
+        for shard in range(1 << splits):
+            mine = rows.where(F.shiftrightunsigned("slot", 64 - splits) == shard) if splits else rows
+            got = mine.toArrow()
+            keys = got["slot"].to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            a.write(keys[order].tobytes())
+            b.write(got["value"].to_numpy()[order].tobytes())
+    for name in (slots, values):
+        spark.sparkContext.addFile(os.path.join(folder, name))
+    atexit.register(shutil.rmtree, folder, True)  # executors that start later fetch it too
+    return FileModel(slots, values, BITS)
 
 
 def apply_rules(
@@ -325,7 +374,7 @@ def apply_rules(
         df[id_col].alias("id"),
         text_of(df, text_col).alias("text"),
         lang.alias("lang"),
-        (F.crc32(lang.cast("binary")) % MODEL_LANGUAGES).cast("int").alias("model"),
+        F.xxhash64(lang).alias("model"),
     )
     lm = language_model(texts)
     stats = texts.select("id", "lang", statistics(F.col("text"), F.col("model"), lm).alias("s")).select("id", "lang", "s.*")

@@ -79,3 +79,26 @@ def test_edge_tables(spark, rows):
     got = rules.apply_rules(df).collect()
     assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
     assert all(r.base_failed and not r.kept for r in got)
+
+
+def test_letters_beyond_latin_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(0x430 + c) for c in rng.integers(0, 32, rng.integers(3, 9))) for _ in range(60)]
+    text = [" ".join(rng.choice(words, 120)) for _ in range(60)]
+    # Letters of the same residue modulo six, drawn anew at each place.
+    junk = ["".join(c if c == " " else chr(0x430 + (ord(c) - 0x430 + 6 * int(rng.integers(5))) % 30) for c in t) for t in text[:3]]
+    rows = [(i, t, "ru") for i, t in enumerate(text + junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log_ppl for r in rules.apply_rules(df).collect()}
+    assert min(got[60 + i] for i in range(3)) > 1.2 * max(got[i] for i in range(60))
+
+
+def test_each_language_has_its_model(spark):
+    rng = np.random.default_rng(6)  # crc32 of "pt" and "hi" is the same modulo 64
+    texts = [" ".join(rng.choice([f"{x}{y}{z}" for x in "bcd" for y in "aei" for z in "lmn"], 100)) for _ in range(20)]
+    rows = [(i, t, "pt") for i, t in enumerate(texts)]
+    more = [(100 + i, "".join(rng.choice(list("fghjkopqrstuvwxyz "), 400)) + " x" * 20, "hi") for i in range(20)]
+    schema = "doc_id long, text string, lang string"
+    alone = {r.doc_id: r.log_ppl for r in rules.apply_rules(spark.createDataFrame(rows, schema)).collect()}
+    both = {r.doc_id: r.log_ppl for r in rules.apply_rules(spark.createDataFrame(rows + more, schema)).collect()}
+    assert all(abs(both[i] - alone[i]) < 1e-6 for i in alone)
