@@ -102,3 +102,16 @@ def test_each_language_has_its_model(spark):
     alone = {r.doc_id: r.log_ppl for r in rules.apply_rules(spark.createDataFrame(rows, schema)).collect()}
     both = {r.doc_id: r.log_ppl for r in rules.apply_rules(spark.createDataFrame(rows + more, schema)).collect()}
     assert all(abs(both[i] - alone[i]) < 1e-6 for i in alone)
+
+
+def test_planted_junk_that_passes_the_base_rules_is_rejected(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeilmnorstu"), rng.integers(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 150))) for i in range(400)]
+    signs = list("#*$%&|<>qxzjvk0123456789")
+    rows += [(400 + i, " ".join("".join(rng.choice(signs, 6)) for _ in range(120))) for i in range(80)]  # a sixth
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = rules.apply_rules(df).collect()
+    assert not any(r.base_failed for r in got)
+    assert not any(r.kept for r in got if r.doc_id >= 400)
+    assert np.mean([r.kept for r in got if r.doc_id < 400]) >= 0.98
