@@ -8,28 +8,43 @@ else is removed.  Strings are judged on the input; matches never cross texts.
    places.  Only anchors (about one for 170 bytes) are shuffled, and those that
    occur once fall away with all their windows: no repeated window is lost.
 2. Contexts.  For each anchor that occurs again, the bytes of the windows it
-   anchors; equal contexts are one.  All contexts of an anchor meet in a shard.
-3. Suffix arrays.  Each shard sorts its suffixes by Larsson-Sadakane refinement
-   in numpy (groups not yet sorted are refined by the rank ``h`` places on, h
-   doubling) and gets common prefixes by Kasai's rule, all contexts side by
-   side.  A window is repeated where a neighbour shares 400 bytes.
+   anchors.  All contexts of an anchor meet.
+3. Suffix arrays.  Contexts, sorted by anchor, stream into shards that are
+   closed by a running sum of bytes, at ``SHARD_BYTES`` at most.  Each shard
+   sorts its suffixes by Larsson-Sadakane refinement in numpy (groups not yet
+   sorted are refined by the rank ``h`` places on, h doubling) and gets common
+   prefixes by Kasai's rule, all contexts side by side.  A window is repeated
+   where a neighbour shares 400 bytes.
 4. Merging.  An anchor with more contexts than a shard may hold is dealt over
    several shards; each pair of these is merged by binary search of the one's
-   windows in the other's suffix array.
+   windows in the other's suffix array.  Above ``MERGE_SHARDS`` shards, the
+   contexts are first cut by the place of the anchor in the window, in classes
+   of ``GRIDS`` places: windows of a class share all bytes but so many, and only
+   classes that agree in these bytes stay together.  So the work of a hot anchor
+   is linear in its contexts.
 5. Cutting.  Covered ranges go back to the texts, and are cut out.
 
-Memory is bounded by ``SHARD_BYTES``.  Texts that are equal as wholes are
-compared once; where they are 400 bytes or more, all of each is removed.
+Shortcuts by digest, all of equal strings only: texts equal as wholes are
+compared once; equal contexts are one, repeated as a whole; an anchor with one
+distinct context has nothing to sort.  Everything else is decided by suffix
+arrays.
 
-Defined cases: null text is empty; repeated rows are copies of each other; texts
-below 400 bytes lose nothing; the remaining bytes are exact, and as text a
-character that was cut through is dropped.
+Memory: a sort holds about 45 bytes for each byte of a shard, a merge two
+shards, the search for anchors ``STEP`` windows, whatever the texts' lengths.
+
+Defined cases: null text is empty; repeated rows are copies of each other; an
+empty table gives no rows; texts below 400 bytes lose nothing; texts of any
+length are taken whole, in steps; ties between equal anchors go to the leftmost;
+rows without id are told apart by their text; further columns are kept, whatever
+their names; the remaining bytes are exact, and as text a character that was cut
+through is dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,21 +57,33 @@ from corpusloom.sources.session import fresh_name, materialise, ship_package
 
 SPAN = 400
 ANCHOR = 64
-SHARD_BYTES = 2 << 20
+#: Bytes of contexts whose suffixes are sorted together.
+SHARD_BYTES = 1 << 20
+#: Shards of one anchor that are merged in pairs; beyond, its contexts are cut by ``GRIDS``.
+MERGE_SHARDS = 6
+GRIDS = (42, 6, 1)
 #: Windows looked at together; texts of any length are taken in such steps.
-STEP = 1 << 22
+STEP = 1 << 19
+#: Digests that a task remembers to give equal strings once; others are given again.
+KNOWN = 200_000
 
 
-def anchors(data: bytes, span: int = SPAN, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of each run of windows with one anchor."""
+def anchor_places(data: bytes, span: int = SPAN, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first and last window start, and place of the anchor, of each run of windows with one anchor."""
     n = len(data) - span + 1  # window starts
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none, none
     found = [_anchors(data[at : at + STEP + span - 1], span, size, at) for at in range(0, n, STEP)]
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _anchors(data: bytes, span: int, size: int, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, span: int = SPAN, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first and last window start of each run of windows with one anchor."""
+    return anchor_places(data, span, size)[:3]
+
+
+def _anchors(data: bytes, span: int, size: int, offset: int) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(raw * powers(BASE, len(raw)), out=total[1:])
@@ -75,55 +102,94 @@ def _anchors(data: bytes, span: int, size: int, offset: int) -> tuple[np.ndarray
     at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [starts]]) - 1
-    return grams[at[first]], first + offset, last + offset
+    return grams[at[first]], first + offset, last + offset, at[first] + offset
+
+
+def _texts_of(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
+    """The texts of a batch as bytes, one at a time."""
+    return (x.as_py() for x in batch.column(column).cast(pa.binary()))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
-        for v, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for v, data in zip(batch.column(0).to_pylist(), _texts_of(batch, 1)):
             key = bytes.fromhex(v)
-            data = text.encode()
             if len(data) < SPAN or key in seen:  # a copy: its windows are known
                 continue
-            if len(seen) < 1_000_000:
+            if len(seen) < KNOWN:
                 seen.add(key)
-            h, a, b = anchors(data)
+            h, a, b, at = anchor_places(data)
             # Which occurrence this is, among all distinct texts.
             occurrence = mixed(a.astype(np.uint64) + np.uint64(int.from_bytes(key[:8], "little")))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.DictionaryArray.from_arrays(np.zeros(len(h), dtype=np.int32), pa.array([v])).cast(pa.string()),
-                    pa.array(h.view(np.int64)), pa.array(a), pa.array(b), pa.array(occurrence.view(np.int64)),
+                    pa.array(h.view(np.int64)), pa.array(a), pa.array(b), pa.array(at),
+                    pa.array(occurrence.view(np.int64)),
                 ],
-                names=["v", "anchor", "first", "last", "occurrence"],
+                names=["v", "anchor", "first", "last", "at", "occurrence"],
             )
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a text's anchors; a task gives the bytes of equal contexts once."""
+#: cid: digest of the bytes under the anchor; at: the anchor's place in the bytes; owner, first: where they stand.
+_CONTEXT = {"cid": pa.binary(), "anchor": pa.int64(), "at": pa.int64(), "bytes": pa.binary(), "owner": pa.binary(), "first": pa.int64(), "n": pa.int64()}
+_CONTEXT_TYPE = "cid binary, anchor long, at long, bytes binary, owner binary, first long, n long"
+
+
+def _context_batches(pieces: Iterator[tuple[int, int, bytes, bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """Batches of contexts (anchor, at, bytes, owner, first); a task gives the bytes of equal contexts once."""
     seen: set[bytes] = set()
-    names = ["cid", "anchor", "bytes", "v", "first", "n"]
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
-    for batch in batches:
-        rows, held = [[] for _ in names], 0
-        for v, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            data = text.encode()
-            for p in places:
-                piece = data[p["first"] : p["last"] + SPAN]
-                anchor = p["anchor"]
-                cid = hashlib.blake2b(piece, digest_size=16, salt=anchor.to_bytes(8, "little", signed=True)).digest()
-                new = cid not in seen
-                if new and len(seen) < 1_000_000:
-                    seen.add(cid)
-                held += len(piece) if new else 64
-                for column, value in zip(rows, (cid, anchor, piece if new else None, v, p["first"], len(piece))):
-                    column.append(value)
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(rows, kinds)], names=names)
-                rows, held = [[] for _ in names], 0
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(rows, kinds)], names=names)
+    rows, held = [[] for _ in _CONTEXT], 0
+    for anchor, at, piece, owner, first in pieces:
+        salt = anchor.to_bytes(8, "little", signed=True) + at.to_bytes(8, "little")
+        cid = hashlib.blake2b(piece, digest_size=16, salt=salt).digest()
+        new = cid not in seen
+        if new and len(seen) < KNOWN:
+            seen.add(cid)
+        held += 300 + (len(piece) if new else 0)
+        for column, value in zip(rows, (cid, anchor, at, piece if new else None, owner, first, len(piece))):
+            column.append(value)
+        if held > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(rows, _CONTEXT.values())], names=list(_CONTEXT))
+            rows, held = [[] for _ in _CONTEXT], 0
+    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(rows, _CONTEXT.values())], names=list(_CONTEXT))
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of the anchors of texts (v, text, places)."""
+
+    def pieces() -> Iterator[tuple[int, int, bytes, bytes, int]]:
+        for batch in batches:
+            for v, data, places in zip(batch.column(0).to_pylist(), _texts_of(batch, 1), batch.column(2)):
+                owner = bytes.fromhex(v)
+                for p in places.as_py():
+                    yield p["anchor"], p["at"] - p["first"], data[p["first"] : p["last"] + SPAN], owner, p["first"]
+
+    return _context_batches(pieces())
+
+
+def _class_rows(batches: Iterator[pa.RecordBatch], grid: int) -> Iterator[pa.RecordBatch]:
+    """Contexts (cid, anchor, at, bytes) cut in classes of ``grid`` places of the anchor in the window.
+
+    Windows of a class share all but ``grid`` - 1 bytes around the anchor; with
+    the old anchor and the class these bytes are the new anchor.
+    """
+
+    def pieces() -> Iterator[tuple[int, int, bytes, bytes, int]]:
+        for batch in batches:
+            for cid, anchor, at, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                last = len(data) - SPAN
+                for c in range((at - last) // grid, at // grid + 1):
+                    # Windows that start ``low`` to ``high`` bytes before the anchor, as far as they are here.
+                    low, high = c * grid, min((c + 1) * grid - 1, SPAN - ANCHOR)
+                    a, b = max(0, at - high), min(last, at - low)
+                    core = data[at - low : at - high + SPAN]
+                    salt = anchor.to_bytes(8, "little", signed=True) + c.to_bytes(2, "little")
+                    key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=salt).digest(), "little", signed=True)
+                    yield key, at - a, data[a : b + SPAN], cid, a
+
+    return _context_batches(pieces())
 
 
 class SuffixShard:
@@ -131,43 +197,44 @@ class SuffixShard:
 
     def __init__(self, parts: list[bytes], span: int = SPAN) -> None:
         self.span = span
-        self.size = np.array([len(p) for p in parts], dtype=np.int64)
-        self.start = np.cumsum(self.size) - self.size
+        self.size = np.array([len(p) for p in parts], dtype=np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
         n = int(self.size.sum())
         self.text = np.zeros(n + span + 8, dtype=np.uint8)
         self.text[:n] = np.frombuffer(b"".join(parts), dtype=np.uint8)
         self.part = np.repeat(np.arange(len(parts), dtype=np.int32), self.size)
         self.end = np.repeat(self.start + self.size, self.size)
         self.sorted = self._sort(n)
-        self.place = np.empty(n, dtype=np.int64)
-        self.place[self.sorted] = np.arange(n)
+        self.place = np.empty(n, dtype=np.int32)
+        self.place[self.sorted] = np.arange(n, dtype=np.int32)
 
     def _sort(self, n: int) -> np.ndarray:
         """Larsson-Sadakane refinement; a part's end is below every byte and ordered by part."""
         if not n:
-            return np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.int32)
+        at = np.arange(n, dtype=np.int32)
         key = np.zeros(n, dtype=np.int64)
-        at = np.arange(n)
         for j in range(7):
-            inside = at + j < self.end
-            key = (key << 9) | np.where(inside, self.text[j : n + j].astype(np.int64) + 1, 0)
-        order = np.argsort(key)
-        head = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+            key <<= 9
+            key += (self.text[j : n + j] + np.int16(1)) * (at + j < self.end)
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
         del key
-        rank = np.empty(n, dtype=np.int64)  # a group's rank is its first place
+        rank = np.empty(n, dtype=np.int32)  # a group's rank is its first place
         group = np.maximum.accumulate(np.where(head, at, 0))
         rank[order] = group
         n_parts, h = len(self.size), 7
         while True:
             alone = head & np.concatenate([head[1:], [True]])
-            loose = np.flatnonzero(~alone)
+            loose = np.flatnonzero(~alone).astype(np.int32)
             if not len(loose):
                 return order
             suffix = order[loose]
             beyond = suffix + h
             past = beyond >= self.end[suffix]
             next_rank = np.where(past, self.part[suffix], n_parts + rank[np.where(past, 0, beyond)])
-            combined = group[loose] * (n + n_parts) + next_rank
+            combined = group[loose].astype(np.int64) * (n + n_parts) + next_rank
             by = np.argsort(combined)
             order[loose] = suffix[by]
             combined = combined[by]
@@ -184,9 +251,9 @@ class SuffixShard:
         parts advance together.
         """
         n = len(self.sorted)
-        out = np.zeros(n, dtype=np.int64)
+        out = np.zeros(n, dtype=np.int32)
         lane = np.argsort(-self.size, kind="stable")
-        held = np.zeros(len(self.size), dtype=np.int64)
+        held = np.zeros(len(self.size), dtype=np.int32)
         for t in range(int(self.size.max()) if n else 0):
             while len(lane) and self.size[lane[-1]] <= t:
                 lane = lane[self.size[lane] > t]
@@ -262,8 +329,43 @@ _RANGES = "array<struct<start:bigint,end:bigint>>"
 _RANGES_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _shard_rows(rows: pa.Table) -> pa.Table:
-    """Repeated ranges of a shard's contexts; where it has two sides, of matches across them."""
+def _ranges_batch(cids: list[bytes], sizes: np.ndarray, starts: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+    """(cid, ranges) of the contexts with repeated windows."""
+    out = []
+    for cid, a, n in zip(cids, starts.tolist(), sizes.tolist()):
+        ranges = _covered(flags[a : a + n])
+        if ranges:
+            out.append((cid, ranges))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([c for c, _ in out], type=pa.binary()), pa.array([r for _, r in out], type=_RANGES_ARROW)],
+        names=["cid", "ranges"],
+    )
+
+
+def _own_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Repeated ranges of contexts (anchor, size of all its contexts, cid, bytes) that come sorted by anchor."""
+    held: dict[bytes, bytes] = {}
+    total, last = 0, None
+
+    def close() -> pa.RecordBatch:
+        cids = sorted(held)
+        s = SuffixShard([held[c] for c in cids])
+        return _ranges_batch(cids, s.size, s.start, s.repeated())
+
+    for batch in batches:
+        for anchor, size, cid, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if anchor != last:
+                if held and total + size > shard_bytes:
+                    yield close()
+                    held, total = {}, 0
+                total, last = total + size, anchor
+            held[cid] = piece
+    if held:
+        yield close()
+
+
+def _merged_shards(rows: pa.Table) -> pa.Table:
+    """Repeated ranges in one shard of an anchor or, of two shards, across them."""
     sides: dict[int, dict[bytes, bytes]] = {}
     for side, cid, piece in zip(*(rows[c].to_pylist() for c in ("side", "cid", "bytes"))):
         sides.setdefault(side, {})[cid] = piece
@@ -274,26 +376,69 @@ def _shard_rows(rows: pa.Table) -> pa.Table:
     elif rows["inside"][0].as_py():
         flags = [shards[0].repeated()]
     else:  # a pair of which one side has no contexts
-        flags = [np.zeros(0, dtype=bool)]
-    out = []
-    for own, s, f in zip(cids, shards, flags):
-        for cid, a, n in zip(own, s.start.tolist(), s.size.tolist()):
-            ranges = _covered(f[a : a + n])
-            if ranges:
-                out.append((cid, ranges))
-    return pa.table(
-        [pa.array([c for c, _ in out], type=pa.binary()), pa.array([r for _, r in out], type=_RANGES_ARROW)],
-        names=["cid", "ranges"],
-    )
+        flags = [np.zeros(len(s.sorted), dtype=bool) for s in shards]
+    return pa.Table.from_batches([_ranges_batch(own, s.size, s.start, f) for own, s, f in zip(cids, shards, flags)])
 
 
-def repeated_ranges(texts: DataFrame) -> DataFrame:
+def _sorted_ranges(contexts: DataFrame, shard_bytes: int, merge_shards: int, grids: tuple[int, ...]) -> DataFrame:
+    """(cid, ranges) of the windows of contexts that another context holds too, and of contexts that occur again."""
+    given = contexts.where("bytes is not null").select("anchor", "cid", "at", "bytes")
+    per_anchor = contexts.where("bytes is not null").groupBy("anchor")
+    # Where an anchor has one context, all its windows are equal to each other and to no others: nothing to sort.
+    per_anchor = per_anchor.agg(F.sum("n").alias("size"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    per_anchor = materialise(per_anchor.where("lo <> hi").select("anchor", "size"), "sizes")
+    twice = contexts.groupBy("cid").agg(F.count("*").alias("times"), F.max("n").alias("n")).where("times > 1")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+    dealt = given.join(per_anchor, "anchor")
+    one = dealt.where(F.col("size") <= shard_bytes).select("anchor", "size", "cid", "bytes")
+    one = one.repartition("anchor").sortWithinPartitions("anchor")
+    out = [
+        twice.select("cid", whole.alias("ranges")),
+        one.mapInArrow(lambda it: _own_shards(it, shard_bytes), f"cid binary, ranges {_RANGES}"),
+    ]
+    most = per_anchor.agg(F.max("size")).first()[0] or 0
+    if most > shard_bytes:
+        blocks = F.ceil(F.col("size") / shard_bytes).cast("int")
+        many = dealt.where(F.col("size") > shard_bytes).withColumn("blocks", blocks)
+        if grids:
+            many = many.where(F.col("blocks") <= merge_shards)
+        block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+        many = (
+            many.withColumn("block", block)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(
+                F.concat_ws(":", "anchor", F.least("block", "other"), F.greatest("block", "other")).alias("shard"),
+                F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
+                "cid", "bytes", (F.col("block") == F.col("other")).alias("inside"),
+            )
+        )
+        out.append(many.groupBy("shard").applyInArrow(_merged_shards, f"cid binary, ranges {_RANGES}"))
+        if grids and most > shard_bytes * merge_shards:
+            grid, *finer = grids
+            hot = dealt.where(F.col("size") > shard_bytes * merge_shards)
+            hot = hot.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("anchor", "at", "bytes")])
+            cut = materialise(hot.mapInArrow(lambda it: _class_rows(it, grid), _CONTEXT_TYPE), "classes")
+            found = _sorted_ranges(cut, shard_bytes, merge_shards, tuple(finer))
+            out.append(_placed(cut, found, "cid").groupBy("cid").agg(F.collect_set("r").alias("ranges")))
+    return reduce(DataFrame.union, out)
+
+
+def _placed(contexts: DataFrame, ranges: DataFrame, owner: str) -> DataFrame:
+    """(owner, r): the ranges of contexts as ranges of what they were taken from."""
+    each = ranges.select("cid", F.explode("ranges").alias("r"))
+    moved = F.struct((F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.end")).alias("end"))
+    return contexts.select("cid", "owner", "first").join(each, "cid").select(F.col("owner").alias(owner), moved.alias("r"))
+
+
+def repeated_ranges(
+    texts: DataFrame, shard_bytes: int = SHARD_BYTES, merge_shards: int = MERGE_SHARDS, grids: tuple[int, ...] = GRIDS
+) -> DataFrame:
     """(v, ranges) of the texts of a table (v, id, text) of which v is the hash; copies of a text once.
 
     Ranges may overlap.  Only texts with repeated ranges have a row.
     """
     places = texts.select("v", "text").mapInArrow(
-        _anchor_rows, "v string, anchor long, first long, last long, occurrence long"
+        _anchor_rows, "v string, anchor long, first long, last long, at long, occurrence long"
     )
     places = materialise(places, "anchors")
     again = (
@@ -303,48 +448,14 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         .select("anchor")
     )
     kept = places.join(again, "anchor").groupBy("v").agg(
-        F.collect_set(F.struct("anchor", "first", "last")).alias("places")  # of one text
+        F.collect_set(F.struct("anchor", "first", "last", "at")).alias("places")  # of one text
     )
     first_id = texts.groupBy("v").agg(F.min("id").alias("id"))
     wanted = kept.join(first_id, "v")
     carried = texts.select("v", "id", "text").join(wanted, ["v", "id"]).select("v", "text", "places")
-    contexts = materialise(
-        carried.mapInArrow(_context_rows, "cid binary, anchor long, bytes binary, v string, first long, n long"), "contexts"
-    )
-    given = contexts.where("bytes is not null")
-    # Where an anchor has one context, all its windows are equal to each other and to no others: nothing to sort.
-    per_anchor = given.groupBy("anchor").agg(F.sum("n").alias("size"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    per_anchor = per_anchor.where("lo <> hi").select("anchor", "size")
-    total = per_anchor.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    # Anchors whose contexts overfill a shard are dealt over several, each pair of which is merged.
-    many_blocks = F.when(F.col("size") > SHARD_BYTES, F.ceil(F.col("size") / SHARD_BYTES).cast("int"))
-    dealt = given.select("anchor", "cid", "bytes").join(per_anchor.select("anchor", many_blocks.alias("blocks")), "anchor")
-    one = dealt.where("blocks is null").select(
-        F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string").alias("shard"),
-        F.lit(0).alias("side"), "cid", "bytes", F.lit(True).alias("inside"),
-    )
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    many = (
-        dealt.where("blocks is not null")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.concat_ws(":", "anchor", F.least("block", "other"), F.greatest("block", "other")).alias("shard"),
-            F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
-            "cid", "bytes", (F.col("block") == F.col("other")).alias("inside"),
-        )
-    )
-    found = one.union(many).groupBy("shard").applyInArrow(_shard_rows, f"cid binary, ranges {_RANGES}")
-    twice = contexts.groupBy("cid").agg(F.count("*").alias("times"), F.max("n").alias("n")).where("times > 1")
-    whole = twice.select("cid", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("ranges"))
-    ranges = found.union(whole).select("cid", F.explode("ranges").alias("r"))
-    at = contexts.select("cid", "v", "first").join(ranges, "cid")
-    return at.groupBy("v").agg(
-        F.collect_set(F.struct((F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.end")).alias("end"))).alias(
-            "ranges"
-        )
-    )
+    contexts = materialise(carried.mapInArrow(_context_rows, _CONTEXT_TYPE), "contexts")
+    found = _placed(contexts, _sorted_ranges(contexts, shard_bytes, merge_shards, grids), "owner")
+    return found.groupBy(F.lower(F.hex("owner")).alias("v")).agg(F.collect_set("r").alias("ranges"))
 
 
 def _merged(ranges: list[dict]) -> list[list[int]]:
@@ -359,8 +470,7 @@ def _merged(ranges: list[dict]) -> list[list[int]]:
 
 def _cut_batch(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     kept, removed, spans = [], [], []
-    for text, found in zip(texts.to_pylist(), ranges.to_pylist()):
-        data = text.encode()
+    for data, found in zip((x.as_py() for x in texts.cast(pa.binary())), ranges.to_pylist()):
         runs = _merged(found) if found else []
         at, parts = 0, []
         for a, b in runs:
@@ -376,14 +486,16 @@ def _cut_batch(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     )
 
 
-def cut_repeats(df: DataFrame, result: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(
+    df: DataFrame, result: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int | None = None, **shards
+) -> DataFrame:
     """``df`` with a column ``result``: struct<kept binary, n_removed, n_spans>."""
     ship_package(df.sparkSession)
     v, i, r = (fresh_name(df, x) for x in ("v", "id", "ranges"))
     text = text_of(df, text_col)
     keyed = df.withColumns({v: F.md5(text.cast("binary")), i: F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63)))})
     texts = keyed.select(F.col(v).alias("v"), F.col(i).alias("id"), text_of(keyed, text_col).alias("text"))
-    ranges = materialise(repeated_ranges(texts), "ranges")
+    ranges = materialise(repeated_ranges(texts, shard_bytes or SHARD_BYTES, **shards), "ranges")
     rows = texts.select("v", "id", F.octet_length("text").cast("long").alias("n"))
     copies = rows.groupBy("v").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
     # A text of 400 bytes or more that occurs again as a whole goes as a whole.

@@ -117,3 +117,52 @@ def test_edge_tables(spark, rows):
     assert out.columns == df.columns and out.count() == len(rows)
     if rows:
         assert sorted((r.text for r in out.collect()), key=str) == sorted([None, None, "", "", "x"], key=str)
+
+
+def brute_rows(rows):
+    return sorted((i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows])))
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_query_against_all_windows(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = ss.op2_suffix_array(spark, DATA)
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == brute_rows(rows)
+
+
+@pytest.mark.parametrize("merge_shards, grids", [(1000, ()), (2, (42, 6, 1)), (0, (42, 6, 1)), (0, (1,))])
+def test_documents_in_many_shards(spark, merge_shards, grids):
+    """Small shards, so that contexts are merged in pairs, and cut in classes."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    cut = ss.cut_repeats(docs, "cut", shard_bytes=1500, merge_shards=merge_shards, grids=grids).collect()
+    got = [
+        (r.doc_id, len(r.text.encode()), r.cut.n_removed, r.cut.n_spans, hashlib.sha256(bytes(r.cut.kept)).hexdigest())
+        for r in cut
+    ]
+    assert sorted(got) == brute_rows(rows)
+
+
+def test_hot_passage_with_many_edges(spark):
+    """One passage in many texts, cut off at any place: many contexts of each of its anchors."""
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
+    prose = lambda n: " ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(n))
+    passage = prose(110)
+    texts = [prose(rng.randrange(30)) + passage[rng.randrange(150) : 560 + rng.randrange(120)] + prose(30) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shards in ({}, {"shard_bytes": 4000, "merge_shards": 2}):
+        cut = ss.cut_repeats(df, "cut", **shards).collect()
+        got = [(r.doc_id, len(r.text), r.cut.n_removed, r.cut.n_spans, hashlib.sha256(bytes(r.cut.kept)).hexdigest()) for r in cut]
+        assert sorted(got) == brute_rows(list(enumerate(texts)))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcd ") for _ in range(1_300_000))
+    df = spark.createDataFrame([(1, long), (2, "x" + long[700_000:701_000] + "y")], "doc_id long, text string")
+    got = {r.doc_id: (r.cut.n_removed, r.cut.n_spans) for r in ss.cut_repeats(df, "cut").collect()}
+    assert got == {1: (1000, 1), 2: (1000, 1)}
