@@ -3,9 +3,9 @@
 Every byte covered by a string of ``SPAN`` (400) bytes that also starts anywhere
 else is removed.  Strings are judged on the input; matches never cross texts.
 
-1. Anchors.  In each window of 400 bytes the 64-byte string of least hash is
+1. Anchors.  In each window of 400 bytes the 128-byte string of least hash is
    its anchor (leftmost on ties), so equal windows have equal anchors at equal
-   places.  Only anchors (about one for 170 bytes) are shuffled, and those that
+   places.  Only anchors (about one for 140 bytes) are shuffled, and those that
    occur once fall away with all their windows: no repeated window is lost.
 2. Contexts.  For each anchor that occurs again, the bytes of the windows it
    anchors.  All contexts of an anchor meet.
@@ -56,7 +56,7 @@ from corpusloom.llm.hashing import BASE, BASE_INVERSE, mixed, powers
 from corpusloom.sources.session import fresh_name, materialise, ship_package
 
 SPAN = 400
-ANCHOR = 64
+ANCHOR = 128
 #: Bytes of contexts whose suffixes are sorted together.
 SHARD_BYTES = 1 << 20
 #: Shards of one anchor that are merged in pairs; beyond, its contexts are cut by ``GRIDS``.
@@ -192,6 +192,22 @@ def _class_rows(batches: Iterator[pa.RecordBatch], grid: int) -> Iterator[pa.Rec
     return _context_batches(pieces())
 
 
+def _common(one: np.ndarray, i: np.ndarray, two: np.ndarray, j: np.ndarray, h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Common prefixes, at most ``room`` bytes, of places i and j; h bytes are known to agree.
+
+    one and two hold the eight bytes at each place as a little-endian number, so
+    the lowest bit that differs tells the first byte that does.
+    """
+    h = h.copy()
+    going = np.flatnonzero(h < room)
+    while len(going):
+        differ = one[i[going] + h[going]] ^ two[j[going] + h[going]]
+        low = differ & (~differ + np.uint64(1))
+        h[going] += (np.bitwise_count(low - np.uint64(1)) >> 3).astype(h.dtype)
+        going = going[(differ == 0) & (h[going] < room[going])]
+    return np.minimum(h, room)
+
+
 class SuffixShard:
     """Suffix array and clipped common prefixes of some byte strings."""
 
@@ -202,6 +218,7 @@ class SuffixShard:
         n = int(self.size.sum())
         self.text = np.zeros(n + span + 8, dtype=np.uint8)
         self.text[:n] = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.words = np.lib.stride_tricks.sliding_window_view(self.text, 8).copy().view("<u8").ravel()
         self.part = np.repeat(np.arange(len(parts), dtype=np.int32), self.size)
         self.end = np.repeat(self.start + self.size, self.size)
         self.sorted = self._sort(n)
@@ -262,13 +279,7 @@ class SuffixShard:
             j = self.sorted[np.maximum(place - 1, 0)]
             room = np.minimum(np.minimum(self.end[i] - i, self.end[j] - j), self.span)
             room[place == 0] = 0
-            h = np.minimum(held[lane], room)
-            going = np.flatnonzero(h < room)
-            while len(going):
-                same = self.text[i[going] + h[going]] == self.text[j[going] + h[going]]
-                going = going[same]
-                h[going] += 1
-                going = going[h[going] < room[going]]
+            h = _common(self.words, i, self.words, j, np.minimum(held[lane], room), room)
             out[place] = h
             held[lane] = np.maximum(h - 1, 0)
         return out
@@ -301,16 +312,10 @@ class SuffixShard:
 
     def _compare(self, mine: np.ndarray, other: SuffixShard, theirs: np.ndarray) -> np.ndarray:
         """Sign of my window against the start of their suffix; an ended suffix is less."""
-        out = np.zeros(len(mine), dtype=np.int8)
-        going, k = np.arange(len(mine)), 0
-        while len(going) and k < self.span:
-            a = self.text[mine[going] + k].astype(np.int16)
-            at = theirs[going] + k
-            b = np.where(at < other.end[theirs[going]], other.text[at].astype(np.int16), -1)
-            out[going] = np.sign(a - b)
-            going = going[a == b]
-            k += 1
-        return out
+        room = np.minimum(other.end[theirs] - theirs, self.span)
+        h = _common(self.words, mine, other.words, theirs, np.zeros_like(room), room)
+        a, b = self.text[mine + h].astype(np.int16), other.text[theirs + h].astype(np.int16)
+        return np.where(h < room, np.sign(a - b), room < self.span).astype(np.int8)
 
 
 def _covered(flags: np.ndarray, span: int = SPAN) -> list[dict]:
@@ -447,6 +452,7 @@ def repeated_ranges(
         .where("lo <> hi")
         .select("anchor")
     )
+    again = materialise(again, "again")  # as a table, so that the join can be split at a hot anchor
     kept = places.join(again, "anchor").groupBy("v").agg(
         F.collect_set(F.struct("anchor", "first", "last", "at")).alias("places")  # of one text
     )
