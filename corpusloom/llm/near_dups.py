@@ -7,32 +7,38 @@ Texts of ``threshold`` (0.8) or more are linked; a class is a component of
 links and equal texts.
 
 Sketch.  k-mers are the word 5-grams, each labelled with its occurrence number
-in the text.  Each of ``TABLES`` hash functions takes the ``PICKS`` k-mers of
-least hash and keeps them in text order; the ordered tuple is one bucket key,
-so reordered texts differ.  At similarity 0.8 two texts share one of 16 tables
-of 3 picks with probability over 0.9999.
+in the text for the draw.  Each of ``TABLES`` hash functions draws the ``PICKS``
+labelled k-mers of least hash; the k-mers themselves, in text order, are one
+bucket key, so reordered texts differ.  At similarity 0.8 two texts share one of
+16 tables of 3 picks with probability over 0.9999.
 
 Candidates.  Equal texts are first joined to one node.  A bucket's centre is
 its member that shares buckets with most others (the original among copies);
-every other member is paired with it: a linear number of pairs.  Then, for
-buckets that still hold several components: in a bucket of at most
-``SMALL_BUCKET`` members all pairs across components are tried, in a larger one
-a new centre against the members of other components, as long as a tenth of
-such pairs are links.  Last, in the large buckets left, every pair across
-components is excluded by a bound or tried: members are dealt by length band
-and salt into blocks of about ``BLOCK``, each two blocks meet in one task, and
-pairs whose parity signatures (``PARITY_BITS`` bits, one toggled by each k-mer)
-differ in more bits than alike texts can have k-mers unshared are dropped.
-Nothing is capped: no pair of a bucket is left out.  Rows of the last step grow
-with the square of a bucket's components, divided by ``BLOCK``.
-
-Shuffles carry keys; whole texts move once (those in a shared bucket stay), then
-only with pairs.  Hot keys only meet partial aggregates and plain equi-joins,
-which adaptive execution splits.
-
-Defined cases: null text is empty; texts without words are alike only if equal;
-repeated rows are one class; a class's id is its least document id, null if all
-its ids are null.
+every other member is paired with it: a linear number of pairs.  Then, in
+buckets that still hold several components, every pair across components is
+excluded by a bound or tried: a bucket of more than ``BLOCK`` members is dealt
+by length band and salt into blocks of about that size, each two blocks meet in
+one task, and pairs whose parity signatures (``PARITY_BITS`` bits, one toggled by
+each k-mer) differ in more bits than alike texts can have k-mers unshared are
+dropped.  Nothing is capped: no pair of a bucket is left out.  While buckets of
+more than ``BLOCK`` members in several components are left and a tenth of the
+last pairs were links, another member is the centre first.  Rows of the last
+step grow with the square of a bucket's components, divided by ``BLOCK``.
+
+A node is named by the least id of its text and the text's digest, in bytes that
+sort by id, so the least name of a class gives its least id.
+
+Shuffles carry names and keys; whole texts move once (those in a shared bucket
+stay), then only with pairs.  Hot keys only meet partial aggregates and plain
+joins of tables, which adaptive execution splits.
+
+Defined cases: a null text is the empty text, which has no k-mer and is alike
+only to its equals; texts that differ in case or white space are alike; texts of
+any length are read whole, their sketch in steps of bounded memory; repeated
+rows are copies of each other; ties between centres go to the greater name; a
+null id is never a class's least id unless all are null, then the class is null;
+an empty table gives no rows; further columns play no part, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, text_of
@@ -55,7 +61,6 @@ GRAM = 5
 TABLES = 16
 PICKS = 3
 THRESHOLD = 0.8
-SMALL_BUCKET = 32
 BLOCK = 1024
 PARITY_BITS = 4096
 
@@ -103,30 +108,30 @@ def occurrences(grams: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(grams: np.ndarray, tables: int = TABLES, picks: int = PICKS) -> np.ndarray:
-    """One key for each table: the least occurrence-labelled k-mers, in text order."""
+    """One key for each table: the k-mers, in text order, of which the occurrence-labelled hashes are least."""
     labelled = occurrences(grams)
     picks = min(picks, len(grams))
-    key = np.full(tables, picks, dtype=np.uint64)
     seeds = _seeds(tables)
-    for at in range(0, tables, step := max(1, min(tables, 4_000_000 // len(grams)))):  # bounded memory for long texts
+    key = seeds[:, 0] + np.uint64(picks)  # keys of different tables differ
+    for at in range(0, tables, step := max(1, min(tables, 1_000_000 // len(grams)))):  # bounded memory for long texts
         drawn = mixed(labelled[None, :] ^ seeds[at : at + step])
         least = np.sort(np.argpartition(drawn, picks - 1, axis=1)[:, :picks], axis=1)
         for j in range(picks):
-            key[at : at + step] = mixed(key[at : at + step] + labelled[least[:, j]])
+            key[at : at + step] = mixed(key[at : at + step] + grams[least[:, j]])
     return key
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys = [], []
-        for text in batch.column(2).to_pylist():
-            words = words_of(text)
+        for text in batch.column(2):
+            words = words_of(text.as_py())
             grams = gram_hashes(_stable_hashes(words)) if words else np.zeros(0, dtype=np.uint64)
             sizes.append(len(grams))
             keys.append(order_minhash(grams).view(np.int64) if len(grams) else np.zeros(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(sizes, type=pa.int32()), pa.array(keys, type=pa.list_(pa.int64()))],
-            names=["id", "v", "n", "keys"],
+            names=["id", "digest", "n", "keys"],
         )
 
 
@@ -181,8 +186,8 @@ def similarity(x: str, y: str, threshold: float = THRESHOLD) -> float:
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        good = pa.array([similarity(p, q, threshold) >= threshold for p, q in zip(x, y)], type=pa.bool_())
+        pairs = zip(batch.column(2), batch.column(3))
+        good = pa.array([similarity(x.as_py(), y.as_py(), threshold) >= threshold for x, y in pairs], type=pa.bool_())
         yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], names=["v1", "v2"])
 
 
@@ -195,60 +200,93 @@ def parity(text: str) -> bytes:
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([parity(t) for t in batch.column(1).to_pylist()], type=pa.binary())
+        found = pa.array([parity(t.as_py()) for t in batch.column(1)], type=pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["v", "parity"])
 
 
-_BLOCKS = ["t", "key", "b1", "s1", "b2", "s2"]
+#: Two blocks, by length band and salt, of a bucket; a small bucket is one block.
+_BLOCKS = ["key", "b1", "s1", "b2", "s2"]
+_MEMBER = ["band", "salt", "v", "n", "label", "parity"]
 
 
-def _possible(group: pa.Table, threshold: float) -> pa.Table:
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in ``by``, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch[c].to_numpy() for c in by])
+        starts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            own = values[:, a].tolist()
+            if held and own != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            key = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs across components of two blocks (or within one) that no bound excludes."""
-    v, n = group["v"].to_pylist(), group["n"].to_numpy().astype(np.float64)
-    label = np.unique(group["label"].to_pylist(), return_inverse=True)[1]
-    bits = np.frombuffer(b"".join(group["parity"].to_pylist()), dtype=np.uint64).reshape(len(v), -1)
-    b1, s1, b2, s2 = (group[c][0].as_py() for c in _BLOCKS[2:])
-    one = (group["band"].to_numpy() == b1) & (group["salt"].to_numpy() == s1)
-    within = (b1, s1) == (b2, s2)
-    right = np.flatnonzero(one if within else ~one)
-    out: list[tuple[str, str]] = []
-    for i in np.flatnonzero(one).tolist():
-        js = right[right > i] if within else right
-        js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
-        # Each bit that differs stands for at least one k-mer that the two texts do not share.
-        unshared = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        js = js[unshared <= (n[js] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]
-        out += [(v[i], v[j]) for j in js.tolist()]
-    return pa.table([pa.array(c, type=pa.string()) for c in (zip(*out) if out else ([], []))], names=["v1", "v2"])
-
-
-def _all_across(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (v1, v2) across components of large buckets, all but those that surely are not alike."""
-    signed = texts.join(large.select("v").distinct(), "v", "left_semi").select("v", "text")
-    signed = materialise(signed.mapInArrow(_parities, "v string, parity binary"), "parities")
-    # Texts whose bands differ by two or more differ too much in length.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1 / threshold) + 1e-9))
-    rows = large.select("t", "key", "v", "n", "label", band.alias("band"))
-    counts = rows.groupBy("t", "key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    above = counts.select("t", "key", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_above"))
-    below = counts.select("t", "key", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_below"))
-    counts = counts.join(above, ["t", "key", "band"], "left").join(below, ["t", "key", "band"], "left")
-    rows = rows.join(counts, ["t", "key", "band"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
-
-    def blocks(salts: str, b1: Column, s1, b2: Column, s2) -> Column:
-        """The pairs of blocks of a row with each block of a band."""
-        each = F.when(F.col(salts) > 0, F.sequence(F.lit(0).cast("long"), F.col(salts) - 1))
-        each = F.coalesce(each, F.array().cast("array<bigint>"))
-        return F.transform(each, lambda x: F.struct(b1.alias("b1"), s1(x).alias("s1"), b2.alias("b2"), s2(x).alias("s2")))
-
-    own, up, down, salt = F.col("band"), F.col("band") + 1, F.col("band") - 1, F.col("salt")
-    met = F.concat(
-        blocks("salts", own, lambda x: F.least(x, salt), own, lambda x: F.greatest(x, salt)),
-        blocks("salts_above", own, lambda x: salt, up, lambda x: x),
-        blocks("salts_below", down, lambda x: x, own, lambda x: salt),
-    )
-    dealt = rows.withColumn("met", F.explode(met)).select("t", "key", "met.*", "band", "salt", "v", "n", "label")
-    return dealt.join(signed, "v").groupBy(*_BLOCKS).applyInArrow(lambda g: _possible(g, threshold), "v1 string, v2 string")
+    for group in _groups(batches, _BLOCKS):
+        n = group["n"].to_numpy().astype(np.float64)
+        label = group["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = np.frombuffer(b"".join(group["parity"].to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        b1, s1, b2, s2 = (group[c][0].as_py() for c in _BLOCKS[1:])
+        one = (group["band"].to_numpy() == b1) & (group["salt"].to_numpy() == s1)
+        within = (b1, s1) == (b2, s2)
+        right = np.flatnonzero(one if within else ~one)
+        v = group["v"].combine_chunks()
+        for i in np.flatnonzero(one).tolist():
+            js = right[right > i] if within else right
+            js = js[(label[js] != label[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]))]
+            # Each bit that differs stands for at least one k-mer that the two texts do not share.
+            unshared = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            js = js[unshared <= (n[js] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]
+            if len(js):
+                pair = [v.take(pa.array(np.full(len(js), i))), v.take(pa.array(js))]
+                yield pa.RecordBatch.from_arrays(pair, names=["v1", "v2"])
+
+
+def _all_across(members: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (v1, v2) across components of buckets, all but those that surely are not alike."""
+    signed = texts.join(members.select("v").distinct(), "v", "left_semi").select("v", "text")
+    signed = materialise(signed.mapInArrow(_parities, "v binary, parity binary"), "parities")
+    zero = F.lit(0).cast("long")
+    small = members.where(F.col("size") <= block)
+    dealt = small.select("key", *[zero.alias(c) for c in (*_BLOCKS[1:], "band", "salt")], "v", "n", "label")
+    large = members.where(F.col("size") > block)
+    if not large.isEmpty():
+        # Texts whose bands differ by two or more differ too much in length.
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1 / threshold) + 1e-9))
+        rows = large.select("key", "v", "n", "label", band.alias("band"))
+        counts = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / block).alias("salts"))
+        above = counts.select("key", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_above"))
+        below = counts.select("key", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_below"))
+        counts = counts.join(above, ["key", "band"], "left").join(below, ["key", "band"], "left")
+        rows = rows.join(materialise(counts, "bands"), ["key", "band"])
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
+
+        def blocks(salts: str, b1: Column, s1, b2: Column, s2) -> Column:
+            """The pairs of blocks of a row with each block of a band."""
+            each = F.when(F.col(salts) > 0, F.sequence(zero, F.col(salts) - 1))
+            each = F.coalesce(each, F.array().cast("array<bigint>"))
+            return F.transform(each, lambda x: F.struct(b1.alias("b1"), s1(x).alias("s1"), b2.alias("b2"), s2(x).alias("s2")))
+
+        own, up, down, salt = F.col("band"), F.col("band") + 1, F.col("band") - 1, F.col("salt")
+        met = F.concat(
+            blocks("salts", own, lambda x: F.least(x, salt), own, lambda x: F.greatest(x, salt)),
+            blocks("salts_above", own, lambda x: salt, up, lambda x: x),
+            blocks("salts_below", down, lambda x: x, own, lambda x: salt),
+        )
+        each = rows.withColumn("met", F.explode(met)).select("key", "met.*", "band", "salt", "v", "n", "label")
+        dealt = dealt.union(each)
+    dealt = dealt.join(signed, "v").select(*_BLOCKS, *_MEMBER)
+    dealt = dealt.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS)
+    return dealt.mapInArrow(lambda it: _possible(it, threshold), "v1 binary, v2 binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -256,27 +294,64 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     one = texts.select(F.col("v").alias("v1"), F.col("text").alias("x"))
     two = texts.select(F.col("v").alias("v2"), F.col("text").alias("y"))
     joined = pairs.select("v1", "v2").join(two, "v2").join(one, "v1").select("v1", "v2", "x", "y")
-    return materialise(joined.mapInArrow(lambda it: _verify(it, threshold), "v1 string, v2 string"), "links")
+    return materialise(joined.mapInArrow(lambda it: _verify(it, threshold), "v1 binary, v2 binary"), "links")
+
+
+def _node(rid: Column, digest: Column) -> Column:
+    """Name of a text's node: whether its least id is null, that id so that bytes sort as it does, the digest."""
+    ordered = rid.cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(
+        F.when(rid.isNull(), F.unhex(F.lit("01" + "0" * 16))).otherwise(
+            F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(ordered), 16, "0")))
+        ),
+        digest,
+    )
+
+
+def _id_of(node: Column) -> Column:
+    """The id in a node's name."""
+    value = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), value)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _members(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, v, n, label, size) of buckets that hold several components."""
+    member = shared.select("key", "v", "n").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    member = materialise(member, "labelled")
+    split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    split = materialise(split.where("lo <> hi").select("key", "size"), "split")
+    return materialise(member.join(split, "key"), "members")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, v, class_key) for each row: v is the text's hash, class_key the same for near-duplicates."""
+def node_classes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK
+) -> DataFrame:
+    """(digest, v, label) of each distinct text: its digest, its node's name, and the least name of its class."""
     ship_package(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("id"), text_of(df, text_col).alias("text"))
-    rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("v"), "text")
-    sketch = materialise(rows.mapInArrow(_sketch, "id long, v string, n int, keys array<long>"), "sketch")
-    nodes = sketch.groupBy("v").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    entries = nodes.select("v", "rid", "n", F.posexplode("keys").alias("t", "key"))
-    sizes = entries.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialise(entries.join(sizes, ["t", "key"]), "buckets")
-    fame = shared.groupBy("v").agg(F.sum("size").alias("fame"), F.first("rid").alias("rid"))
-    shared = materialise(shared.drop("rid").join(fame.drop("rid"), "v"), "buckets")
-
+    rows = rows.select("id", _digest(F.col("text")).alias("digest"), "text")
+    nodes = (
+        rows.mapInArrow(_sketch, "id long, digest binary, n int, keys array<long>")
+        .groupBy("digest")
+        .agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        .select("digest", "rid", _node(F.col("rid"), F.col("digest")).alias("v"), "n", "keys")
+    )
+    nodes = materialise(nodes, "nodes")
+    entries = nodes.select("v", "n", F.explode("keys").alias("key"))
+    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    # A node has at most ``TABLES`` rows, so this window has no hot key.
+    fame = F.sum("size").over(Window.partitionBy("v"))
+    shared = materialise(entries.join(sizes, "key").select("key", "v", "n", fame.alias("fame")), "shared")
+
+    wanted = shared.select("v").distinct().select(F.substring("v", 10, 16).alias("digest"), _id_of(F.col("v")).alias("rid"), "v")
     none = F.lit(-(1 << 63))
-    wanted = fame.select("v", F.coalesce("rid", none).alias("id_key"))
     texts = (
-        rows.withColumn("id_key", F.coalesce("id", none))
-        .join(wanted, ["v", "id_key"], "left_semi")
+        rows.withColumn("rid", F.coalesce("id", none))
+        .join(wanted.withColumn("rid", F.coalesce("rid", none)), ["digest", "rid"])
         .groupBy("v")
         .agg(F.first("text").alias("text"))
     )
@@ -284,76 +359,60 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     # Alignment can't reach the threshold where the lengths differ by more.
     fits = F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
-    by_bucket = ["t", "key"]
-    centre = shared.groupBy(by_bucket).agg(F.max(F.struct("fame", "v", "n")).alias("c"))
-    pairs = (
-        shared.join(centre.select(*by_bucket, F.col("c.v").alias("v1"), F.col("c.n").alias("n1")), by_bucket)
-        .select("v1", F.col("v").alias("v2"), "n1", F.col("n").alias("n2"))
-        .where(fits & (F.col("v1") != F.col("v2")))
-        .select("v1", "v2")
-        .distinct()
-    )
-    tried = materialise(pairs, "pairs")
-    links = _linked(tried, texts, threshold)
+
+    def linked_to_centres(of: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+        """Each bucket's greatest member by ``order`` with the other members, and which of these pairs are alike."""
+        centre = of.groupBy("key").agg(F.max(F.struct(order.alias("order"), "v", "n")).alias("c"))
+        centre = materialise(centre.select("key", F.col("c.v").alias("v1"), F.col("c.n").alias("n1")), "centres")
+        pairs = of.select("key", F.col("v").alias("v2"), F.col("n").alias("n2")).join(centre, "key")
+        pairs = pairs.where(fits & (F.col("v1") != F.col("v2"))).select("v1", "v2").distinct()
+        pairs = materialise(pairs, "pairs")
+        return pairs, _linked(pairs, texts, threshold)
+
+    tried, links = linked_to_centres(shared, F.col("fame"))
     labels = connected_components(links)
-    turn, last = 0, False
+    new, turn = links, 0
     while True:
-        turn += 1
-        member = shared.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        split = member.groupBy(by_bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        member = materialise(member.join(split.select(*by_bucket), by_bucket), "members")
-        if member.isEmpty():
+        members = _members(shared, labels)
+        left, most = members.agg(F.count("*"), F.max("size")).first()
+        if not left:
             break
-        small, large = member.where(F.col("size") <= SMALL_BUCKET), member.where(F.col("size") > SMALL_BUCKET)
-        left = small.select(*by_bucket, F.col("v").alias("v1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-        right = member.select(*by_bucket, F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-        if not last:
-            new_centre = large.groupBy(by_bucket).agg(F.max(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n", "label")).alias("c"))
-            left = left.union(
-                new_centre.select(*by_bucket, F.col("c.v").alias("v1"), F.col("c.n").alias("n1"), F.col("c.label").alias("l1"))
-            )
-        across = left.join(right, by_bucket).where(fits & (F.col("l1") != F.col("l2"))).select("v1", "v2")
-        if last:
-            across = across.union(_all_across(large, texts, threshold))
-        ordered = across.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2")).distinct()
-        done = tried.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2"))
-        pairs = materialise(ordered.join(done, ["v1", "v2"], "left_anti"), "pairs")
-        tries = pairs.count()
-        found = _linked(pairs, texts, threshold) if tries else links.limit(0)
-        links_found = found.count()
-        if links_found:
-            links = links.union(found)
+        turn += 1
+        if most > block and 10 * new.count() > tried.count():
+            tried, new = linked_to_centres(members.where(F.col("size") > block), F.xxhash64("v", F.lit(turn)))
+            links = links.union(new)
             labels = connected_components(links)
-        if last:  # every pair across components has been tried or excluded
-            break
-        tried, last = tried.union(pairs), 10 * links_found <= tries
-    labelled = sketch.select("id", "v").join(labels, "v", "left")
-    return labelled.select("id", "v", F.coalesce("label", "v").alias("class_key"))
+            continue
+        across = _all_across(members, texts, threshold, block)
+        ordered = across.select(F.least("v1", "v2").alias("v1"), F.greatest("v1", "v2").alias("v2")).distinct()
+        found = _linked(ordered, texts, threshold)
+        if not found.isEmpty():
+            labels = connected_components(links.union(found))
+        break  # every pair across components has been tried or excluded
+    return materialise(
+        nodes.select("digest", "v").join(labels, "v", "left").select("digest", "v", F.coalesce("label", "v").alias("label")),
+        "classes",
+    )
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col`` and ``class_id``, the least id among its near-duplicates, for each row."""
-    found = materialise(classes(df, id_col, text_col, threshold), "classes")
-    least = found.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(least, "class_key").select(F.col("id").alias(id_col), "class_id", "class_size")
+    found = node_classes(df, id_col, text_col, threshold)
+    found = found.select("digest", _id_of(F.col("label")).alias("class_id"))
+    rows = df.select(df[id_col].cast("long").alias(id_col), _digest(text_of(df, text_col)).alias("digest"))
+    return rows.join(found, "digest").select(id_col, "class_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The row of least id of each class, with the columns of ``df``."""
-    found = materialise(classes(df, id_col, text_col, threshold), "classes")
-    least = found.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    found = node_classes(df, id_col, text_col, threshold).where("label = v")
     none = F.lit(-(1 << 63))
-    first = found.join(least, "class_key").where(F.col("id").eqNullSafe(F.col("class_id")))
-    # One text for each class; several rows only where an id is repeated.
-    kept = first.groupBy("class_key").agg(F.min("v").alias("v"), F.first("id").alias("id"), F.count("*").alias("rows"))
-    kept = materialise(kept.select("v", F.coalesce("id", none).alias("id"), "rows"), "kept")
     v, i = fresh_name(df, "v"), fresh_name(df, "id")
-    keyed = df.withColumns(
-        {v: F.md5(text_of(df, text_col).cast("binary")), i: F.coalesce(df[id_col].cast("long"), none)}
-    )
-    chosen = kept.select(F.col("v").alias(v), F.col("id").alias(i))
+    keyed = df.withColumns({v: _digest(text_of(df, text_col)), i: F.coalesce(df[id_col].cast("long"), none)})
+    chosen = found.select(F.col("digest").alias(v), F.coalesce(_id_of(F.col("v")), none).alias(i))
     out = keyed.join(chosen, [v, i], "left_semi")
-    if not kept.where("rows > 1").isEmpty():
+    # Several rows of a class only where a row is repeated with its id.
+    if not keyed.groupBy(v, i).count().where("count > 1").isEmpty():
         out = out.dropDuplicates([v, i])
     return out.select(*df.columns)
 

@@ -150,3 +150,24 @@ def test_sketch_of_a_text_and_its_copy_with_a_doubled_sentence(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(nd.similarity(rows[2 * f][1], rows[2 * f + 1][1]) >= 0.8 for f in range(10))
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {i: i - i % 2 for i in range(20)}
+
+
+@pytest.mark.parametrize("block", [nd.BLOCK, 100])
+def test_pairs_that_meet_only_in_one_large_bucket(spark, block):
+    """300 pairs among texts that all share one long passage, which fills the sketches."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(170)]
+    rows = []
+    for i in range(300):
+        both = [f"b{rng.randrange(10**9)}" for _ in range(14)]
+        rows += [(2 * i + k, " ".join(passage + both + [f"o{rng.randrange(10**9)}" for _ in range(20)])) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = nd.node_classes(df, block=block).select(nd._id_of(nd.F.col("v")), nd._id_of(nd.F.col("label"))).collect()
+    assert {i: c for i, c in found} == {i: i - i % 2 for i in range(600)}
+
+
+def test_names_of_nodes_sort_by_id(spark):
+    ids = [-(1 << 63), -5, -1, 0, 1, 7, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(i, b"\1" * 16) for i in ids], "i long, d binary")
+    got = df.select("i", nd._node(nd.F.col("i"), nd.F.col("d")).alias("v")).orderBy("v").select("i", nd._id_of(nd.F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(i, i) for i in ids]
