@@ -361,15 +361,16 @@ def node_classes(
     fits = F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
 
     def linked_to_centres(of: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
-        """Each bucket's greatest member by ``order`` with the other members, and which of these pairs are alike."""
-        centre = of.groupBy("key").agg(F.max(F.struct(order.alias("order"), "v", "n")).alias("c"))
-        centre = materialise(centre.select("key", F.col("c.v").alias("v1"), F.col("c.n").alias("n1")), "centres")
-        pairs = of.select("key", F.col("v").alias("v2"), F.col("n").alias("n2")).join(centre, "key")
-        pairs = pairs.where(fits & (F.col("v1") != F.col("v2"))).select("v1", "v2").distinct()
+        """Each bucket's greatest member by ``order`` with the members of other components, and the alike pairs."""
+        centre = of.groupBy("key").agg(F.max(F.struct(order.alias("order"), "v", "n", "label")).alias("c"))
+        centre = centre.select("key", F.col("c.v").alias("v1"), F.col("c.n").alias("n1"), F.col("c.label").alias("l1"))
+        centre = materialise(centre, "centres")
+        pairs = of.select("key", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+        pairs = pairs.join(centre, "key").where(fits & (F.col("l1") != F.col("l2"))).select("v1", "v2").distinct()
         pairs = materialise(pairs, "pairs")
         return pairs, _linked(pairs, texts, threshold)
 
-    tried, links = linked_to_centres(shared, F.col("fame"))
+    tried, links = linked_to_centres(shared.withColumn("label", F.col("v")), F.col("fame"))
     labels = connected_components(links)
     new, turn = links, 0
     while True:
