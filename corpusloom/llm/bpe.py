@@ -17,16 +17,21 @@ give, so the result equals theirs exactly.  As with the original merges, a
 pre-token that is itself in the vocabulary is that single token.
 
 Columns are row-local Arrow functions: no shuffle, nothing gathered.  Repeated
-chunks between spaces are remembered in a table of bounded size in each worker.
+chunks between spaces are remembered in tables of bounded size in each worker
+(about 100 MB in all when full, the vocabulary's own tables included).
 
-Defined cases: null text is empty and has no tokens; repeated rows each get
-their own result; a pre-token of any length is encoded whole.
+Defined cases: null text is empty and has no tokens; an empty table gives no
+rows; repeated rows each get their own result; texts and pre-tokens of any
+length are encoded whole; of equal merges the leftmost comes first; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -39,10 +44,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, text_of
 
-#: Entries of each worker's table of known chunks; it starts anew when full.
-CHUNK_CACHE = 200_000
-PIECE_CACHE = 200_000
-PAIR_CACHE = 500_000
+#: Entries of each worker's tables of known chunks, pieces, pairs and edges; a table starts anew when full.
+CHUNK_CACHE = 120_000
+PIECE_CACHE = 50_000
+PAIR_CACHE = 200_000
+EDGE_CACHE = 20_000
+#: A pre-token pattern (fixed value) by which a single space between other characters always starts a pre-token.
+SPACE_STARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
 
 
@@ -64,13 +72,17 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.at_spaces = pattern == SPACE_STARTS
         self.of_rank = {r: t for t, r in ranks.items()}
+        self.size_of = {r: len(t) for t, r in ranks.items()}
+        self.decimal = {r: b"%d" % r for r in ranks.values()}
         self._automaton = None
         self._edges: tuple[dict, dict] = ({}, {})
         self._compatible: dict[int, bool] = {}
         self._prefix: dict[int, int] = {}
         self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}  # ids of a space and the chunk
+        self._old_chunks: dict[str, bytes] = {}
 
     # -- the merges themselves, for single tokens only ----------------------------------------
 
@@ -98,6 +110,8 @@ class Codec:
                 if len(token) == 1:
                     break
                 ends, token = own, self.merge(token, 2)[-side]
+            if len(self._edges[side]) >= EDGE_CACHE:
+                self._edges[side].clear()
             self._edges[side][rank] = known
         return known
 
@@ -161,39 +175,61 @@ class Codec:
         longest: list[int] = [-1] * n
         for end, (rank, size) in self._machine().iter(piece.decode("latin-1")):
             longest[end - size + 1] = rank  # later ends overwrite: the longest stays
-        of_rank, dead = self.of_rank, bytearray(n + 1)
+        size_of, pairs, dead = self.size_of, self._compatible, bytearray(n + 1)
         out: list[int] = []
-        at = 0
+        at, before = 0, -1
         token = longest[0]
         while True:
             if token < 0:  # nothing is left to try here
-                if not out:
+                if before < 0:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at] = 1
-                last = out.pop()
-                at -= len(of_rank[last])
-                token = self.shorter(last)
+                token = self.shorter(out.pop())
+                at -= size_of[before]
+                before = out[-1] if out else -1
                 continue
-            end = at + len(of_rank[token])
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
+            end = at + size_of[token]
+            fits = not dead[end]
+            if fits and before >= 0:
+                fits = pairs.get(before * 1_000_003 + token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+            if fits:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = longest[at]
+                at, before, token = end, token, longest[end]
             else:
                 token = self.shorter(token)
 
+    def _known(self, chunk: str) -> bytes | None:
+        """What is remembered for a chunk after a space, also from before the table last started anew."""
+        got = self._chunks.get(chunk)
+        if got is None:
+            got = self._old_chunks.get(chunk)
+            if got is not None:
+                self._remember(chunk, got)
+        return got
+
+    def _remember(self, chunk: str, got: bytes) -> None:
+        if len(chunk) < 48:
+            if len(self._chunks) >= CHUNK_CACHE:
+                self._old_chunks, self._chunks = self._chunks, {}
+            self._chunks[chunk] = got
+
     def _packed(self, text: str) -> bytes:
         """Token ids of a text, matched as a whole, as 32-bit integers."""
         known, parts = self._pieces, []
         for piece in self.pattern.findall(text):
-            got = known.get(piece)
+            spaced = piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1
+            got = self._known(piece[1:]) if spaced else known.get(piece)
             if got is None:
-                got = np.array(self.encode_piece(piece.encode()), dtype=np.int32).tobytes()
-                if len(known) >= PIECE_CACHE:
-                    known.clear()
-                if len(piece) < 64:
+                got = array("i", self.encode_piece(piece.encode())).tobytes()
+                if spaced:
+                    self._remember(piece[1:], got)
+                elif len(piece) < 48:
+                    if len(known) >= PIECE_CACHE:
+                        known.clear()
                     known[piece] = got
             parts.append(got)
         return b"".join(parts)
@@ -201,25 +237,24 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text.
 
-        A single space between two characters that are not white space always
-        starts a pre-token, so what lies between such spaces is encoded once
-        and remembered.  Texts with other white space beside a space are
-        matched as a whole.
+        Where by the pattern a single space between two characters that are not
+        white space always starts a pre-token, what lies between such spaces is
+        encoded once and remembered.  Texts with other white space beside a
+        space, and other patterns, are matched as a whole.
         """
-        known, (first, *rest) = self._chunks, text.split(" ")
-        if first and first[-1].isspace():
+        first, *rest = text.split(" ")
+        if not self.at_spaces or first and first[-1].isspace():
             return np.frombuffer(self._packed(text), dtype=np.int32)
         parts = [self._packed(first)]
         for chunk in rest:
-            got = known.get(chunk)
+            got = self._chunks.get(chunk)
             if got is None:
                 if not chunk or not first or chunk[0].isspace() or chunk[-1].isspace():
                     return np.frombuffer(self._packed(text), dtype=np.int32)
-                got = self._packed(" " + chunk)
-                if len(known) >= CHUNK_CACHE:
-                    known.clear()
-                if len(chunk) < 64:
-                    known[chunk] = got
+                got = self._known(chunk)
+                if got is None:
+                    got = self._packed(" " + chunk)
+                    self._remember(chunk, got)
             parts.append(got)
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
@@ -276,20 +311,34 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     return F.arrow_udf(run, "struct<ids:array<int>,decoded:binary>")(text)
 
 
+def round_trip_digests(text: Column, path: str, pattern: str) -> Column:
+    """Column ``struct<n_tokens, ids_sha256, decoded_sha256>`` of what ``round_trip`` gives, one text at a time."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        c = codec(path, pattern)
+        rows = []
+        for t in texts:
+            ids = c.encode(t.as_py() or "").tolist()
+            listed = b",".join(map(c.decimal.__getitem__, ids))
+            rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+        columns = zip(*rows) if rows else ([], [], [])
+        return pa.StructArray.from_arrays(
+            [pa.array(x, type=k) for x, k in zip(columns, (pa.int64(), pa.string(), pa.string()))],
+            names=["n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+    return F.arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")(text)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's token ids and of their decoding."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    coded = round_trip(
+    coded = round_trip_digests(
         text_of(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    return docs.select("doc_id", coded.alias("c")).select(
-        "doc_id",
-        F.size("c.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("c.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("c.decoded"), 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", coded.alias("c")).select("doc_id", "c.*")
 
 
 QUERIES = {"op4_byte_bpe": op4_byte_bpe}

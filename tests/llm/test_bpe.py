@@ -57,3 +57,34 @@ def test_columns(spark):
         assert all(bytes(r.back) == (r.text or "").encode() for r in got)
         trip = df.select(bpe.round_trip(df["text"], path, P.PATTERN).alias("r")).collect()
         assert sorted(bytes(r.r.decoded) for r in trip) == sorted((t or "").encode() for _, t in data)
+
+
+def test_white_space_after_chunks_are_known(both):
+    texts = ["a  b", "a \n b", " \x1c !\x1c x", "foo  \n\n  foo", " foo bar", "foo bar ", "!\x1c \x1c! a"]
+    for _ in range(2):
+        for text in texts:
+            same(both, text)
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"\p{L}+| +|[^\p{L} ]+", r"(?s:.+)"])
+def test_other_patterns(pattern):
+    ranks = bpe.load_ranks(P.path(PATHS[1]))
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ours = bpe.Codec(ranks, pattern)
+    for text in ("some words and some words, again", "a  b c", " x y ", "it's they've"):
+        assert ours.encode(text).tolist() == theirs.encode_ordinary(text)
+
+
+def test_query_against_the_library(spark):
+    import hashlib
+
+    data = "/root/testdata/sf0.001"
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(PATHS[0])), special_tokens={})
+    want = []
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = theirs.encode_ordinary(r.text or "")
+        digests = [hashlib.sha256(x).hexdigest() for x in (",".join(map(str, ids)).encode(), theirs.decode_bytes(ids))]
+        want.append((r.doc_id, len(ids), *digests))
+    got = bpe.op4_byte_bpe(spark, data)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
