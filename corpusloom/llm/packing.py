@@ -8,19 +8,27 @@ Packing is split over shards of about ``SHARD_PIECES`` pieces, dealt by a hash
 of document and piece, so each shard sees the same mix of lengths and no key
 can make one large.  In a shard, pieces are placed longest first.  N(g) counts
 the open bins with residual gap g; a piece of length s goes where the sum over
-g of N(g)**2 becomes smallest; a bin is opened only where no gap fits.  Filled
-bins no longer count.  A shard leaves a handful of bins part-filled, whatever its size.
+g of N(g)**2 becomes smallest.  A new bin is not among the places compared
+where a piece fits an open one: a deviation from the plain rule, which would
+open bins early.  On the 10267 pieces of sf0.1 (2269.2 sequences of tokens) it
+needs 2270 sequences, the plain rule 2272.  Filled bins no longer count.  A
+shard leaves a handful of bins part-filled, whatever its size.
 
 Defined cases: null text is empty (one piece with the end mark alone); repeated
 rows are packed each for itself; a document of more than ``capacity`` tokens is
-cut into full pieces and a rest; an empty table gives no rows.
+cut into full pieces and a rest, however long it is; ties of the rule go to the
+smallest gap, of bins with one gap to the last; pieces of one length are placed
+by id, piece and checksum; a null id is kept; an empty table gives no rows;
+further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +44,7 @@ CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 16_384
 #: Words each worker remembers, about 170 bytes each; the table starts anew when full.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 600_000
 PIECES_TYPE = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 _ARROW = pa.list_(
     pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -62,23 +70,23 @@ class WordTokenizer:
         self._known: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self._pack(self.library.encode(text, add_special_tokens=False).ids)
         words, known = text.lower().split(), self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in known})
+        missing = list(set(words).difference(known))
         if len(known) + len(missing) > WORD_CACHE:
             known.clear()
             missing = list(set(words))
-        for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            known[w] = self._pack(e.ids)
+        if missing:
+            encoded = self.library.encode_batch_fast(missing, add_special_tokens=False)
+            known.update(zip(missing, [self._pack(e.ids) for e in encoded]))
         return b"".join(map(known.__getitem__, words))
 
 
