@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from corpusloom.config import CheckerConfig
-from corpusloom.models import Report
+from corpusloom.outcome import ERROR, WARNING, Outcome
 from corpusloom.plans import report as reports
 from corpusloom.plans.runner import check_table, fix_table, merge_config
 from corpusloom.sources.loader import check_output_path, load_dataset, save_dataset
@@ -34,8 +34,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def exit_code(report: Report) -> int:
-    return ERRORS if report.total_errors else WARNINGS if report.total_warnings else OK
+def exit_code(outcome: Outcome) -> int:
+    return ERRORS if outcome.count(ERROR) else WARNINGS if outcome.count(WARNING) else OK
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -81,7 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         reports.write_json(sys.stdout, before, stats, after)
     else:
         sys.stdout.write(reports.text(before, stats, after))
-    return exit_code(before)
+    return exit_code(before.outcome)
 
 
 if __name__ == "__main__":

@@ -44,6 +44,12 @@ def word_runs(text: str, k: int = 5) -> set[str]:
     return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo ``PRIME`` for x from 0 to below 2**60; the prime is one below a power of two, so no division."""
+    x = (x & PRIME) + (x >> 31)
+    return x - PRIME * (x >= PRIME)
+
+
 def signature(text: Column, num_perm: int) -> Column:
     """Column array<bigint> of a text's word runs; empty where it has none.
 
@@ -53,16 +59,18 @@ def signature(text: Column, num_perm: int) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         a, c = (np.array(x, dtype=np.int64)[:, None] for x in family(num_perm))
+        digest = hashlib.md5
         out = []
         for text in texts.to_pylist():
             runs = word_runs(text) if text else ()
             if not runs:
                 out.append([])
                 continue
-            h = np.array([int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in runs], dtype=np.int64)
+            raw = b"".join([digest(x.encode()).digest()[:4] for x in runs])
+            h = (np.frombuffer(raw, dtype=">u4") >> 4).astype(np.int64)  # seven hex digits
             least = np.full(num_perm, PRIME, dtype=np.int64)
-            for at in range(0, len(h), 2048):  # bounded memory for long texts
-                np.minimum(least, ((a * h[at : at + 2048] + c) % PRIME).min(axis=1), out=least)
+            for at in range(0, len(h), 1024):  # bounded memory for long texts
+                np.minimum(least, _modulo(a * h[at : at + 1024] + c).min(axis=1), out=least)
             out.append(least)
         return pa.array(out, type=pa.list_(pa.int64()))
 

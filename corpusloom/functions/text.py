@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ def pii_counts(text: Column) -> dict[str, Column]:
     return {kind: F.regexp_count(text, F.lit(p)) for kind, p in P.PII.items()}
 
 
+def has_pii(text: Column) -> Column:
+    """Whether there is a match of any kind; never null."""
+    found = reduce(Column.__or__, [text.rlike(p) for p in P.PII.values()])
+    return F.coalesce(found, F.lit(False))
+
+
 def _once(value: Column, function) -> Column:  # noqa: ANN001
     """``function(value)`` with the value computed once: inside a lambda an expression is computed at each step."""
     return F.element_at(F.transform(F.array(value), function), 1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import CheckerConfig
-from corpusloom.models import CheckResult, Issue, Severity
+from corpusloom.outcome import Outcome, Record
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Finding:
     """One kind of issue: which rows have it, and how it is told."""
 
     flag: str
-    severity: Severity
+    severity: str
     message: str  # with {n} for the number of rows
 
 
@@ -73,18 +73,18 @@ class BaseChecker:
 
     def result(
         self, text_field: str, total_rows: int, flagged: dict[str, int], samples: dict[str, list[int]], sums: dict[str, Any]
-    ) -> CheckResult:
-        issues = [
-            Issue(
+    ) -> Outcome:
+        records = [
+            Record(
                 self.name, f.severity, f.message.format(n=flagged[f.flag]), flagged[f.flag], samples.get(f.flag, []),
                 self.details(f, sums),
             )
             for f in self.findings(text_field)
             if flagged[f.flag]
         ]
-        return CheckResult(self.name, issues, self.stats(total_rows, flagged, sums))
+        return Outcome({self.name: self.stats(total_rows, flagged, sums)}, records)
 
-    def check(self, df: DataFrame, text_field: str = "text", id_col: str | None = None) -> CheckResult:
+    def check(self, df: DataFrame, text_field: str = "text", id_col: str | None = None) -> Outcome:
         """Run this check alone over a table."""
         from corpusloom.plans.runner import run_check
 

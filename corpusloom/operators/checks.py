@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import language, minhash, patterns, repair, tokens
 from corpusloom.functions import text as T
-from corpusloom.models import CheckResult, Issue, Severity
+from corpusloom.outcome import ERROR, INFO, WARNING, Outcome, Record
 from corpusloom.operators.base import BaseChecker, Finding, is_text
 from corpusloom.operators.registry import register
+from corpusloom.sources.session import materialise, ship_package
 
 #: Tags from which on a text counts as HTML.
 HTML_TAGS = 5
@@ -31,7 +32,7 @@ class MissingFieldChecker(BaseChecker):
         return {"missing": F.coalesce(T.strip(text) == "", ~F.col("present"))}
 
     def findings(self, text_field: str) -> list[Finding]:
-        return [Finding("missing", Severity.ERROR, f"Found {{n}} rows with missing/empty '{text_field}'")]
+        return [Finding("missing", ERROR, f"Found {{n}} rows with missing/empty '{text_field}'")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
         n = flagged["missing"]
@@ -44,16 +45,16 @@ class SchemaChecker(BaseChecker):
 
     name = "schema"
 
-    def look(self, df: DataFrame, text_field: str, total_rows: int) -> CheckResult:
+    def look(self, df: DataFrame, text_field: str, total_rows: int) -> Outcome:
         kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-        issues = []
+        records = []
         if text_field not in kinds:
             message = f"Text field '{text_field}' not in schema"
-            issues.append(Issue(self.name, Severity.ERROR, message, details={"available_fields": list(kinds)}))
+            records.append(Record(self.name, ERROR, message, details={"available_fields": list(kinds)}))
         elif not is_text(df, text_field):
             message = f"Text field '{text_field}' has unexpected type: {kinds[text_field]}"
-            issues.append(Issue(self.name, Severity.WARNING, message))
-        return CheckResult(self.name, issues, {"columns": list(kinds), "features": kinds, "num_rows": total_rows})
+            records.append(Record(self.name, WARNING, message))
+        return Outcome({self.name: {"columns": list(kinds), "features": kinds, "num_rows": total_rows}}, records)
 
 
 @register
@@ -69,8 +70,8 @@ class TextLengthChecker(BaseChecker):
     def findings(self, text_field: str) -> list[Finding]:
         low, high = self.config.min_length, self.config.max_length
         return [
-            Finding("short", Severity.WARNING, f"Found {{n}} rows with text shorter than {low} characters"),
-            Finding("long", Severity.WARNING, f"Found {{n}} rows with text longer than {high} characters"),
+            Finding("short", WARNING, f"Found {{n}} rows with text shorter than {low} characters"),
+            Finding("long", WARNING, f"Found {{n}} rows with text longer than {high} characters"),
         ]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
@@ -103,7 +104,7 @@ class LanguageChecker(BaseChecker):
 
     def findings(self, text_field: str) -> list[Finding]:
         allowed = self.config.languages
-        return [Finding("other", Severity.WARNING, f"Found {{n}} rows with non-target language (allowed: {allowed})")]
+        return [Finding("other", WARNING, f"Found {{n}} rows with non-target language (allowed: {allowed})")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
         return {"checked_count": sums["known"] or 0, "non_target_count": flagged["other"]}
@@ -119,7 +120,7 @@ class HtmlChecker(BaseChecker):
         return {"tagged": _true(T.count_html_tags(text) >= HTML_TAGS)}
 
     def findings(self, text_field: str) -> list[Finding]:
-        return [Finding("tagged", Severity.WARNING, f"Found {{n}} rows with {HTML_TAGS} or more HTML tags")]
+        return [Finding("tagged", WARNING, f"Found {{n}} rows with {HTML_TAGS} or more HTML tags")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
         return {"total_rows": total_rows, "html_detected_count": flagged["tagged"]}
@@ -135,7 +136,7 @@ class MojibakeChecker(BaseChecker):
         return {"garbled": repair.has_mojibake(text)}
 
     def findings(self, text_field: str) -> list[Finding]:
-        return [Finding("garbled", Severity.WARNING, "Found {n} rows with suspected mojibake (garbled characters)")]
+        return [Finding("garbled", WARNING, "Found {n} rows with suspected mojibake (garbled characters)")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
         return {"total_rows": total_rows, "mojibake_count": flagged["garbled"]}
@@ -170,7 +171,7 @@ class ExactDuplicateChecker(_DuplicateChecker):
         return {"later": F.count_if(self.column("later")), "texts": F.count("text_known")}
 
     def findings(self, text_field: str) -> list[Finding]:
-        return [Finding("twin", Severity.WARNING, "Found {n} rows that are exact duplicates (by SHA-256 hash)")]
+        return [Finding("twin", WARNING, "Found {n} rows that are exact duplicates (by SHA-256 hash)")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
         distinct = (sums["texts"] or 0) - (sums["later"] or 0)
@@ -182,9 +183,20 @@ class NearDuplicateChecker(_DuplicateChecker):
     """Rows that share an LSH band with another row."""
 
     name = "near_duplicate"
+    _banded: tuple[DataFrame, DataFrame] | None = None
 
     def bands(self, rows: DataFrame) -> DataFrame:
-        """(row_id, band, key): the band keys of every row that has words."""
+        """(row_id, band, key): the band keys of every row that has words.
+
+        They are written once for a table of rows, so counting the keys, joining
+        back and linking clusters never computes signatures again.
+        """
+        if self._banded is None or self._banded[0] is not rows:
+            self._banded = rows, materialise(self._bands(rows), "bands")
+        return self._banded[1]
+
+    def _bands(self, rows: DataFrame) -> DataFrame:
+        ship_package(rows.sparkSession)
         bands, per = minhash.band_shape(self.config.minhash_threshold, self.config.minhash_num_perm)
         signed = rows.select(
             "row_id", minhash.signature(F.col("text"), self.config.minhash_num_perm).alias("signature")
@@ -196,6 +208,7 @@ class NearDuplicateChecker(_DuplicateChecker):
         """(first, row_id) for each band that rows share: a star of links, not all pairs."""
         bands = self.bands(rows)
         shared = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).where("n > 1")
+        shared = materialise(shared, "shared")  # as a table, so that the join can be split at a hot key
         return bands.join(shared, ["band", "key"]).select("first", "row_id").distinct()
 
     def group_measures(self, rows: DataFrame) -> tuple[list[str], DataFrame]:
@@ -204,7 +217,7 @@ class NearDuplicateChecker(_DuplicateChecker):
 
     def findings(self, text_field: str) -> list[Finding]:
         t = self.config.minhash_threshold
-        return [Finding("alike", Severity.WARNING, f"Found {{n}} rows that are near-duplicates (MinHash Jaccard threshold={t})")]
+        return [Finding("alike", WARNING, f"Found {{n}} rows that are near-duplicates (MinHash Jaccard threshold={t})")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
         return {"total_rows": total_rows, "near_duplicate_count": flagged["alike"]}
@@ -220,15 +233,14 @@ class PiiChecker(BaseChecker):
         return not self.config.detect_pii
 
     def measures(self, text: Column) -> dict[str, Column]:
-        counts = T.pii_counts(text)
-        found = sum((F.coalesce(c, F.lit(0)) for c in counts.values()), F.lit(0)) > 0
-        return {"found": found, **{f"n_{k}": c for k, c in counts.items()}}
+        counts = {f"n_{k}": c for k, c in T.pii_counts(text).items()}
+        return {"found": T.has_pii(text), **counts}  # the flag alone stops at the first match
 
     def sums(self) -> dict[str, Column]:
         return {k: F.sum(self.column(f"n_{k}").cast("long")) for k in patterns.PII}
 
     def findings(self, text_field: str) -> list[Finding]:
-        return [Finding("found", Severity.WARNING, "Found {n} rows containing PII")]
+        return [Finding("found", WARNING, "Found {n} rows containing PII")]
 
     def details(self, finding: Finding, sums: dict[str, Any]) -> dict[str, Any]:
         return {"pii_types": {k: sums[k] for k in patterns.PII if sums[k]}}
@@ -257,7 +269,7 @@ class TokenLengthChecker(BaseChecker):
         return {"over": _true(self.count(text) > self.config.max_token_length)}
 
     def findings(self, text_field: str) -> list[Finding]:
-        return [Finding("over", Severity.WARNING, f"Found {{n}} rows exceeding max token length ({self.config.max_token_length})")]
+        return [Finding("over", WARNING, f"Found {{n}} rows exceeding max token length ({self.config.max_token_length})")]
 
     def details(self, finding: Finding, sums: dict[str, Any]) -> dict[str, Any]:
         return {"max_token_length": self.config.max_token_length}
@@ -293,9 +305,9 @@ class BoilerplateChecker(BaseChecker):
     def findings(self, text_field: str) -> list[Finding]:
         url, email = self.config.max_url_density, self.config.max_email_density
         return [
-            Finding("phrase", Severity.INFO, "Found {n} rows with boilerplate text"),
-            Finding("urls", Severity.WARNING, f"Found {{n}} rows with URL density exceeding {url}"),
-            Finding("emails", Severity.WARNING, f"Found {{n}} rows with email density exceeding {email}"),
+            Finding("phrase", INFO, "Found {n} rows with boilerplate text"),
+            Finding("urls", WARNING, f"Found {{n}} rows with URL density exceeding {url}"),
+            Finding("emails", WARNING, f"Found {{n}} rows with email density exceeding {email}"),
         ]
 
     def details(self, finding: Finding, sums: dict[str, Any]) -> dict[str, Any]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns as P
 from corpusloom.functions import repair
 from corpusloom.operators.base import is_text
-from corpusloom.sources.session import fresh_name, ship_package
+from corpusloom.sources.session import fresh_name, materialise, ship_package
 
 #: Steps in their fixed order: name of the counter, column function.
 STEPS = (
@@ -42,21 +42,24 @@ class TextCleaner:
     def fix_dataset(self, df: DataFrame, text_field: str = "text") -> tuple[DataFrame, dict[str, Any]]:
         """The cleaned table, and how many rows each step changed.
 
-        The steps are a chain of columns; the counts are one aggregate over it,
-        never accumulators, which count twice where tasks run again.
+        The steps are a chain of columns.  Cleaned rows are written once with a
+        flag for each step, and the counts are one aggregate over what was
+        written, never accumulators, which count twice where tasks run again.
         """
         ship_package(df.sparkSession)
         if not is_text(df, text_field):
             zero = {name: 0 for name, _ in STEPS}
             return df, {**zero, "total_fixed": 0, "total_rows": df.count()}
-        chain = df.select(F.col(text_field).alias("s0"))
-        for i, (_, step) in enumerate(STEPS):
-            chain = chain.withColumn(f"s{i + 1}", step(F.col(f"s{i}")))
-        counts = [F.count_if(F.col(f"s{i}") != F.col(f"s{i + 1}")).alias(name) for i, (name, _) in enumerate(STEPS)]
-        total = [F.count_if(F.col("s0") != F.col(f"s{len(STEPS)}")).alias("total_fixed"), F.count("*").alias("total_rows")]
-        stats = chain.agg(*counts, *total).first().asDict()
-        name = fresh_name(df, "cleaned")
-        cleaned = df.withColumn(name, self.clean(F.col(text_field)))
-        return cleaned.select(*[F.col(name).alias(c) if c == text_field else F.col(f"`{c}`") for c in df.columns]), stats
-
-
+        names = [fresh_name(df, f"s{i}") for i in range(len(STEPS) + 1)]
+        chain = df.withColumn(names[0], F.col(f"`{text_field}`"))
+        for (_, step), before, after in zip(STEPS, names, names[1:]):
+            chain = chain.withColumn(after, step(F.col(before)))
+        changed = {n: F.col(a) != F.col(b) for (n, _), a, b in zip(STEPS, names, names[1:])}
+        changed["total_fixed"] = F.col(names[0]) != F.col(names[-1])
+        steps = fresh_name(df, "steps")
+        kept = [F.col(names[-1]).alias(c) if c == text_field else F.col(f"`{c}`") for c in df.columns]
+        flags = F.struct(*[flag.alias(n) for n, flag in changed.items()]).alias(steps)
+        written = materialise(chain.select(*kept, flags), "cleaned")
+        counts = [F.count_if(F.col(f"{steps}.{n}")).alias(n) for n in changed]
+        stats = written.agg(*counts, F.count("*").alias("total_rows")).first().asDict()
+        return written.drop(steps), stats

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import CheckerConfig
 from corpusloom.operators.components import connected_components
+from corpusloom.sources.session import materialise
 
 #: Checks whose rows are removed, and the measures that flag them.  Rows with
 #: boilerplate phrases go too, though their severity is only INFO.
@@ -39,7 +40,8 @@ class RowFilter:
 
         ``links`` (first, row_id) are needed where near-duplicates keep one row
         for each cluster; otherwise one near-duplicate row in all is kept, the
-        least, as by the default setting.
+        least, as by the default setting.  ``annotated`` is read more than once,
+        so it should be a written table.
         """
         skip = set(self.config.skip_checkers)
         flags = {c: F.lit(False) if c in skip else self._reason(annotated, c) for c in REMOVING}
@@ -47,7 +49,8 @@ class RowFilter:
         if "near_duplicate" in skip or "near_duplicate.alike" not in annotated.columns:
             return out
         if self.config.near_dup_keep == "per_cluster" and links is not None:
-            labels = connected_components(links.select(F.col("first").alias("v1"), F.col("row_id").alias("v2")))
+            links = materialise(links.select(F.col("first").alias("v1"), F.col("row_id").alias("v2")), "links")
+            labels = connected_components(links)
             kept = labels.where("v = label").select(F.col("v").alias("row_id"), F.lit(True).alias("kept"))
             out = out.join(kept, "row_id", "left")
         else:

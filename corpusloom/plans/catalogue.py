@@ -29,7 +29,7 @@ from corpusloom.operators.checks import (
 from corpusloom.operators.row_filter import REMOVING, RowFilter
 from corpusloom.plans.runner import annotate, fix_table, summarise, text_rows
 from corpusloom.sources.loader import sample
-from corpusloom.sources.session import ship_package
+from corpusloom.sources.session import materialise, ship_package
 
 #: Patterns of phrases that the test tables have; the defaults seldom occur in them.
 PHRASES = [r"(?i)all rights reserved", r"(?i)licensed? under", *BOILERPLATE_PATTERNS]
@@ -110,7 +110,8 @@ def pii_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def pii_types(spark: SparkSession, d: str) -> DataFrame:
     """Histogram of personal data by kind."""
-    return PiiChecker.matches(_rows(spark, d)).groupBy("pii_type").agg(F.count("*").alias("n"))
+    counted = _docs(spark, d).agg(*[F.sum(c.cast("long")).alias(k) for k, c in T.pii_counts(F.col("text")).items()])
+    return counted.unpivot([], list(patterns.PII), "pii_type", "n").where("n > 0")
 
 
 def pii_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +194,7 @@ def near_dup_flags(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate rows that go when the least of all stays."""
     rows = _rows(spark, d)
-    removed = RowFilter().removals(annotate(rows, [NearDuplicateChecker()]))
+    removed = RowFilter().removals(materialise(annotate(rows, [NearDuplicateChecker()]), "annotated"))
     return removed.where("near_duplicate").select(F.col("row_id").alias("doc_id"))
 
 
@@ -201,7 +202,7 @@ def near_dup_keep_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate rows that go when the least of each cluster stays."""
     rows, check = _rows(spark, d), NearDuplicateChecker()
     config = replace(CheckerConfig(), near_dup_keep="per_cluster")
-    removed = RowFilter(config).removals(annotate(rows, [check]), check.candidates(rows))
+    removed = RowFilter(config).removals(materialise(annotate(rows, [check]), "annotated"), check.candidates(rows))
     return removed.where("near_duplicate").select(F.col("row_id").alias("doc_id"))
 
 
@@ -258,7 +259,7 @@ def mojibake_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def _removals(spark: SparkSession, d: str) -> DataFrame:
     checks = [c(SMALL) for c in (*_SQL_CHECKS, NearDuplicateChecker)]
-    return RowFilter(SMALL).removals(annotate(_rows(spark, d), checks))
+    return RowFilter(SMALL).removals(materialise(annotate(_rows(spark, d), checks), "annotated"))
 
 
 def row_filter_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +283,7 @@ def check_summary(spark: SparkSession, d: str) -> DataFrame:
     annotated = annotate(_rows(spark, d), checks)
     flags = [(k.name, f) for k in checks for f in k.findings("text")]
     counted = annotated.agg(*[F.count_if(F.col(f"`{n}.{f.flag}`")).alias(f"{n}.{f.flag}") for n, f in flags])
-    told = F.array(*[F.struct(F.lit(n).alias("checker"), F.lit(f.flag).alias("issue"), F.lit(f.severity.value).alias("severity"), F.col(f"`{n}.{f.flag}`").alias("affected_rows")) for n, f in flags])
+    told = F.array(*[F.struct(F.lit(n).alias("checker"), F.lit(f.flag).alias("issue"), F.lit(f.severity).alias("severity"), F.col(f"`{n}.{f.flag}`").alias("affected_rows")) for n, f in flags])
     return counted.select(F.explode(told).alias("x")).select("x.*")
 
 
@@ -291,9 +292,8 @@ def issue_samples(spark: SparkSession, d: str) -> DataFrame:
     checks = [c(SMALL) for c in _SQL_CHECKS]
     annotated = annotate(_rows(spark, d), checks)
     rows = [
-        (i.checker, i.severity.value, i.affected_rows, ",".join(map(str, i.sample_indices)))
-        for r in summarise(annotated, checks, "text")
-        for i in r.issues
+        (r.checker, r.severity, r.rows, ",".join(map(str, r.sample)))
+        for r in summarise(annotated, checks, "text").records
     ]
     return spark.createDataFrame(rows, "checker string, severity string, affected_rows long, sample string")
 

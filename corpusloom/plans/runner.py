@@ -7,12 +7,11 @@ from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import CheckerConfig
-from corpusloom.models import SAMPLE_ROWS, CheckResult, Issue, Report, Severity
+from corpusloom.outcome import ERROR, SAMPLE_ROWS, Checked, Outcome, Record
 from corpusloom.operators import BaseChecker, get_all_checkers
 from corpusloom.operators.base import is_text
 from corpusloom.operators.checks import NearDuplicateChecker, SchemaChecker
@@ -63,8 +62,8 @@ def annotate_stream(stream: DataFrame, text_field: str, checkers: list[BaseCheck
     return out.select(*stream.columns, *[f"`{n}`" for n in own])
 
 
-def summarise(annotated: DataFrame, checkers: list[BaseChecker], text_field: str) -> list[CheckResult]:
-    """Results of checks from their annotations: one aggregate, and one bounded query for examples."""
+def summarise(annotated: DataFrame, checkers: list[BaseChecker], text_field: str) -> Outcome:
+    """Outcome of checks from their annotations: one aggregate, and one bounded query for examples."""
     flags = [(k, f.flag) for k in checkers for f in k.findings(text_field)]
     aggregates = [F.count("*").alias("total")]
     aggregates += [F.count_if(k.column(f)).alias(f"flag.{k.name}.{f}") for k, f in flags]
@@ -79,112 +78,109 @@ def summarise(annotated: DataFrame, checkers: list[BaseChecker], text_field: str
         rank = F.row_number().over(Window.partitionBy("issue").orderBy("row_id"))
         for r in long.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).orderBy("issue", "rank").collect():
             samples.setdefault(r["issue"], []).append(r["row_id"])
-    out = []
+    out = Outcome()
     for k in checkers:
         own = [f.flag for f in k.findings(text_field)]
-        out.append(
-            k.result(
-                text_field, row["total"], {f: row[f"flag.{k.name}.{f}"] for f in own},
-                {f: samples.get(f"{k.name}.{f}", []) for f in own},
-                {s: row[f"sum.{k.name}.{s}"] for s in k.sums()},
-            )
+        out |= k.result(
+            text_field, row["total"], {f: row[f"flag.{k.name}.{f}"] for f in own},
+            {f: samples.get(f"{k.name}.{f}", []) for f in own},
+            {s: row[f"sum.{k.name}.{s}"] for s in k.sums()},
         )
     return out
 
 
-def _failed(name: str, error: Exception) -> CheckResult:
+def _failed(name: str, error: Exception) -> Outcome:
     log.warning("check %s failed: %s", name, error)
-    return CheckResult(name, [Issue(name, Severity.ERROR, f"Checker raised an exception: {error}")])
+    return Outcome({name: {}}, [Record(name, ERROR, f"Checker raised an exception: {error}")])
 
 
 class CheckRun:
-    """All checks over one table: results in registration order, and annotations."""
+    """All checks over one table: the outcome in registration order, and annotations.
+
+    Annotations are written to the shared folder once, so neither examples nor
+    the row filter evaluate the checks again, and a lost executor costs nothing.
+    """
 
     def __init__(self, df: DataFrame, text_field: str, config: CheckerConfig, id_col: str | None = None) -> None:
         ship_package(df.sparkSession)
         self.rows = text_rows(df, text_field, id_col)
         self.annotated = self.rows.select("row_id")
         self.total_rows = df.count()
-        results: dict[str, CheckResult] = {}
+        found = Outcome()
         live: list[BaseChecker] = []
         order = [n for n in get_all_checkers() if n not in config.skip_checkers]
-        blocked = False
         for name in order:
-            if blocked:
-                break
             try:
                 check = get_all_checkers()[name](config)
                 if isinstance(check, SchemaChecker):
-                    results[name] = check.look(df, text_field, self.total_rows)
-                    blocked = results[name].error_count > 0
+                    found |= check.look(df, text_field, self.total_rows)
+                    if found.of(name).count(ERROR):
+                        break
                 elif check.skipped():
-                    results[name] = CheckResult(name, stats={"skipped": True})
+                    found |= Outcome({name: {"skipped": True}})
                 else:
                     check.measures(F.lit("x"))  # bad settings show here
                     live.append(check)
             except Exception as e:  # noqa: BLE001  one bad check leaves the others alone
-                results[name] = _failed(name, e)
+                found |= _failed(name, e)
         try:
-            self._take(live, text_field, results)
+            found |= self._take(live, text_field)
         except Exception:  # noqa: BLE001  find out which, one by one
             good = []
             for k in live:
                 try:
-                    self._take([k], text_field, results)
+                    annotate(self.rows, [k]).write.format("noop").mode("overwrite").save()
                     good.append(k)
                 except Exception as e:  # noqa: BLE001
-                    results[k.name] = _failed(k.name, e)
+                    found |= _failed(k.name, e)
             live = good
-            self._take(live, text_field, results)
-        self.results = [results[n] for n in order if n in results]
+            found |= self._take(live, text_field)
+        self.outcome = found.of(*order)
         self.links: Callable[[], DataFrame] | None = None
         near = next((k for k in live if isinstance(k, NearDuplicateChecker)), None)
         if near is not None:
             self.links = lambda: near.candidates(self.rows)
 
-    def _take(self, checkers: list[BaseChecker], text_field: str, results: dict[str, CheckResult]) -> None:
-        annotated = annotate(self.rows, checkers).persist(StorageLevel.MEMORY_AND_DISK)
-        for r in summarise(annotated, checkers, text_field):
-            results[r.checker_name] = r
-        self.annotated = annotated
+    def _take(self, checkers: list[BaseChecker], text_field: str) -> Outcome:
+        self.annotated = materialise(annotate(self.rows, checkers), "annotated")
+        return summarise(self.annotated, checkers, text_field)
 
 
-def run_check(check: BaseChecker, df: DataFrame, text_field: str, id_col: str | None = None) -> CheckResult:
+def run_check(check: BaseChecker, df: DataFrame, text_field: str, id_col: str | None = None) -> Outcome:
     """One check alone."""
     ship_package(df.sparkSession)
     if isinstance(check, SchemaChecker):
         return check.look(df, text_field, df.count())
     if check.skipped():
-        return CheckResult(check.name, stats={"skipped": True})
+        return Outcome({check.name: {"skipped": True}})
     annotated = annotate(text_rows(df, text_field, id_col), [check])
-    return summarise(annotated, [check], text_field)[0]
+    return summarise(annotated, [check], text_field)
 
 
 def check_table(
     df: DataFrame, text_field: str = "text", config: CheckerConfig | None = None, id_col: str | None = None,
     dataset_id: str = "", split: str = "train",
-) -> Report:
-    """Report of all checks over a table."""
+) -> Checked:
+    """Outcome of all checks over a table."""
     run = CheckRun(df, text_field, config or CheckerConfig(), id_col)
-    return Report(dataset_id, split, run.total_rows, text_field, run.results)
+    return Checked(dataset_id, split, run.total_rows, text_field, run.outcome)
 
 
 def fix_table(
     df: DataFrame, text_field: str = "text", config: CheckerConfig | None = None, id_col: str | None = None,
     dataset_id: str = "", split: str = "train",
-) -> tuple[DataFrame, dict[str, Any], Report]:
+) -> tuple[DataFrame, dict[str, Any], Checked]:
     """Clean, check, remove rows, check again: the fixed table, the counts, the report after."""
     config = config or CheckerConfig()
     ship_package(df.sparkSession)
     columns = df.columns
     cleaned, stats = TextCleaner().fix_dataset(with_row_id(df, id_col), text_field)
-    cleaned = materialise(cleaned, "cleaned")  # later passes neither clean again nor number rows anew
     run = CheckRun(cleaned, text_field, config, "row_id")
     links = run.links() if run.links and config.near_dup_keep == "per_cluster" else None
     kept, removed = RowFilter(config).filter_dataset(cleaned, run.annotated, links)
     fixed = materialise(kept, "fixed")
     after = CheckRun(fixed, text_field, config, "row_id")
-    report = Report(dataset_id, split, after.total_rows, text_field, after.results)
+    report = Checked(dataset_id, split, after.total_rows, text_field, after.outcome)
     return fixed.select(*columns), {**stats, "filter_stats": removed}, report
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.session import fresh_name
+
 #: Formats by file ending; anything else, and folders, are Parquet.
 FORMATS = {
-    ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".csv": "csv", ".tsv": "csv", ".txt": "text", ".orc": "orc",
+    ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".csv": "csv", ".tsv": "tcsv", ".txt": "text", ".orc": "orc",
 }
 SAMPLE_SEED = 42
 
@@ -21,23 +24,33 @@ def _files(spark: SparkSession, pattern: str) -> list[str]:
     return [] if found is None else [f.getPath().toString() for f in found]
 
 
+def _read(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    reader = spark.read.format("csv" if kind == "tcsv" else kind)
+    if kind in ("csv", "tcsv"):
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("sep", "\t" if kind == "tcsv" else ",")
+    df = reader.load(paths)
+    return df.withColumnRenamed("value", "text") if kind == "text" else df
+
+
 def read_table(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
-    """A table of one split: files ``<split>-*`` or ``<split>.*`` of a folder, else a column ``split``, else all of it."""
+    """A table of one split: files ``<split>-*`` or ``<split>.*`` or a folder of its name, else all of the path.
+
+    Files of several formats are read each by its own and joined by column
+    names.  A column called ``split`` is a column like any other.
+    """
     base = path.rstrip("/")
     own = _files(spark, f"{base}/{split}-*") or _files(spark, f"{base}/{split}.*") or _files(spark, f"{base}/{split}")
     names = own or _files(spark, f"{base}/*") or [base]
-    endings = {os.path.splitext(n)[1].lower() for n in names}
-    kind = next((FORMATS[e] for e in sorted(endings) if e in FORMATS), "parquet")
-    reader = spark.read.format(kind)
-    if kind == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-        reader = reader.option("sep", "\t" if ".tsv" in endings else ",")
-    df = reader.load(own or base)
-    if kind == "text":
-        df = df.withColumnRenamed("value", "text")
-    if not own and "split" in df.columns:
-        df = df.where(F.col("split") == split)
-    return df
+    by_kind: dict[str, list[str]] = {}
+    for n in names:
+        kind = FORMATS.get(os.path.splitext(n)[1].lower())
+        if kind:
+            by_kind.setdefault(kind, []).append(n)
+    if len(by_kind) <= 1:
+        return _read(spark, next(iter(by_kind), "parquet"), own or [base])
+    tables = [_read(spark, kind, paths) for kind, paths in sorted(by_kind.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def load_dataset(
@@ -56,21 +69,21 @@ def load_dataset(
 def with_row_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """``df`` with ``row_id``: the given id column, or a dense position.
 
-    Positions come from each partition's size (one small row a partition) and
-    the place in the partition, inside the JVM.
+    Positions come from each partition's size and the place in the partition,
+    inside the JVM.  The sizes are a small table, one row a partition, that is
+    joined; the join moves no row unless there are very many partitions.
     """
     if id_col:
         return df.withColumn("row_id", F.col(id_col).cast("long"))
-    own = F.monotonically_increasing_id()
-    part, place = F.shiftright(own, 33), own.bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = df.select(part.alias("part")).groupBy("part").count().orderBy("part").collect()
-    first, at = [], 0
-    for r in sizes:
-        first += [F.lit(r["part"]), F.lit(at).cast("long")]
-        at += r["count"]
-    if not first:
-        return df.withColumn("row_id", F.lit(None).cast("long"))
-    return df.withColumn("row_id", F.element_at(F.create_map(*first), part) + place)
+    columns = [c for c in df.columns if c.lower() != "row_id"]
+    own, part = fresh_name(df, "own"), fresh_name(df, "part")
+    numbered = df.withColumn(own, F.monotonically_increasing_id()).withColumn(part, F.shiftright(own, 33))
+    sizes = numbered.groupBy(part).count()
+    first = F.sum("count").over(Window.orderBy(part)) - F.col("count")
+    sizes = sizes.select(part, first.alias("row_id"))
+    place = F.col(own).bitwiseAND(F.lit((1 << 33) - 1))
+    joined = numbered.select(*[f"`{c}`" for c in columns], own, part).join(sizes, part)
+    return joined.select(*[f"`{c}`" for c in columns], (F.col("row_id") + place).alias("row_id"))
 
 
 def sample(df: DataFrame, size: int | None, id_col: str | None = None, seed: int = SAMPLE_SEED) -> DataFrame:

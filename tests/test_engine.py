@@ -12,7 +12,7 @@ from corpusloom import cli
 from corpusloom.config import CheckerConfig
 from corpusloom.functions import language, minhash, patterns, repair
 from corpusloom.functions import text as T
-from corpusloom.models import Severity
+from corpusloom.outcome import ERROR, INFO, WARNING
 from corpusloom.operators import BaseChecker, get_all_checkers, get_checker
 from corpusloom.operators.cleaner import TextCleaner
 from corpusloom.plans import report as reports
@@ -29,11 +29,18 @@ def table(spark, texts):
 
 def check(spark, name, texts, **settings):
     checker = get_checker(name)(CheckerConfig(**settings))
-    return checker.check(table(spark, texts), "text", "row_id")
+    return Found(checker.check(table(spark, texts), "text", "row_id"), name)
 
 
-def flagged(result):
-    return sorted({i for issue in result.issues for i in issue.sample_indices})
+class Found:
+    """One check's part of an outcome."""
+
+    def __init__(self, outcome, name):
+        self.issues, self.stats = outcome.of(name).records, outcome.stats[name]
+
+
+def flagged(found):
+    return sorted({i for record in found.issues for i in record.sample})
 
 
 def test_registry_order():
@@ -45,13 +52,13 @@ def test_registry_order():
 def test_missing_field(spark):
     r = check(spark, "missing_field", [None, "", "a", " 　\x1c", "b"])
     assert flagged(r) == [0, 1, 3] and r.stats == {"total_rows": 5, "missing_count": 3, "missing_ratio": 0.6}
-    assert r.issues[0].severity is Severity.ERROR
+    assert r.issues[0].severity == ERROR
     assert check(spark, "missing_field", []).stats == {"total_rows": 0, "missing_count": 0, "missing_ratio": 0.0}
 
 
 def test_text_length(spark):
     r = check(spark, "text_length", ["x" * 49, "é" * 50, None, "x" * 101], max_length=100)
-    assert [(i.message, i.sample_indices) for i in r.issues] == [
+    assert [(i.message, i.sample) for i in r.issues] == [
         ("Found 1 rows with text shorter than 50 characters", [0]),
         ("Found 1 rows with text longer than 100 characters", [3]),
     ]
@@ -124,7 +131,7 @@ def test_java_patterns_equal_python_s(spark):
 def test_boilerplate(spark):
     texts = ["Copyright 2023 Example Corp and others", "see https://example.com/a and www.example.org", "mail me@example.com", "x", None]
     r = check(spark, "boilerplate", texts)
-    assert [(i.severity.value, i.sample_indices) for i in r.issues] == [("info", [0]), ("warning", [1]), ("warning", [2])]
+    assert [(i.severity, i.sample) for i in r.issues] == [("info", [0]), ("warning", [1]), ("warning", [2])]
 
 
 def test_token_length(spark):
@@ -137,8 +144,9 @@ def test_token_length(spark):
 
 def test_one_bad_check_leaves_the_others(spark):
     config = CheckerConfig(boilerplate_patterns=["("], token_encoding="no such encoding")
-    results = {r.checker_name: r for r in CheckRun(table(spark, ["a", None]), "text", config, "row_id").results}
-    assert list(results) == ORDER.split()
+    outcome = CheckRun(table(spark, ["a", None]), "text", config, "row_id").outcome
+    assert list(outcome.stats) == ORDER.split()
+    results = {name: Found(outcome, name) for name in outcome.stats}
     for name in ("boilerplate", "token_length"):
         assert results[name].issues[0].message.startswith("Checker raised an exception: ")
     assert results["missing_field"].stats["missing_count"] == 1
@@ -146,11 +154,12 @@ def test_one_bad_check_leaves_the_others(spark):
 
 def test_schema(spark):
     df = spark.createDataFrame([(0, 5), (1, None)], "row_id long, text long")
-    run = {r.checker_name: r for r in CheckRun(df, "text", CheckerConfig(skip_checkers=["token_length"]), "row_id").results}
-    assert run["schema"].issues[0].severity is Severity.WARNING and run["missing_field"].stats["missing_count"] == 1
+    outcome = CheckRun(df, "text", CheckerConfig(skip_checkers=["token_length"]), "row_id").outcome
+    run = {name: Found(outcome, name) for name in outcome.stats}
+    assert run["schema"].issues[0].severity == WARNING and run["missing_field"].stats["missing_count"] == 1
     assert run["text_length"].issues == []
-    gone = CheckRun(df, "body", CheckerConfig(), "row_id").results
-    assert [r.checker_name for r in gone] == ["missing_field", "schema"] and gone[1].error_count == 1
+    gone = CheckRun(df, "body", CheckerConfig(), "row_id").outcome
+    assert list(gone.stats) == ["missing_field", "schema"] and gone.of("schema").count(ERROR) == 1
 
 
 CASES = ["<p>Hello <b>world</b></p>", "A\x00B\x08C", "a    b\n\n\n\n\nc", "x<script>no</script>&amp;", "plain", None, "Ã©", " 　edge ", "tab\tcr\rend"]
@@ -267,9 +276,9 @@ def test_own_check(spark):
             return {"loud": F.coalesce(text == F.upper(text), F.lit(False))}
 
         def findings(self, text_field):
-            return [Finding("loud", Severity.INFO, "Found {n} loud rows")]
+            return [Finding("loud", INFO, "Found {n} loud rows")]
 
-    r = Shouting().check(table(spark, ["HEY", "hey", None]), "text", "row_id")
+    r = Found(Shouting().check(table(spark, ["HEY", "hey", None]), "text", "row_id"), "shouting")
     assert flagged(r) == [0] and r.issues[0].message == "Found 1 loud rows"
 
 
