@@ -1,24 +1,32 @@
 """Main text of HTML pages by composite text density.
 
 Each page is parsed once into a DOM (regular-expression tokens, implied end
-tags, raw-text elements).  Elements that by name, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts or comments are
-left out.  For every other node
+tags, raw-text elements).  For every node
 
     density = chars / tags * log_b((chars / link chars) * (tags / link tags)),
     b = ln(chars * link chars / plain chars + page link share * chars + e)
 
 with counts over its subtree, so links lower it.  A node's density sum adds up
-its children's densities.  The node with the largest sum holds the article; the
-least density on the path from it to the body is the threshold, and in every
-other subtree whose density reaches it the node of the largest sum is content
-too.  Inside an ``article`` or ``main`` element the whole element is taken.
+the densities of the blocks in it that are nearest (inline markup is looked
+through).  The node with the largest sum holds the article; the least density on
+the path from it to the body is the threshold, and in every other subtree whose
+density reaches it the node of the largest sum is content too.  ``article`` and
+``main`` decide only ties.
+
+Menus, footers, asides, forms, scripts, dialogs and hidden elements have no
+density and are never taken.  Words in a class or id (sidebar, related, ...)
+lower the density of an element to nothing, so nothing in it is chosen.  Within
+what is chosen they count only where a whole class name is made of them, and
+never against a heading, a paragraph, a list item or a table cell.
 
 The column is a row-local Arrow function: no shuffle, nothing gathered.
 
-Defined cases: null or empty html, and html without text, give an empty text;
-an unclosed comment or script reaches to the end of the page; a broken tag is
-text; repeated rows each get their own result; time is linear in the page.
+Defined cases: null or empty html, and html without text, give an empty text; an
+empty table gives no rows; an unclosed comment or script reaches to the end of
+the page; a broken tag is text; pages of any length are read whole, in linear
+time; of nodes of one sum, an ``article`` or ``main`` and then the first in page
+order is chosen; repeated rows each get their own result; further columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,6 +72,17 @@ _OUT_WORDS = frozenset(
     "overlay newsletter subscribe subscription share sharing social related recommended recommendations disqus respond "
     "widget widgets toolbar pagination pager login signup skip header".split()
 )
+#: Words that, beside those above, may make up a class name that counts within the article too.
+_BOX_WORDS = frozenset(
+    "box wrap wrapper container block area section list links link buttons button bar unit slot site page top bottom inner "
+    "outer left right posts post articles icons icon text form mobile desktop item items".split()
+)
+#: Elements that no class word takes out of the article.
+_KEPT = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figure figcaption article main body html".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
+    "strong sub sup time tt u var wbr".split()
+)
 _COMMENT_WORDS = frozenset("comment comments reply replies commentlist".split())
 
 
@@ -71,7 +90,9 @@ class Page:
     """A parsed page: nodes in page order, each after its parent."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.out = ["#root"], [-1], [0]
+        self.tag, self.parent = ["#root"], [-1]
+        #: By all class words, and by those that count within the article too.
+        self.out, self.strict = [0], [0]
         #: What follows in page order: (node, text) or (node, None) for the edge of a block.
         self.flow: list[tuple[int, str | None]] = []
         self._parse(html)
@@ -108,7 +129,8 @@ class Page:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(open_nodes[-1])
-            self.out.append(self._verdict(name, m[3]))
+            self.out.append(self._verdict(name, m[3], False))
+            self.strict.append(self._verdict(name, m[3], True) if self.out[-1] else 0)
             self._edge(node)
             if name == "br":
                 self.flow.append((open_nodes[-1], " "))
@@ -141,7 +163,7 @@ class Page:
         if self.tag[node] in _BLOCK:
             self.flow.append((node, None))
 
-    def _verdict(self, name: str, attributes: str) -> int:
+    def _verdict(self, name: str, attributes: str, strict: bool) -> int:
         """0: ordinary; 1: out unless it holds the article or most text; 2: out; 3: out unless it holds the article."""
         found = 2 if name in _OUT - {"form", "aside"} else 1 if name in _OUT else 0
         if not attributes or name in ("html", "body"):
@@ -160,24 +182,35 @@ class Page:
                 words = _WORDS.findall(value)
                 if any(w in _COMMENT_WORDS for w in words):
                     found = 3 if found < 2 else found
-                elif any(w in _OUT_WORDS for w in words):
+                elif _names_a_box(value, name) if strict else any(w in _OUT_WORDS for w in words):
                     found = max(found, 1)
             elif any(w in _COMMENT_WORDS for w in _WORDS.findall(value)):
                 found = 2
         return found
 
 
-def _left_out(page: Page) -> list[bool]:
+def _names_a_box(value: str, tag: str) -> bool:
+    """Whether one of the class names is made of box words alone, such as ``ad-container``."""
+    if tag in _KEPT:
+        return False
+    for token in value.split():
+        words = _WORDS.findall(token)
+        if any(w in _OUT_WORDS and w != "header" for w in words) and all(w in _OUT_WORDS or w in _BOX_WORDS for w in words):
+            return True
+    return False
+
+
+def _left_out(page: Page, verdicts: list[int]) -> list[bool]:
     """Which nodes are left out, by themselves or by an ancestor."""
     n = len(page.tag)
     wraps = [False] * n  # holds a heading of first order, an article or a main element
     for i in range(n - 1, 0, -1):
-        if (page.tag[i] in ("h1", "article", "main") and page.out[i] < 2) or wraps[i]:
+        if (page.tag[i] in ("h1", "article", "main") and verdicts[i] < 2) or wraps[i]:
             wraps[page.parent[i]] = True
     size, paragraphs = [0] * n, [0] * n
     surely = [False] * n
     for i in range(1, n):
-        surely[i] = surely[page.parent[i]] or page.out[i] >= 2
+        surely[i] = surely[page.parent[i]] or verdicts[i] >= 2
     for i, text in page.flow:
         if text and not surely[i]:
             size[i] += len(text)
@@ -189,8 +222,8 @@ def _left_out(page: Page) -> list[bool]:
     for i in range(1, n):
         up = page.parent[i]
         in_article[i] = in_article[up] or page.tag[i] in ("article", "main")
-        own = page.out[i] == 2 or (page.out[i] == 3 and not wraps[i])
-        own = own or (page.out[i] == 1 and not wraps[i] and (paragraphs[i] < 2 or size[i] <= 0.6 * size[0]))
+        own = verdicts[i] == 2 or (verdicts[i] == 3 and not wraps[i])
+        own = own or (verdicts[i] == 1 and not wraps[i] and (paragraphs[i] < 2 or size[i] <= 0.6 * size[0]))
         own = own or (page.tag[i] == "header" and not in_article[i])
         out[i] = out[up] or own
     return out
@@ -227,17 +260,17 @@ def _densities(page: Page, out: list[bool]) -> tuple[list[float], list[float]]:
             base = math.log(c * lc / max(1, c - lc) + share * c + math.e)
             density[i] = c / t * max(0.0, math.log(c / lc * t / lt)) / max(math.log(base), 1e-9) if base > 1 else 0.0
         if i:
-            total[page.parent[i]] += density[i]
+            total[page.parent[i]] += total[i] if page.tag[i] in _INLINE else density[i]
     return density, total
 
 
 def extract(html: str) -> str:
     """Main text of a page: its blocks, joined by line ends."""
     page = Page(html)
-    out = _left_out(page)
+    out, removed = _left_out(page, page.out), _left_out(page, page.strict)
     density, total = _densities(page, out)
     n = len(page.tag)
-    chosen = max(range(n), key=lambda i: total[i]) if n else 0
+    chosen = max(range(n), key=lambda i: (total[i], page.tag[i] in ("article", "main")))
     if total[chosen] == 0:
         chosen = 0
     path, threshold = chosen, density[chosen]
@@ -262,12 +295,6 @@ def extract(html: str) -> str:
     for i in range(1, n):
         if not out[i] and not on_path[i] and on_path[page.parent[i]] and density[i] >= threshold and total[best[i]] > 0:
             is_root[best[i]] = True
-    at = chosen
-    while at > 0:
-        if page.tag[at] in ("article", "main"):
-            is_root = [False] * n
-            is_root[at] = True
-        at = page.parent[at]
     taken = [False] * n
     taken[0] = is_root[0]
     for i in range(1, n):
@@ -278,7 +305,7 @@ def extract(html: str) -> str:
             if block:
                 blocks.append(block)
                 block = []
-        elif taken[i] and not out[i]:
+        elif taken[i] and not removed[i]:
             block.append(text)
     blocks.append(block)
     lines = (" ".join(htmllib.unescape("".join(b)).split()) for b in blocks)

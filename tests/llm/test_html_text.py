@@ -71,3 +71,56 @@ def test_column(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "y")], "page_id long, html string, text string")
     assert [r[0] for r in df.select(html_text.main_text(df["html"])).collect()] == ["", "", ""]
     assert df.limit(0).select(html_text.main_text(df["html"])).count() == 0
+
+
+def without_article(page):
+    return page.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def given_pages():
+    import pyarrow.dataset as ds
+
+    return ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table()["html"].to_pylist()
+
+
+def test_given_pages_without_article_elements():
+    for page in given_pages():
+        assert extract(without_article(page)) == plain_article(page)
+
+
+def test_density_decides(monkeypatch):
+    """Unmarked boxes beside the article: only their density tells them apart."""
+    links = "".join(f"<li><a href=/{i}>Some other story of the day, number {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>Title</h2><p>{P}</p><p>{P}</p></div><div><a href=/x>next page</a></div></body>"
+    want = "\n".join(["Title", P, P])
+    assert extract(page) == want
+    whole = html_text._densities
+    monkeypatch.setattr(html_text, "_densities", lambda page, out: ([0.0] * len(page.tag), [0.0] * len(page.tag)))
+    assert extract(page) != want
+    monkeypatch.setattr(html_text, "_densities", lambda page, out: tuple([-x for x in y] for y in whole(page, out)))
+    assert extract(page) != want
+
+
+ARTICLE = f"<h1>Title</h1><p>{P}</p>{{}}<p>{P}</p>"
+
+
+@pytest.mark.parametrize("shell", ["<body><main>{}</main></body>", "<body><div>{}</div><div class=sidebar><p>x</p></div></body>"])
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ("<div class='section-header'><h2>Part two</h2></div>", "Part two"),
+        ("<p class='share-price'>The share price rose.</p>", "The share price rose."),
+        ("<p class='notice'>Take notice.</p>", "Take notice."),
+        ("<h2 id='related-work'>Related work</h2>", "Related work"),
+        ("<div class='menu-of-the-day'><p>Soup.</p></div>", "Soup."),
+        ("<section class='modal-logic'><h3>Modal logic</h3></section>", "Modal logic"),
+        ("<div class='ad'>Buy now</div>", None),
+        ("<div class='related-posts'><h3>Related</h3><ul><li><a href=a>One</a></ul></div>", None),
+        ("<div class='newsletter box'><p>Subscribe!</p><form><input></form></div>", None),
+        ("<aside><p>Beside.</p></aside>", None),
+        ("<div hidden><p>Unseen.</p></div>", None),
+    ],
+)
+def test_class_words_within_the_article(shell, inner, kept):
+    want = ["Title", P, *([kept] if kept else []), P]
+    assert extract(shell.format(ARTICLE.format(inner))) == "\n".join(want)
