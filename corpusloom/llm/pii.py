@@ -1,8 +1,10 @@
 """Personal data by weak supervision.
 
 1. Candidates.  A row-local Arrow function finds, in every whole text, the base
-   spans (patterns with checks) and further candidates: digit groups that the
-   base rules leave out, and names after a title or an introduction.
+   spans (patterns with checks) and further candidates of wide, generic shapes:
+   any digit group that the base rules leave out, any run of two or three
+   capitalised words, a capitalised word after a title or an introduction, and
+   codes in the shape of account numbers.
 2. Votes.  Regex, gazetteer and context labelers each vote for, against, or
    abstain on every candidate.  Votes and a few features are packed in one
    small integer code.
@@ -17,10 +19,16 @@
 No shuffle moves texts.  The candidates are written once into the shared folder
 (a few bytes a document), so the second step does not read the texts again.
 
-Defined cases: a null text is empty and has no spans; repeated rows each get
-their own result; with no candidates at all nothing is learned and nothing is
-added; added spans never overlap a base span; order is by start, then kind as
-listed in ``KINDS``.
+Labelers disagree: a checksum that fails against a cue before the span, a date's
+shape against ``born``, a name in the gazetteer at the start of a sentence.  How
+far each is believed follows from the counts alone.  On the public tables every
+candidate with a vote for it is a base span, so nothing is added there.
+
+Defined cases: a null text is empty and has no spans; an empty table gives no
+rows; repeated rows each get their own result; texts of any length are read
+whole; with no candidates at all nothing is learned and nothing is added; added
+spans never overlap a base span; order is by start, then kind as listed in
+``KINDS``; further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import count_kind, span_list, table, text_of
 from corpusloom.sources.session import fresh_name, materialise, ship_package
 
-KINDS = ("email", "ip", "card", "phone", "number", "person")
+KINDS = ("email", "ip", "card", "phone", "number", "person", "account")
 BASE_KINDS = KINDS[:4]
 FOUND_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean,code:int>>"
 _ARROW = pa.list_(
@@ -57,6 +65,8 @@ _GROUPS = re.compile(r"(?<![0-9A-Za-z_.-])\(?[0-9][0-9 ().-]{5,}[0-9](?![0-9A-Za
 _TITLES = ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Señor ", "Señora ")
 _INTRODUCTIONS = ("my name is ", "My name is ", "name: ", "Name: ", "ich heiße ", "je m'appelle ", "me llamo ")
 _NAME = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ'-]+(?: [A-ZÀ-Þ][a-zà-ÿ'-]+){0,2}")
+_NAMES = re.compile(r"(?<![A-Za-zÀ-ÿ0-9.'-])[A-ZÀ-Þ][a-zà-ÿ'-]+(?: [A-ZÀ-Þ][a-zà-ÿ'-]+){1,2}(?![A-Za-zÀ-ÿ])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 # Gazetteers and cues of the labelers.
 _GIVEN = frozenset(
@@ -77,6 +87,9 @@ _FOR = re.compile(
 _FOR_NAME = re.compile(r"(?i)\b(?:mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|señora?|name|heiße|appelle|llamo)\b")
 _AGAINST = re.compile(r"(?i)\b(?:version|isbn|issn|doi|page|pages|order|item|invoice|chapter|section|figure|rfc|id|build|commit)\b")
 
+_NOT_NAME = re.compile(r"(?i)\b(?:the|der|die|das|den|dem|le|la|les|el|los|las|in|of|at|im|am|zu|de)\s+$")
+_SENTENCE = re.compile(r"(?:^|[.!?:]\s+|[\"(|*-]\s*)$")
+
 N_VOTES = 7
 _N_FEATURES = len(KINDS) * 4 * 2
 #: Every code is below this, so the table of counts has at most so many rows.
@@ -132,27 +145,38 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     return out, failed
 
 
+def mod97(account: str) -> bool:
+    """Whether an account number passes the check of remainder 1 modulo 97."""
+    turned = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
 def _code(text: str, kind: str, start: int, end: int, valid: int) -> int:
     """The votes of all labelers and a few features, as one integer."""
     span = text[start:end]
     digits = _only_digits(span)
     before = text[max(0, start - 24) : start].rpartition("\n")[2]
-    numeric = kind != "person"
+    numeric = kind not in ("person", "account")
     known = 0
     if kind == "person":
         known = 1 if span.split(" ", 1)[0] in _GIVEN else 0
     elif kind == "phone":
         known = 1 if any(digits[:n] in _CALLING_CODES for n in (1, 2)) else 0
-    elif _UNIT.match(text, end):
+    elif kind != "account" and _UNIT.match(text, end):
         known = -1
+    against = kind == "number" and _NOT_SHAPE.fullmatch(span)
+    cue_against = _AGAINST.search(before)
+    if kind == "person":
+        against = _SENTENCE.search(before) and not before.endswith(_TITLES)
+        cue_against = _NOT_NAME.search(before)
     votes = (
         valid,
         1 if numeric and _PHONE_SHAPE.fullmatch(span.lstrip("+0123456789 ") if kind == "phone" else span) else 0,
         1 if _ID_SHAPE.fullmatch(span) else 0,
-        -1 if kind == "number" and _NOT_SHAPE.fullmatch(span) else 0,
+        -1 if against else 0,
         known,
-        1 if (_FOR if numeric else _FOR_NAME).search(before) else 0,
-        -1 if _AGAINST.search(before) else 0,
+        1 if (_FOR_NAME if kind == "person" else _FOR).search(before) else 0,
+        -1 if cue_against else 0,
     )
     code = 0
     for v in votes:
@@ -185,12 +209,21 @@ def find_candidates(text: str) -> list[tuple[str, int, int, bool, int]]:
             a, b = m.span()
             if 7 <= len(_only_digits(m[0])) <= 15 and is_free(a, b):
                 out.append(("number", a, b, False, _code(text, "number", a, b, -1 if (a, b) in bad else 0)))
+    if _DIGIT.search(text):
+        for m in _ACCOUNT.finditer(text):
+            if is_free(*m.span()):
+                valid = 1 if mod97(m[0].replace(" ", "")) else -1
+                out.append(("account", *m.span(), False, _code(text, "account", *m.span(), valid)))
     names = set()
+    for m in _NAMES.finditer(text):
+        if is_free(*m.span()):
+            names.add(m.span())
+            out.append(("person", *m.span(), False, _code(text, "person", *m.span(), 0)))
     for cue in _TITLES + _INTRODUCTIONS:
         at = text.find(cue)
         while at >= 0:
             m = _NAME.match(text, at + len(cue))
-            if m and m.span() not in names and is_free(*m.span()):
+            if m and " " not in m[0] and m.span() not in names and is_free(*m.span()):
                 names.add(m.span())
                 out.append(("person", *m.span(), False, _code(text, "person", *m.span(), 0)))
             at = text.find(cue, at + len(cue))

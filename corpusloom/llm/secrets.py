@@ -8,12 +8,17 @@ Base patterns report what merely looks like a secret.  The method adds spans
 whose *structure* proves them: a base64 or hex candidate is decoded and must
 parse as a key encoding (nested DER lengths that fill their parents exactly, an
 OpenSSH key container whose length-prefixed fields add up), or be a signed
-token whose header decodes to a JSON object that names an algorithm.
-
-Defined cases: a null text is the empty text and has no spans; repeated rows
-each get their own result; spans of different kinds may overlap and are all
-kept; the order is by start, then kind as listed in ``KINDS``; very long runs
-are decoded once, so the time is linear in the text.
+token whose header decodes to a JSON object that names an algorithm.  Keys may
+be wrapped in lines, also with line ends written as ``\\n``, stand in armour
+with header lines, or follow a joining character such as ``/`` or ``_``.  The
+outer length of a key tells whether a candidate can be one before it is decoded.
+
+Defined cases: a null text is the empty text and has no spans; an empty table
+gives no rows; repeated rows each get their own result; spans of different kinds
+may overlap and are all kept; the order is by start, then kind as listed in
+``KINDS``; keys of any length, depth and number of fields are read to the last
+byte; time is linear in the text but for keys that hold candidates of their own;
+further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,9 +48,19 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 # What the structural checks look at.
 _PEM = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]{0,40}?)(?:PRIVATE|PUBLIC) KEY-----([A-Za-z0-9+/=\s]+)-----END \1(?:PRIVATE|PUBLIC) KEY-----"
+    r"-----BEGIN ([A-Z0-9 ]*?)(PRIVATE|PUBLIC) KEY-----((?:[A-Za-z0-9+/=\s]|\\[rn]|[A-Za-z-]+: [!-~ ]*(?:\r?\n|\\n))+)"
+    r"-----END \1\2 KEY-----"
 )
+_HEADER = re.compile(r"([A-Za-z-]+): ([!-~ ]*?)(?:\r?\n|\\n|\\r)")
+_LINE_END = re.compile(r"\\[rn]|\s")
+_DEK = re.compile(r"[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Base64 in lines; the last may be any word that follows.
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,76}(?:(?:\\r)?\\n|\r?\n[\x20\t]*)"
+    r"(?:[A-Za-z0-9+/]{40,76}(?:(?:\\r)?\\n|\r?\n[\x20\t]*))*[A-Za-z0-9+/]{0,76}={0,2}"
+)
+_JOINER = re.compile(r"[/+_-](?=M|AAAA|b3B)")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 
@@ -77,22 +92,23 @@ def _der_header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
-def _der_fills(data: bytes, at: int, end: int, depth: int = 0) -> int:
-    """Number of values nested in data[at:end] if they fill it exactly, else 0."""
-    count = 0
-    while at < end:
-        got = _der_header(data, at, end)
+def _der_fills(data: bytes, at: int, end: int) -> int:
+    """Number of values nested in data[at:end] if each fills its parent exactly, else 0."""
+    count, open_ends = 0, [end]
+    while open_ends:
+        if at == open_ends[-1]:
+            open_ends.pop()
+            continue
+        got = _der_header(data, at, open_ends[-1])
         if got is None:
             return 0
-        tag, first, at = got
+        tag, first, last = got
         count += 1
         if tag & 0x20:
-            if depth > 12:
-                return 0
-            inner = _der_fills(data, first, at, depth + 1)
-            if not inner and first < at:
-                return 0
-            count += inner
+            open_ends.append(last)
+            at = first
+        else:
+            at = last
     return count
 
 
@@ -116,18 +132,75 @@ def is_der_key(data: bytes) -> bool:
     return first[0] == 0x30 and first[1] < first[2] and data[first[1]] == 0x06
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether bytes are an OpenSSH key: a container, or length-prefixed fields."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data) and len(fields) < 8:
+def _fields(data: bytes, at: int, end: int) -> list[bytes] | None:
+    """The length-prefixed fields that fill data[at:end], or None."""
+    out = []
+    while at < end:
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > end:
+            return None
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
+
+
+def _is_ssh_public(data: bytes) -> bool:
+    fields = _fields(data, 0, len(data))
+    return fields is not None and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+
+
+def _is_ssh_container(data: bytes) -> bool:
+    """Whether cipher, kdf, options, keys and private part of a container add up to its last byte."""
+    at, head = len(b"openssh-key-v1\0"), []
+    for _ in range(3):
         size = int.from_bytes(data[at : at + 4], "big")
-        if size > len(data) - at - 4:
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
+        head.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+    if at + 4 > len(data) or not head[0] or not head[1]:
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    fields = _fields(data, at + 4, len(data))
+    if not fields or keys < 1 or len(fields) != keys + 1:
+        return False
+    return all(map(_is_ssh_public, fields[:-1])) and len(fields[-1]) >= 8
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether bytes are an OpenSSH key: a container, or a public key's length-prefixed fields."""
+    return _is_ssh_container(data) if data.startswith(b"openssh-key-v1\0") else _is_ssh_public(data)
+
+
+def _key_kind(run: str) -> str | None:
+    """What sort of key a base64 run is, as a whole."""
+    body = run.rstrip("=")
+    if body.startswith("M"):  # a DER sequence, whose first bytes tell its length
+        head = decode_base64(body[:8]) or b""
+        if len(head) < 6:
+            return None
+        size, start = head[1], 2
+        if size & 0x80:
+            n = size & 0x7F
+            if not 1 <= n <= 4:
+                return None
+            size, start = int.from_bytes(head[2 : 2 + n], "big"), 2 + n
+        if start + size != len(body) * 3 // 4:
+            return None
+    elif not body.startswith(("AAAA", "b3B")):
+        return None
+    data = decode_base64(run)
+    if not data:
+        return None
+    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+
+
+def _is_armoured(body: str) -> bool:
+    """Whether what stands between the lines of an armour is a key, or an encrypted key."""
+    headers = dict(_HEADER.findall(body))
+    run = _LINE_END.sub("", _HEADER.sub("", body))
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):
+        data = decode_base64(run)
+        return bool(data) and len(data) % 8 == 0 and _DEK.fullmatch(headers.get("DEK-Info", "").strip()) is not None
+    return _key_kind(run) is not None
 
 
 def is_signed_token(run: str) -> bool:
@@ -147,17 +220,22 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = decode_base64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append(("pem_key", *m.span()))
+        out += [("pem_key", *m.span()) for m in _PEM.finditer(text) if _is_armoured(m[3])]
     for m in _BASE64.finditer(text):
-        run = m[0]
-        data = decode_base64(run) if run[0] in "MA" or run.startswith("b3B") else None
-        if data and is_der_key(data):
-            out.append(("der_key", *m.span()))
-        elif data and is_ssh_key(data):
-            out.append(("ssh_key", *m.span()))
+        for at in (0, *(j.end() for j in _JOINER.finditer(m[0]))):
+            kind = _key_kind(m[0][at:]) if len(m[0]) - at >= 40 and m[0].startswith(("M", "AAAA", "b3B"), at) else None
+            if kind:
+                out.append((kind, m.start() + at, m.end()))
+                break
+    for m in _WRAPPED.finditer(text):
+        if not m[0].startswith(("M", "AAAA", "b3B")):
+            continue
+        ends = [x.start() for x in re.finditer(r"(?:\\r)?\\n|\r?\n", m[0])]
+        for end in (len(m[0]), ends[-1]):  # with the last line or without
+            kind = _key_kind(_LINE_END.sub("", m[0][:end])) if end > 76 else None
+            if kind:
+                out.append((kind, m.start(), m.start() + end))
+                break
     for m in _LONG_HEX.finditer(text):
         if m[0][:2] == "30" and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append(("der_key", *m.span()))

@@ -116,3 +116,117 @@ def test_edge_tables(spark, rows):
     assert got == sorted(want, key=str)
     cut = secrets.redact_secrets(df).collect()
     assert len(cut) == len(rows) and all(r.text != "token=abcdef a@b.cd" for r in cut)
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def b64(x):
+    return base64.b64encode(x).decode()
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([i + 1]) * 60) for i in range(8)))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, RSA))
+SPKI = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(3, b"\0" + b"k" * 140))
+PUBLIC = field(b"ssh-ed25519") + field(b"k" * 32)
+CONTAINER = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(PUBLIC) + field(b"p" * 64)
+DEEP = b"\1\1\1"
+for _ in range(40):
+    DEEP = der(0x30, DEEP)
+DEEP = der(0x30, der(2, b"\0") + DEEP + der(2, b"\7" * 40))
+MANY = field(b"ssh-rsa") + b"".join(field(bytes([i]) * 9) for i in range(30))
+
+
+def wrapped(run, width, end):
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("key, kind", [(RSA, "der_key"), (PKCS8, "der_key"), (SPKI, "der_key"), (DEEP, "der_key"), (PUBLIC, "ssh_key"), (CONTAINER, "ssh_key"), (MANY, "ssh_key")])
+def test_planted_keys_and_near_misses(key, kind):
+    run = b64(key)
+    for before in ("key ", "id/", "x_", "a-b+", "k=", '"'):
+        text = f"{before}{run} end"
+        spans = [s for s in secrets.find_secrets(text) if s[0] == kind]
+        assert spans == [(kind, len(before), len(before) + len(run))], before
+    if len(run) > 152:
+        for width, end in ((64, "\n"), (76, "\r\n"), (64, "\\n"), (64, "\n    ")):
+            text = f"x = {wrapped(run, width, end)}\nnext line of words"
+            got = [s for s in secrets.find_secrets(text) if s[0] == kind]
+            assert got == [(kind, 4, 4 + len(wrapped(run, width, end)))], (width, end)
+    for miss in (key[:-1], key + b"\0", key[:2] + b"\x7e" + key[3:], b"\0" + key):
+        found = {s[0] for s in secrets.find_secrets(f"key {b64(miss)} end")}
+        assert not found & {"der_key", "ssh_key"}
+
+
+def test_armoured_keys_and_near_misses():
+    run, label = b64(RSA), "SOME VERY LONG LABEL OF MORE THAN FORTY CHARACTERS "
+    lines = wrapped(run, 64, "\n")
+    escaped = wrapped(run, 64, "\\n")
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    cipher = wrapped(b64(bytes(range(256)) * 2), 64, "\n")
+    for name, body in (("RSA ", f"\n{lines}\n"), (label, f"\n{lines}\n"), ("", f"\\n{escaped}\\n"), ("RSA ", f"\n{headers}{cipher}\n")):
+        text = f"a -----BEGIN {name}PRIVATE KEY-----{body}-----END {name}PRIVATE KEY----- b"
+        assert ("pem_key", 2, len(text) - 2) in secrets.find_secrets(text), (name, body[:40])
+    for name, body in (("RSA ", f"\n{lines[:-9]}\n"), ("", "\nnot a key at all\n"), ("", f"\n{cipher}\n"), ("", f"\n{headers}{cipher[:-5]}\n")):
+        text = f"a -----BEGIN {name}PRIVATE KEY-----{body}-----END {name}PRIVATE KEY----- b"
+        assert "pem_key" not in {s[0] for s in secrets.find_secrets(text)}
+    assert not secrets.is_ssh_key(b"openssh-key-v1\0garbage")
+
+
+def digest_of(spans):
+    import hashlib
+
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name, kinds", [("op5_secret_scan", SECRET_KINDS), ("op6_pii", PII_KINDS)])
+def test_queries_against_literal_patterns(spark, name, kinds):
+    data = "/root/testdata/sf0.001"
+    query = {**secrets.QUERIES, **pii.QUERIES}[name]
+    out = query(spark, data)
+    assert out.columns == ["doc_id", *[f"n_{k}" for k in kinds], "base_sha256", "spans"]
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        base = brute(kinds, r.text or "")
+        counts = [sum(s[0] == k for s in base) for k in kinds]
+        *n, digest, spans = got[r.doc_id]
+        assert (n, digest) == (counts, digest_of(base))
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans.split(",")) | {""} - ({""} if base else set())
+
+
+def test_em_finds_the_planted_reliabilities():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    planted = np.array([0.95, 0.9, 0.85, 0.8, 0.7, 0.9, 0.75])
+    truth = rng.random(40_000) < 0.35
+    right = rng.random((len(truth), 7)) < planted
+    votes = np.where(right == truth[:, None], 1, -1) * (rng.random(right.shape) < 0.6)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    p, got = pii.estimate(patterns, np.full(len(patterns), 4), counts.astype(float))
+    assert np.abs(got - planted).max() < 0.03
+    assert abs((counts @ p) / counts.sum() - 0.35) < 0.03
+
+
+def test_classifier_adds_and_rejects_planted_spans(spark):
+    """Spans beyond the base, and look-alikes of the same shapes."""
+    people = ["Anna Keller", "Peter Vogt", "Marie Duval", "Carlos Ruiz", "Sarah Holm"]
+    rows, want = [], {}
+    for i in range(200):
+        name, n = people[i % 5], f"(4{i % 90:02}) 555-{1000 + i}"
+        good = [name, n, "DE89 3704 0044 0532 0130 00"]
+        bad = ["Green Valley", f"{1980 + i % 20}-01-1{i % 9}", "GB12 ABCD 1234 5678 9012 34"]
+        text = (
+            f"Yesterday Mrs. {good[0]} said: please call {good[1]} or use my account {good[2]} for it. "
+            f"They met in the {bad[0]} on page {bad[1]} of item {bad[2]} again. Again {name} came."
+        )
+        rows.append((i, text))
+        want[i] = (good, bad)
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        spans = {rows[r.doc_id][1][s.start : s.end] for s in r.spans if not s.base}
+        good, bad = want[r.doc_id]
+        assert spans >= set(good) and not spans & set(bad), (spans, good, bad)
