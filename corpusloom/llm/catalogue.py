@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from corpusloom.llm import bpe, graph_search, html_text, near_dups, packing, pii, quality, rules, secrets, substrings
+from corpusloom.llm import bpe, graph_search, html_text, near_dups, packing, pii, quality, rules, secrets, stages, substrings
 
 _MODULES = (near_dups, substrings, html_text, bpe, secrets, pii, packing, rules, quality, graph_search)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+#: The pipeline has no SQL either.
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+QUERIES["pipeline"] = stages.run
