@@ -1,74 +1,15 @@
 """A corpus pipeline of five stages, each written as Parquet before the next.
 
 Every stage takes all rows that its predecessor kept.  The last returns packed
-pieces instead of documents.
+pieces instead of documents.  The stages, and what they do with odd tables, are
+in ``corpusloom.llm.stages``.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corpusloom.llm.stages import STAGES, run
 
-from corpusloom.llm import near_dups, packing, pii, quality, substrings
-from corpusloom.llm.common import table
-from corpusloom.sources.session import materialise, ship_package
-
-
-def _measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_chars, where it has that column, true of the text again."""
-    return docs.select(
-        *[F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    )
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    ship_package(spark)
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of least id."""
-    ship_package(spark)
-    return near_dups.keep_one(docs)
-
-
-def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 400 bytes that occur again anywhere."""
-    ship_package(spark)
-    return _measured(substrings.remove_repeats(docs))
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
-    ship_package(spark)
-    return _measured(pii.redact(docs))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, and their places in sequences of 4096 tokens."""
-    ship_package(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("substrings", substring_stage),
-    ("pii", pii_stage),
-    ("packing", packing_stage),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: No stage can be expressed in SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, name)
-    return docs
