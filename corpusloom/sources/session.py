@@ -10,16 +10,23 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at a time; a longer row goes alone.
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, local mode) a folder of this process is made and recorded there.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and
+    Spark runs in this process (tests, local mode) a folder of this process is
+    made and recorded there; on a cluster no such folder is shared.
     """
     where = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not where:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set(CHECKPOINT_KEY, where)
     return where
@@ -42,7 +49,10 @@ def ship_package(spark: SparkSession) -> None:
 
     Functions that run in Python workers are pickled by reference, so the
     workers must be able to import the package wherever the driver was started.
+    Also bounds what goes to a worker at a time, unless the session says how much.
     """
+    if spark.conf.get(BATCH_KEY, None) in (None, "67108864b"):  # Spark's default
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_corpusloom_shipped", False):
         return
