@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,15 @@ def text_of(df: DataFrame, text_col: str = "text") -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return a worker's unused memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` of an array of spans, comma-joined in array order."""
     return F.array_join(

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, text_of
+from corpusloom.llm.common import give_back, table, text_of
 from corpusloom.llm.hashing import BASE, BASE_INVERSE, mixed, powers
 from corpusloom.operators.components import connected_components
 from corpusloom.sources.session import fresh_name, materialise, ship_package
@@ -133,6 +133,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1), pa.array(sizes, type=pa.int32()), pa.array(keys, type=pa.list_(pa.int64()))],
             names=["id", "digest", "n", "keys"],
         )
+    give_back()
 
 
 def _banded_lcs(a: list[int], b: list[int], band: int) -> int:
@@ -189,6 +190,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         pairs = zip(batch.column(2), batch.column(3))
         good = pa.array([similarity(x.as_py(), y.as_py(), threshold) >= threshold for x, y in pairs], type=pa.bool_())
         yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], names=["v1", "v2"])
+    give_back()
 
 
 def parity(text: str) -> bytes:
@@ -202,6 +204,7 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = pa.array([parity(t.as_py()) for t in batch.column(1)], type=pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["v", "parity"])
+    give_back()
 
 
 #: Two blocks, by length band and salt, of a bucket; a small bucket is one block.
@@ -249,6 +252,7 @@ def _possible(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             if len(js):
                 pair = [v.take(pa.array(np.full(len(js), i))), v.take(pa.array(js))]
                 yield pa.RecordBatch.from_arrays(pair, names=["v1", "v2"])
+    give_back()
 
 
 def _all_across(members: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:

@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, text_of
+from corpusloom.llm.common import give_back, table, text_of
 from corpusloom.sources.session import materialise, ship_package
 
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 16_384
-#: Words each worker remembers, about 170 bytes each; the table starts anew when full.
-WORD_CACHE = 600_000
+#: Words of a worker's table, about 170 bytes each; a full table is kept beside the new one until that is full.
+WORD_CACHE = 300_000
 PIECES_TYPE = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 _ARROW = pa.list_(
     pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -56,8 +56,8 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«¬®-±´¶-¸»¿-įı-žƀ-ȳ]*")
 class WordTokenizer:
     """Ids of texts by a word-level BPE file, repeated words looked up.
 
-    Words of plain text are encoded by the library once and remembered in a
-    table of bounded size.  Any other text, and text with special tokens in it,
+    Words of plain text are encoded by the library once and remembered in
+    two tables of bounded size.  Any other text, and text with special tokens in it,
     goes to the library as a whole, so ids are always the library's own.
     """
 
@@ -68,6 +68,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array("I", ids)
@@ -79,11 +80,13 @@ class WordTokenizer:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        words, known = text.lower().split(), self._known
-        missing = list(set(words).difference(known))
-        if len(known) + len(missing) > WORD_CACHE:
-            known.clear()
-            missing = list(set(words))
+        words = text.lower().split()
+        if len(self._known) > WORD_CACHE:  # words still in use come over from the old table
+            self._old, self._known = self._known, {}
+        known, old = self._known, self._old
+        missing = set(words).difference(known)
+        known.update([(w, old[w]) for w in missing if w in old])
+        missing = list(missing.difference(known))
         if missing:
             encoded = self.library.encode_batch_fast(missing, add_special_tokens=False)
             known.update(zip(missing, [self._pack(e.ids) for e in encoded]))
@@ -121,7 +124,9 @@ def token_pieces(text: Column, path: str, capacity: int = CAPACITY) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         t, end = tokenizer(path), END_ID.to_bytes(4, "little")
-        return pa.array([pieces_of(t.encode(x or "") + end, capacity) for x in texts.to_pylist()], type=_ARROW)
+        out = pa.array([pieces_of(t.encode(x.as_py() or "") + end, capacity) for x in texts], type=_ARROW)
+        give_back()
+        return out
 
     return F.arrow_udf(run, PIECES_TYPE)(text)
 

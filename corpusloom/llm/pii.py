@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import count_kind, span_list, table, text_of
+from corpusloom.llm.common import count_kind, give_back, span_list, table, text_of
 from corpusloom.sources.session import fresh_name, materialise, ship_package
 
 KINDS = ("email", "ip", "card", "phone", "number", "person", "account")
@@ -234,7 +234,9 @@ def find_candidates(text: str) -> list[tuple[str, int, int, bool, int]]:
 
 def _find_batch(texts: pa.Array) -> pa.Array:
     names = ("kind", "start", "end", "base", "code")
-    return pa.array([[dict(zip(names, s)) for s in find_candidates(t or "")] for t in texts.to_pylist()], type=_ARROW)
+    out = pa.array([[dict(zip(names, s)) for s in find_candidates(t.as_py() or "")] for t in texts], type=_ARROW)
+    give_back()
+    return out
 
 
 def candidates(text: Column) -> Column:
@@ -332,7 +334,10 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     accepted = frozenset(learn(materialise(found, "pii")))
 
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _redact(t, accepted) for t in texts.to_pylist()], type=pa.string())
+        values = (t.as_py() for t in texts)
+        out = pa.array([None if t is None else _redact(t, accepted) for t in values], type=pa.string())
+        give_back()
+        return out
 
     name = fresh_name(df, "redacted")
     out = df.withColumn(name, F.arrow_udf(cut, "string")(df[text_col].cast("string")))

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, text_of
+from corpusloom.llm.common import give_back, table, text_of
 from corpusloom.llm.hashing import BASE, BASE_INVERSE, mixed, powers
 from corpusloom.sources.session import fresh_name, materialise, ship_package
 
@@ -130,6 +130,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["v", "anchor", "first", "last", "at", "occurrence"],
             )
+    give_back()
 
 
 #: cid: digest of the bytes under the anchor; at: the anchor's place in the bytes; owner, first: where they stand.
@@ -154,6 +155,7 @@ def _context_batches(pieces: Iterator[tuple[int, int, bytes, bytes, int]]) -> It
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(rows, _CONTEXT.values())], names=list(_CONTEXT))
             rows, held = [[] for _ in _CONTEXT], 0
     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(rows, _CONTEXT.values())], names=list(_CONTEXT))
+    give_back()
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +369,7 @@ def _own_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator
             held[cid] = piece
     if held:
         yield close()
+    give_back()
 
 
 def _merged_shards(rows: pa.Table) -> pa.Table:
