@@ -48,7 +48,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import give_back, table, text_of
@@ -427,15 +427,20 @@ def _sorted_ranges(contexts: DataFrame, shard_bytes: int, merge_shards: int, gri
             hot = hot.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("anchor", "at", "bytes")])
             cut = materialise(hot.mapInArrow(lambda it: _class_rows(it, grid), _CONTEXT_TYPE), "classes")
             found = _sorted_ranges(cut, shard_bytes, merge_shards, tuple(finer))
-            out.append(_placed(cut, found, "cid").groupBy("cid").agg(F.collect_set("r").alias("ranges")))
+            out.append(_placed(cut, found).withColumnRenamed("owner", "cid"))
     return reduce(DataFrame.union, out)
 
 
-def _placed(contexts: DataFrame, ranges: DataFrame, owner: str) -> DataFrame:
-    """(owner, r): the ranges of contexts as ranges of what they were taken from."""
-    each = ranges.select("cid", F.explode("ranges").alias("r"))
-    moved = F.struct((F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.end")).alias("end"))
-    return contexts.select("cid", "owner", "first").join(each, "cid").select(F.col("owner").alias(owner), moved.alias("r"))
+def _placed(contexts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(owner, ranges): the ranges of contexts as ranges of what they were taken from, all of an owner in one array."""
+    each = ranges.groupBy("cid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    each = materialise(each, "ranges")  # as a table, so that the join can be split at a context in very many texts
+
+    def moved(r: Column) -> Column:
+        return F.struct((F.col("first") + r["start"]).alias("start"), (F.col("first") + r["end"]).alias("end"))
+
+    joined = contexts.select("cid", "owner", "first").join(each, "cid").select("owner", F.transform("ranges", moved).alias("r"))
+    return joined.groupBy("owner").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
 
 def repeated_ranges(
@@ -463,8 +468,8 @@ def repeated_ranges(
     wanted = kept.join(first_id, "v")
     carried = texts.select("v", "id", "text").join(wanted, ["v", "id"]).select("v", "text", "places")
     contexts = materialise(carried.mapInArrow(_context_rows, _CONTEXT_TYPE), "contexts")
-    found = _placed(contexts, _sorted_ranges(contexts, shard_bytes, merge_shards, grids), "owner")
-    return found.groupBy(F.lower(F.hex("owner")).alias("v")).agg(F.collect_set("r").alias("ranges"))
+    found = _placed(contexts, _sorted_ranges(contexts, shard_bytes, merge_shards, grids))
+    return found.select(F.lower(F.hex("owner")).alias("v"), "ranges")
 
 
 def _merged(ranges: list[dict]) -> list[list[int]]:
