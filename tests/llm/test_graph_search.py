@@ -55,3 +55,28 @@ def test_odd_vectors(spark):
     found = sorted(got[20])
     assert [f[1] for f in found] == [240, 240, *range(18)]
     assert gs.search(df.limit(0), asks).count() == 0
+
+
+def test_recall_over_several_shards(spark):
+    """Clustered vectors of uneven norms, one of them very common, in three shards and more."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    n = 21_000
+    x = (rng.normal(size=(60, 16)) * 2)[rng.integers(0, 60, n)] + rng.normal(size=(n, 16))
+    x = (x * rng.uniform(0.6, 1.6, size=(n, 1))).astype(np.float32).astype(float)
+    common = rng.permutation(n)[:3000]
+    x[common] = x[common[0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    out = gs.search(df, F.col("vec_id") % 100 == 0, shard_nodes=6000)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(0, n, 100))
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        truth = np.lexsort((np.arange(n), -score))[:20]
+        hits += len(set(truth.tolist()) & {v for _, v in found})
+    assert hits / (20 * len(got)) >= 0.9
