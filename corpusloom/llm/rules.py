@@ -22,7 +22,9 @@ rejects 82 of 301 of label 0 and 27 of 3302 of label 1.
 Defined cases: null text has no words and fails the base rules; a null language
 is a language of its own; where a language's documents are all alike the bands
 still have the width ``LEAST_SPREAD`` times ``WIDTH``; repeated rows each get
-their own result; an empty table gives no rows.
+their own result; an empty table gives no rows; texts of any length are counted and
+scored whole, ``STEP`` symbols at a time; a perplexity on the edge of its band
+is inside; further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ ORDER = 4
 BITS = 16
 #: Entries of the model that the driver holds at once.
 SHARD = 1 << 22
+#: Languages whose bands are broadcast at most; beyond, both sides are tables and the join can be split.
+BROADCAST_LANGS = 100_000
 WIDTH = 7.5
 LEAST_SPREAD = 0.01
 _SYMBOLS = "#*$%&|<>"
@@ -391,6 +395,8 @@ def apply_rules(
         (mid - width * F.greatest(mid - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("log_ppl_low"),
         (mid + width * F.greatest(F.col("q")[2] - mid, F.lit(LEAST_SPREAD))).alias("log_ppl_high"),
     )
+    bands = materialise(bands, "bands")  # one small row for each language
+    bands = F.broadcast(bands) if bands.count() <= BROADCAST_LANGS else bands
     inside = F.col("log_ppl").between(F.col("log_ppl_low"), F.col("log_ppl_high"))
     return scored.join(bands, scored["lang"] == bands["band_lang"], "left").select(
         F.col("id").alias(id_col),

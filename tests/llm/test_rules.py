@@ -115,3 +115,65 @@ def test_planted_junk_that_passes_the_base_rules_is_rejected(spark):
     assert not any(r.base_failed for r in got)
     assert not any(r.kept for r in got if r.doc_id >= 400)
     assert np.mean([r.kept for r in got if r.doc_id < 400]) >= 0.98
+
+
+def units(text):
+    raw = ("\n\n\n" + text).encode("utf-16-le", "surrogatepass")
+    return [raw[i] | raw[i + 1] << 8 for i in range(0, len(raw), 2)]
+
+
+def brute_model(texts):
+    """Mean negative log-probability of each text by modified Kneser-Ney, n-gram by n-gram."""
+    import math
+
+    counts = {4: Counter()}
+    for t in texts:
+        u = units(t)
+        counts[4].update(tuple(u[i : i + 4]) for i in range(len(u) - 3))
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    p, back = {}, {}
+    for n in (1, 2, 3, 4):
+        of = Counter(counts[n].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        d = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0), k) if of[k] else k / 2 for k in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, c in counts[n].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3) - 1]
+        back |= {x: max(freed[x] / total[x], 1e-9) for x in total}
+        for g, c in counts[n].items():
+            p[g] = (c - d[min(c, 3) - 1]) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * (p[g[1:]] if n > 1 else 2**-16)
+
+    def log_p(g):
+        if g in p:
+            return math.log(p[g])
+        return math.log(back.get(g[:-1], 1)) + (log_p(g[1:]) if len(g) > 1 else -16 * math.log(2))
+
+    out = []
+    for t in texts:
+        u = units(t)
+        n = len(u) - 3
+        out.append(-sum(log_p(tuple(u[i : i + 4])) for i in range(n)) / max(1, n))
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in rules.op8_quality_rules(spark, data).collect()}
+    kept = 0
+    for lang in {d.lang for d in docs}:
+        own = [d for d in docs if d.lang == lang]
+        ppl = dict(zip((d.doc_id for d in own), brute_model([d.text for d in own])))
+        assert all(abs(got[i].log_ppl - x) < 1e-4 for i, x in ppl.items())
+        base = {d.doc_id: brute(d.text) for d in own}
+        failed = {i: b[0] < 20 or 100 * b[4] > 30 * b[0] for i, b in base.items()}
+        passed = sorted(x for i, x in ppl.items() if not failed[i])
+        low, mid, high = (passed[-(-len(passed) * k // 4) - 1] for k in (1, 2, 3))
+        low, high = mid - rules.WIDTH * max(mid - low, 0.01), mid + rules.WIDTH * max(high - mid, 0.01)
+        for i, x in ppl.items():
+            if min(abs(x - low), abs(x - high)) > 1e-3:
+                assert got[i].kept == (not failed[i] and low <= x <= high)
+                kept += got[i].kept
+    assert 0 < kept < len(docs)
