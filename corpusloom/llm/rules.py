@@ -60,6 +60,7 @@ WIDTH = 7.5
 LEAST_SPREAD = 0.01
 _SYMBOLS = "#*$%&|<>"
 _OWN = ".,!?;:'\"-()|#*$%&<>_=@/+[]"
+_BLANK = "\x20\t\n\x0b\x0c\r"
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Symbols that a numpy step works on at once.
@@ -228,12 +229,23 @@ class HashModel:
         """Values of slots, and which of them are there."""
         if not len(self.slots):
             return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
-        at = np.minimum(np.searchsorted(self.slots, wanted), len(self.slots) - 1)
+        order = np.argsort(wanted)  # near searches stay near in memory
+        at = np.empty(len(wanted), dtype=np.int64)
+        at[order] = np.searchsorted(self.slots, wanted[order])
+        at = np.minimum(at, len(self.slots) - 1)
         return self.values[at].astype(float), self.slots[at] == wanted
 
     def log_p(self, gram: np.ndarray, model: int) -> np.ndarray:
-        """Log-probability of each 4-gram's last symbol; unseen ones back off."""
+        """Log-probability of each 4-gram's last symbol; unseen ones back off.  Equal 4-grams are looked up once."""
         gram = np.asarray(gram).astype(np.uint64)
+        order = np.argsort(gram)
+        ordered = gram[order]
+        head = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(gram)]
+        out = np.empty(len(gram))
+        out[order] = self._log_p(ordered[head], model)[np.cumsum(head) - 1]
+        return out
+
+    def _log_p(self, gram: np.ndarray, model: int) -> np.ndarray:
         out, seen = self.find(slot("p", ORDER, model, gram))
         left = np.flatnonzero(~seen)
         weight = np.zeros(len(left))
@@ -309,7 +321,7 @@ def repeated_words(words: list[str], width: int = 8) -> int:
 def base_rules(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
     words = split_words(text)
-    lines = [x for x in text.split("\n") if _SPACES.sub("", x)] if "\n" in text else []
+    lines = [x for x in text.split("\n") if x.strip(_BLANK)] if "\n" in text else []
     return (
         len(words),
         sum(map(len, words)),
