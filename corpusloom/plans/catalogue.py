@@ -25,6 +25,7 @@ from corpusloom.operators.checks import (
     NearDuplicateChecker,
     PiiChecker,
     TextLengthChecker,
+    TokenLengthChecker,
 )
 from corpusloom.operators.row_filter import REMOVING, RowFilter
 from corpusloom.plans.runner import annotate, fix_table, summarise, text_rows
@@ -223,6 +224,15 @@ def token_length_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where(F.octet_length("text") > 1000).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+def token_length_over(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of more than 1000 tokens of a public vocabulary, and how many they have."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    check = TokenLengthChecker(replace(SMALL, token_encoding=path, max_token_length=1000))
+    return check.over_limit(_rows(spark, d)).select(F.col("row_id").alias("doc_id"), *_long("token_count"))
+
+
 def control_char_clean(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", F.md5(repair.remove_control_chars(F.col("html")).cast("binary")).alias("digest"))
 
@@ -310,7 +320,7 @@ _ALL = (
     html_stats, pii_counts, pii_types, pii_matches, pii_values, boilerplate_first_match, url_density, email_density,
     control_whitespace, text_hash, exact_dup_flags, exact_dup_stats, exact_dup_keep_first, shingle_counts,
     minhash_signature, lsh_candidates, near_dup_flags, near_dup_keep, near_dup_keep_clusters, language_flags,
-    language_detect, token_length_candidates, control_char_clean, whitespace_clean, clean_stats, strip_html, fix_text,
+    language_detect, token_length_candidates, token_length_over, control_char_clean, whitespace_clean, clean_stats, strip_html, fix_text,
     mojibake_flags, row_filter_stats, row_filter_rows, check_summary, issue_samples, fix_before_after,
 )
 
@@ -431,6 +441,14 @@ ORACLE_SQL: dict[str, str] = {
     "pii_values": "select pii_type, value, count(*) as n from ("
     + " union all ".join(f"select '{k}' as pii_type, unnest(regexp_extract_all(text, '{p}')) as value from documents" for k, p in _PII.items())
     + ") group by pii_type, value",
+    "pii_matches": "with m as ("
+    + " union all ".join(
+        f"select doc_id, '{k}' as pii_type, regexp_extract_all(text, '{p}') as v, regexp_split_to_array(text, '{p}') as b from documents"
+        for k, p in _PII.items()
+    )
+    + "), i as (select *, unnest(range(1, len(v) + 1)) as i from m), s as (select doc_id, pii_type, v[i] as value, "
+    "(length(array_to_string(b[1:i], '')) + length(array_to_string(v[1:i - 1], '')))::bigint as start from i) "
+    'select doc_id, pii_type, value, start, start + length(value) as "end" from s',
     "boilerplate_first_match": f"select * from (select doc_id, {_FIRST} as matched_pattern from documents) where matched_pattern is not null",
     "url_density": f"select page_id, {_dense('html', _URL)} as density from pages",
     "email_density": f"select doc_id, {_dense('text', _PII['email'])} as density from documents",

@@ -292,3 +292,18 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     rows = spark.sql("select row_id, text, `text_length.short` as short from checked order by row_id").collect()
     assert [(r.text, r.short) for r in rows] == [("short", True), ("x" * 9, True), (None, False)]
+
+
+def test_token_counts_of_documents(spark):
+    import public_tokenizers as P
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from corpusloom.plans.catalogue import QUERIES
+
+    ranks = load_tiktoken_bpe(P.path("byte_bpe_multi_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    data = "/root/testdata/sf0.001"
+    counts = {r.doc_id: len(theirs.encode_ordinary(r.text)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r.token_count for r in QUERIES["token_length_over"](spark, data).collect()}
+    assert got == {i: n for i, n in counts.items() if n > 1000} and got
