@@ -27,9 +27,10 @@ from corpusloom.operators.checks import (
     TextLengthChecker,
     TokenLengthChecker,
 )
+from corpusloom.operators.cleaner import TextCleaner
 from corpusloom.operators.row_filter import REMOVING, RowFilter
 from corpusloom.plans.runner import annotate, fix_table, summarise, text_rows
-from corpusloom.sources.loader import sample
+from corpusloom.sources.loader import sample, with_row_id
 from corpusloom.sources.session import materialise, ship_package
 
 #: Patterns of phrases that the test tables have; the defaults seldom occur in them.
@@ -258,8 +259,6 @@ def strip_html(spark: SparkSession, d: str) -> DataFrame:
 
 def fix_text(spark: SparkSession, d: str) -> DataFrame:
     """All four cleaning steps."""
-    from corpusloom.operators.cleaner import TextCleaner
-
     return _pages(spark, d).select("page_id", TextCleaner().clean(F.col("html")).alias("text"))
 
 
@@ -267,9 +266,26 @@ def mojibake_flags(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", MojibakeChecker().measures(F.col("text"))["garbled"].alias("garbled"))
 
 
-def _removals(spark: SparkSession, d: str) -> DataFrame:
+def fix_stats(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages each cleaning step changes."""
+    _, stats = TextCleaner().fix_dataset(_pages(spark, d), "html")
+    return spark.createDataFrame([tuple(stats.values())], ", ".join(f"{k} long" for k in stats))
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
     checks = [c(SMALL) for c in (*_SQL_CHECKS, NearDuplicateChecker)]
-    return RowFilter(SMALL).removals(materialise(annotate(_rows(spark, d), checks), "annotated"))
+    return materialise(annotate(_rows(spark, d), checks), "annotated")
+
+
+def _removals(spark: SparkSession, d: str) -> DataFrame:
+    return RowFilter(SMALL).removals(_annotated(spark, d))
+
+
+def row_filter_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the row filter keeps, with their other columns."""
+    docs = with_row_id(_docs(spark, d), "doc_id")
+    kept, _ = RowFilter(SMALL).filter_dataset(docs, _annotated(spark, d))
+    return kept.select("doc_id", "lang", "source", "n_chars")
 
 
 def row_filter_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -321,7 +337,7 @@ _ALL = (
     control_whitespace, text_hash, exact_dup_flags, exact_dup_stats, exact_dup_keep_first, shingle_counts,
     minhash_signature, lsh_candidates, near_dup_flags, near_dup_keep, near_dup_keep_clusters, language_flags,
     language_detect, token_length_candidates, token_length_over, control_char_clean, whitespace_clean, clean_stats, strip_html, fix_text,
-    mojibake_flags, row_filter_stats, row_filter_rows, check_summary, issue_samples, fix_before_after,
+    mojibake_flags, fix_stats, row_filter_stats, row_filter_rows, row_filter_kept, check_summary, issue_samples, fix_before_after,
 )
 
 
@@ -481,6 +497,8 @@ ORACLE_SQL: dict[str, str] = {
     + f", count(*) filter ({' or '.join(REMOVING)}) as total_rows_removed, count(*) filter (not ({' or '.join(REMOVING)})) "
     "as rows_after_filter from f1",
     "row_filter_rows": _REMOVED + f" select doc_id from f1 where not ({' or '.join(REMOVING)})",
+    "row_filter_kept": _REMOVED
+    + f" select doc_id, lang, source, n_chars from documents join f1 using (doc_id) where not ({' or '.join(REMOVING)})",
     "check_summary": _TWIN
     + " "
     + " union all ".join(

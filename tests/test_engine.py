@@ -307,3 +307,13 @@ def test_token_counts_of_documents(spark):
     counts = {r.doc_id: len(theirs.encode_ordinary(r.text)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = {r.doc_id: r.token_count for r in QUERIES["token_length_over"](spark, data).collect()}
     assert got == {i: n for i, n in counts.items() if n > 1000} and got
+
+
+def test_cleaning_counts_of_pages(spark):
+    from corpusloom.plans.catalogue import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    row = QUERIES["fix_stats"](spark, data).first()
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    changed = sum(TextCleaner().fix_text(p) != p for p in pages)
+    assert (row.total_rows, row.total_fixed) == (len(pages), changed) and row.html_stripped > 0
