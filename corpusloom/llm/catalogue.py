@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, graph_search, html_text, near_dups, packing, pii, quality, rules, secrets, stages, substrings
+from corpusloom.llm import (
+    bpe, graph_search, html_text, near_dups, packing, pii, quality, rules, secrets, stages, substrings, vector_codes,
+)
 
-_MODULES = (near_dups, substrings, html_text, bpe, secrets, pii, packing, rules, quality, graph_search)
+_MODULES = (near_dups, substrings, html_text, bpe, secrets, pii, packing, rules, quality, graph_search, vector_codes)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 #: The pipeline has no SQL either.
