@@ -476,7 +476,7 @@ _SQL = (
     "c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by all), "
     "g as (select distinct lang, source from t), v as (select lang, count(*) as v from k group by lang), "
     "z as (select lang, source, coalesce(sum(n), 0)::hugeint as size from g left join c using (lang, source) group by all), "
-    "s as (select g.lang, g.source, term, coalesce(n, 0) as n, "
+    "s as (select g.lang, g.source, k.term, coalesce(n, 0) as n, "
     f"1 + ({SHARES}::hugeint * (coalesce(n, 0) + 1)) // (size + v) as p from g join z using (lang, source) join k on k.lang = g.lang "
     "join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term), "
     f"l as (select lang, term, 1 + ({SHARES}::hugeint * (sum(n) + 1)) // (any_value(whole) + any_value(v)) as q from c "
