@@ -23,6 +23,15 @@ PII = {
     "credit_card": rf"{_BEFORE}(?:\p{{Nd}}{{4}}[-{SPACE}]?){{3}}\p{{Nd}}{{4}}{_AFTER}",
     "ip_address": rf"{_BEFORE}(?:\p{{Nd}}{{1,3}}\.){{3}}\p{{Nd}}{{1,3}}{_AFTER}",
 }
+#: What a match needs of a text's runs of digits, one blank between them.
+NOT_DIGITS = r"\P{Nd}++"
+PII_DIGITS = {
+    "phone_us": r"\p{Nd}{3} ?\p{Nd}{3} ?\p{Nd}{4}",
+    "phone_jp": r"0\p{Nd}{1,4} \p{Nd}{1,4} \p{Nd}{3,4}",
+    "ssn": r"\p{Nd}{3} \p{Nd}{2} \p{Nd}{4}",
+    "credit_card": r"(?:\p{Nd}{4} ?){3}\p{Nd}{4}",
+    "ip_address": r"(?:\p{Nd}{1,3} ){3}\p{Nd}{1,3}",
+}
 STRIP = rf"\A[{SPACE}]+|[{SPACE}]+\z"
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,30 +17,176 @@ from corpusloom.functions import patterns as P
 from corpusloom.functions.text import strip
 
 
-def _byte_of() -> dict[str, int]:
-    """Characters by the byte that Windows-1252 shows as them; undefined bytes as C1 controls."""
-    out = {}
-    for b in range(256):
+#: Single-byte code pages in which UTF-8 may have been read, likeliest first.
+CODE_PAGES = (
+    "cp1252", "latin-1", "cp1251", "cp1250", "cp1253", "cp1254", "cp1257", "iso-8859-2", "mac-roman", "cp437",
+)
+#: A reading must lower a text's cost by more than this, so that one doubtful pair changes nothing.
+LEAST_GAIN = 1.2
+
+
+class _Page:
+    """A code page: the byte of each of its characters, and the character runs that read as UTF-8 in it."""
+
+    def __init__(self, name: str) -> None:
+        self.byte_of: dict[str, int] = {}
+        for b in range(0x80, 0x100):
+            try:
+                self.byte_of[bytes([b]).decode(name)] = b
+            except UnicodeDecodeError:
+                pass
+        for b in range(0x80, 0x100):  # undefined bytes were read as the control of their number
+            if b not in self.byte_of.values() or name == "cp1252":
+                self.byte_of.setdefault(chr(b), b)
+
+        def members(low: int, high: int) -> str:
+            return "".join(re.escape(c) for c, b in self.byte_of.items() if low <= b <= high)
+
+        trail = members(0x80, 0xBF)
+        self.garbled = re.compile(
+            f"[{members(0xC2, 0xDF)}][{trail}]|[{members(0xE0, 0xEF)}][{trail}]{{2}}|[{members(0xF0, 0xF4)}][{trail}]{{3}}"
+        )
+
+    def read(self, run: str) -> str:
+        """What a run of characters was in UTF-8; the run itself where it is not valid."""
         try:
-            out[bytes([b]).decode("cp1252")] = b
-        except UnicodeDecodeError:
-            pass
-        out.setdefault(chr(b), b)
-    return out
+            return bytes(self.byte_of[c] for c in run).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            return run
+
+
+_PAGES = [_Page(name) for name in CODE_PAGES]
+_PUNCTUATION = set("\u2018\u2019\u201c\u201d\u201a\u201e\u2013\u2014\u2026\u2022\u2039\u203a\u20ac\u2122\u3000\u3001\u3002\u00ab\u00bb\u00a1\u00bf\u00a3\u00a7\u00a9\u00ae\u00b0\u00b7\u00a0")
+#: Marks that seldom follow a letter at once.
+_AFTER_BLANK = set("\u201c\u201e\u201a\u00a1\u00bf\u00ab\u20ac\u00a3\u00a9\u00ae\u2122\u00b0\u00a7\u00a0")
+_USUAL = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "HEBREW", "ARABIC", "DEVANAGARI", "THAI")
+_EAST = {"CJK", "HIRAGANA", "KATAKANA", "HANGUL"}
+
+
+@lru_cache(maxsize=65_536)
+def _kind(c: str) -> tuple[float, str, str]:
+    """How implausible a character is, its script if it is a letter, and its case or class."""
+    if c < "\x80":
+        return 0.0, "LATIN" if c.isalpha() else "", "u" if c.isupper() else "l" if c.isalpha() else ""
+    cat = unicodedata.category(c)
+    if c in _PUNCTUATION:
+        return 1.0, "", "after" if c in _AFTER_BLANK else ""
+    if cat == "Cc":
+        return 4.0, "", ""
+    if cat in ("Cn", "Co", "Cf", "Cs") or c == "\ufffd":
+        return 5.0, "", ""
+    if cat[0] == "M":
+        return 2.0, "", ""
+    if cat[0] != "L" or c in "\u00aa\u00ba":
+        return 1.0 if c >= "\U0001f000" else 2.5 if "\u2500" <= c <= "\u25ff" else 2.0, "", "symbol"
+    script = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+    if script not in _USUAL:
+        return 3.0, script, ""
+    rare = "\u0180" <= c <= "\u02af" or "\u0460" <= c <= "\u0489" or "\u048a" <= c <= "\u052f"
+    cost = 2.5 if rare else 1.5 if c in "\u00c2\u00c3\u00e2" else 1.0
+    if script == "LATIN" and cost == 1.0 and c < "\u0180":  # letters of living languages; several in a row are a word
+        cost = 0.3 if cat == "Ll" and c < "\u0100" else 0.6
+    return cost, script, "u" if cat == "Lu" else "l" if cat == "Ll" else ""
+
+
+@lru_cache(maxsize=131_072)
+def implausibility(text: str) -> float:
+    """A cost that is high for sequences that no one writes."""
+    total, before = 0.0, ("", "")
+    for c in text:
+        cost, script, form = _kind(c)
+        total += cost
+        if before[0] and script and before[0] != script and not (before[0] in _EAST and script in _EAST):
+            total += 3.0
+        elif before[1] == "l" and form == "u":
+            total += 1.0
+        elif form in ("after", "symbol") and before[0] or script and before[1] == "symbol":
+            total += 0.5
+        before = script, form
+    return total
+
+
+Run = tuple[str, str, str]
+
+
+@lru_cache(maxsize=131_072)
+def _step(page: _Page, run: Run) -> Run:
+    """A run of characters beyond ASCII, between its neighbours, read by a page wherever that is no worse.
+
+    Where the whole run reads as UTF-8, that reading is taken if it is the more plausible.
+    """
+    left, text, right = run
+    whole = page.read(text)
+    at = 0
+    while m := page.garbled.search(text, at):
+        plain = page.read(m[0])
+        new = text[: m.start()] + plain + text[m.end() :]
+        a, b = max(0, m.start() - 1), m.end() + 1
+        old_part = (left if m.start() == 0 else "") + text[a:b] + (right if b > len(text) else "")
+        new_part = (left if m.start() == 0 else "") + text[a : m.start()] + plain + text[m.end() : b] + (right if b > len(text) else "")
+        if plain != m[0] and implausibility(new_part) <= implausibility(old_part):
+            text, at = new, m.start() + len(plain)
+        else:
+            at = m.start() + 1
+    if whole != run[1] and implausibility(left + whole + right) < implausibility(left + text + right):
+        text = whole
+    return left, text, right
+
+
+def ungarble(runs: dict[Run, int]) -> dict[Run, str]:
+    """The plausible reading of runs of characters, each with its neighbours and how often it occurs.
+
+    Best-first search over chains of code pages: a state is what all runs of a
+    text have become, its successors are the readings by one more page, and the
+    least implausible state is taken up first, until none of its successors is
+    better by ``LEAST_GAIN``.  Each reading is shorter than what it reads, so chains end by
+    themselves; there is no bound on their number.
+    """
+    start = tuple(runs)
+    often = list(runs.values())
+
+    def cost(state: tuple[Run, ...]) -> float:
+        return sum(n * implausibility("".join(r)) for n, r in zip(often, state))
+
+    queue, seen = [(cost(start), 0, start)], {start}
+    while True:
+        now, _, state = heapq.heappop(queue)
+        better = False
+        for page in _PAGES:
+            new = tuple(_step(page, r) for r in state)
+            if new not in seen:
+                seen.add(new)
+                new_cost = cost(new)
+                if new_cost < now - LEAST_GAIN:
+                    better = True
+                    heapq.heappush(queue, (new_cost, len(seen), new))
+        if not better:
+            break
+    return {r: new[1] for r, new in zip(start, state)}
 
 
-_BYTE_OF = _byte_of()
-_TRAIL = "".join(re.escape(c) for c, b in _BYTE_OF.items() if 0x80 <= b <= 0xBF)
+_BEYOND_ASCII = re.compile("[^\x00-\x7f]{2,}")  # one character alone is never a garbled one
 
 
-def _lead(low: int, high: int) -> str:
-    return "".join(re.escape(c) for c, b in _BYTE_OF.items() if low <= b <= high)
+def _readable(text: str) -> str:
+    """A text with its garbled characters read as what they were."""
+    runs: dict[Run, int] = {}
+    places = []
+    for m in _BEYOND_ASCII.finditer(text):
+        if any(p.garbled.search(m[0]) for p in _PAGES):
+            run = (text[m.start() - 1 : m.start()], m[0], text[m.end() : m.end() + 1])
+            runs[run] = runs.get(run, 0) + 1
+            places.append((m.start(), m.end(), run))
+    if not runs:
+        return text
+    plain = ungarble(runs)
+    out, at = [], 0
+    for a, b, run in places:
+        out += [text[at:a], plain[run]]
+        at = b
+    return "".join([*out, text[at:]])
 
 
-#: Characters that read as the bytes of one UTF-8 character.
-_GARBLED = re.compile(
-    f"[{_lead(0xC2, 0xDF)}][{_TRAIL}]|[{_lead(0xE0, 0xEF)}][{_TRAIL}]{{2}}|[{_lead(0xF0, 0xF4)}][{_TRAIL}]{{3}}"
-)
 _ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 _DROPPED = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]")
 _BREAKS = re.compile("\r\n|\r|\x85|\u2028|\u2029")
@@ -48,13 +196,6 @@ _QUOTES = str.maketrans({c: "'" for c in "\u2018\u2019\u201a\u201b"} | {c: '"' f
 _C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
-def _ungarble(m: re.Match) -> str:
-    try:
-        return bytes(_BYTE_OF[c] for c in m[0]).decode("utf-8")
-    except UnicodeDecodeError:
-        return m[0]
-
-
 def fix_text(text: str) -> str:
     """Text with its encoding damage undone and its odd characters made plain."""
     if text.isascii() and "&" not in text and "\r" not in text and not _DROPPED.search(text):
@@ -62,11 +203,7 @@ def fix_text(text: str) -> str:
     if "&" in text and "<" not in text:
         text = html.unescape(text)
     text = _ESCAPES.sub("", text)
-    for _ in range(4):  # text may be garbled several times over
-        plain = _GARBLED.sub(_ungarble, text)
-        if plain == text:
-            break
-        text = plain
+    text = _readable(text)
     text = re.sub("[\x80-\x84\x86-\x9f]", lambda m: _C1.get(m[0], m[0]), text)
     text = _LIGATURES.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
     text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)

@@ -1,9 +1,9 @@
 """What a check is: columns for each row, sums over rows, and a result made of the sums.
 
 A check never loops over rows.  It names *measures* (columns of the row), and
-*sums* (aggregates over the measures).  The runner puts the measures of all
-checks in one projection and all sums in one aggregate; from the one row that
-comes back each check makes its result.
+*totals* (measures to be summed).  The runner puts the measures of all checks in
+one projection, and all counts, totals and examples in one pass; from the few
+numbers that come back each check makes its result.
 """
 
 from __future__ import annotations
@@ -44,15 +44,29 @@ class BaseChecker:
         """
         return {}
 
-    def group_measures(self, rows: DataFrame) -> tuple[list[str], DataFrame] | None:
-        """Columns that need other rows: their names, and a table (row_id, ...) of the rows that have them.
+    def shared(self, rows: DataFrame) -> DataFrame | None:
+        """For a check that compares rows: a written table of the groups of two rows or more, (row_id, keys...).
 
-        ``rows`` has row_id and text.
+        ``rows`` has row_id and text.  When rows go, their rows of this table go
+        too, and the flags follow from what is left: no text is read again.
         """
         return None
 
+    def of_shared(self, shared: DataFrame) -> tuple[list[str], DataFrame]:
+        """Columns that follow from such a table: their names, and a table (row_id, ...) of the rows that have them."""
+        raise NotImplementedError
+
+    def group_measures(self, rows: DataFrame) -> tuple[list[str], DataFrame] | None:
+        """Columns that need other rows: their names, and a table (row_id, ...) of the rows that have them."""
+        shared = self.shared(rows)
+        return None if shared is None else self.of_shared(shared)
+
+    def totals(self) -> list[str]:
+        """Measures whose sum over all rows is wanted; booleans count their true rows."""
+        return []
+
     def sums(self) -> dict[str, Column]:
-        """Aggregates over the measures, which are columns named ``<check>.<measure>``."""
+        """Further aggregates over the measures, which are columns named ``<check>.<measure>``; one more pass."""
         return {}
 
     def findings(self, text_field: str) -> list[Finding]:

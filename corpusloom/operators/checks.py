@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -99,15 +100,15 @@ class LanguageChecker(BaseChecker):
     def is_other(self, lang: Column, score: Column) -> Column:
         return _true(~lang.isin(self.config.languages) & (score >= self.config.language_threshold))
 
-    def sums(self) -> dict[str, Column]:
-        return {"known": F.count_if(self.column("known"))}
+    def totals(self) -> list[str]:
+        return ["known"]
 
     def findings(self, text_field: str) -> list[Finding]:
         allowed = self.config.languages
         return [Finding("other", WARNING, f"Found {{n}} rows with non-target language (allowed: {allowed})")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
-        return {"checked_count": sums["known"] or 0, "non_target_count": flagged["other"]}
+        return {"checked_count": sums["known"], "non_target_count": flagged["other"]}
 
 
 @register
@@ -153,28 +154,36 @@ class ExactDuplicateChecker(_DuplicateChecker):
 
     name = "exact_duplicate"
 
-    def group_measures(self, rows: DataFrame) -> tuple[list[str], DataFrame]:
-        """Flags, and whether the row is the first of its group.
+    def measures(self, text: Column) -> dict[str, Column]:
+        return {"text": text.isNotNull()}
+
+    def shared(self, rows: DataFrame) -> DataFrame:
+        """(row_id, hash) of the texts that occur more than once.
 
         Texts are shuffled as hashes alone.  Groups are found by a partial
         aggregate and joined back, which adaptive execution splits where one
         text fills a partition.
         """
         hashed = rows.where(F.col("text").isNotNull()).select("row_id", T.sha256_hash(F.col("text")).alias("hash"))
-        groups = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).where("n > 1")
-        members = hashed.join(groups, "hash")
+        groups = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+        return materialise(hashed.join(groups, "hash"), "twins")
+
+    def of_shared(self, shared: DataFrame) -> tuple[list[str], DataFrame]:
+        """Flags, and whether the row is another than the first of its group."""
+        groups = shared.groupBy("hash").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).where("n > 1")
         later = F.col("row_id") != F.col("first")
+        members = shared.join(groups, "hash")
         return ["twin", "later"], members.select("row_id", F.lit(True).alias("twin"), later.alias("later"))
 
-    def sums(self) -> dict[str, Column]:
+    def totals(self) -> list[str]:
         # Each group of n rows has n - 1 that are not its first.
-        return {"later": F.count_if(self.column("later")), "texts": F.count("text_known")}
+        return ["later", "text"]
 
     def findings(self, text_field: str) -> list[Finding]:
         return [Finding("twin", WARNING, "Found {n} rows that are exact duplicates (by SHA-256 hash)")]
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
-        distinct = (sums["texts"] or 0) - (sums["later"] or 0)
+        distinct = sums["text"] - sums["later"]
         return {"total_rows": total_rows, "duplicate_count": flagged["twin"], "unique_count": distinct}
 
 
@@ -183,17 +192,14 @@ class NearDuplicateChecker(_DuplicateChecker):
     """Rows that share an LSH band with another row."""
 
     name = "near_duplicate"
-    _banded: tuple[DataFrame, DataFrame] | None = None
 
     def bands(self, rows: DataFrame) -> DataFrame:
         """(row_id, band, key): the band keys of every row that has words.
 
-        They are written once for a table of rows, so counting the keys, joining
-        back and linking clusters never computes signatures again.
+        They are written, so that counting the keys and joining back compute
+        signatures once.
         """
-        if self._banded is None or self._banded[0] is not rows:
-            self._banded = rows, materialise(self._bands(rows), "bands")
-        return self._banded[1]
+        return materialise(self._bands(rows), "bands")
 
     def _bands(self, rows: DataFrame) -> DataFrame:
         ship_package(rows.sparkSession)
@@ -204,17 +210,26 @@ class NearDuplicateChecker(_DuplicateChecker):
         keys = minhash.band_keys(F.col("signature"), bands, per)
         return signed.select("row_id", F.posexplode(keys).alias("band", "key"))
 
-    def candidates(self, rows: DataFrame) -> DataFrame:
-        """(first, row_id) for each band that rows share: a star of links, not all pairs."""
+    def shared(self, rows: DataFrame) -> DataFrame:
+        """(row_id, band, key) of the bands that rows have in common."""
         bands = self.bands(rows)
-        shared = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).where("n > 1")
-        shared = materialise(shared, "shared")  # as a table, so that the join can be split at a hot key
-        return bands.join(shared, ["band", "key"]).select("first", "row_id").distinct()
+        groups = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+        groups = materialise(groups, "shared")  # as a table, so that the join can be split at a hot key
+        return materialise(bands.join(groups, ["band", "key"]), "alike")
 
-    def group_measures(self, rows: DataFrame) -> tuple[list[str], DataFrame]:
-        flagged = self.candidates(rows).select("row_id").distinct()
+    def of_shared(self, shared: DataFrame) -> tuple[list[str], DataFrame]:
+        flagged = self.links(shared).select("row_id").distinct()
         return ["alike"], flagged.withColumn("alike", F.lit(True))
 
+    def links(self, shared: DataFrame) -> DataFrame:
+        """(first, row_id) for each band that rows have in common: a star of links, not all pairs."""
+        stars = shared.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).where("n > 1")
+        return shared.join(stars, ["band", "key"]).select("first", "row_id").distinct()
+
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """The links of a table of rows."""
+        return self.links(self.shared(rows))
+
     def findings(self, text_field: str) -> list[Finding]:
         t = self.config.minhash_threshold
         return [Finding("alike", WARNING, f"Found {{n}} rows that are near-duplicates (MinHash Jaccard threshold={t})")]
@@ -234,19 +249,19 @@ class PiiChecker(BaseChecker):
 
     def measures(self, text: Column) -> dict[str, Column]:
         counts = {f"n_{k}": c for k, c in T.pii_counts(text).items()}
-        return {"found": T.has_pii(text), **counts}  # the flag alone stops at the first match
+        return {"found": _true(reduce(Column.__add__, counts.values()) > 0), **counts}  # each count is computed once
 
-    def sums(self) -> dict[str, Column]:
-        return {k: F.sum(self.column(f"n_{k}").cast("long")) for k in patterns.PII}
+    def totals(self) -> list[str]:
+        return [f"n_{k}" for k in patterns.PII]
 
     def findings(self, text_field: str) -> list[Finding]:
         return [Finding("found", WARNING, "Found {n} rows containing PII")]
 
     def details(self, finding: Finding, sums: dict[str, Any]) -> dict[str, Any]:
-        return {"pii_types": {k: sums[k] for k in patterns.PII if sums[k]}}
+        return {"pii_types": {k: sums[f"n_{k}"] for k in patterns.PII if sums[f"n_{k}"]}}
 
     def stats(self, total_rows: int, flagged: dict[str, int], sums: dict[str, Any]) -> dict[str, Any]:
-        seen = {f"pii_{k}_count": sums[k] for k in patterns.PII if sums[k]}
+        seen = {f"pii_{k}_count": sums[f"n_{k}"] for k in patterns.PII if sums[f"n_{k}"]}
         return {"total_rows": total_rows, "pii_detected_count": flagged["found"], **seen}
 
     @staticmethod

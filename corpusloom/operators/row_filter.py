@@ -59,10 +59,8 @@ class RowFilter:
         alike = F.col("near_duplicate") & ~F.coalesce("kept", F.lit(False))
         return out.withColumn("near_duplicate", alike).drop("kept")
 
-    def filter_dataset(
-        self, df: DataFrame, annotated: DataFrame, links: DataFrame | None = None
-    ) -> tuple[DataFrame, dict[str, Any]]:
-        """The rows of ``df`` (with row_id) that stay, and the counts.
+    def removed(self, annotated: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, dict[str, Any]]:
+        """(row_id) of the rows that go, as a written table, and the counts.
 
         A row that several checks remove counts once in the total and once for
         each check.
@@ -71,8 +69,15 @@ class RowFilter:
         gone = F.lit(False)
         for c in REMOVING:
             gone = gone | F.col(c)
+        out = materialise(reasons.where(gone), "removed")
         counts = [F.count_if(F.col(c)).alias(c) for c in REMOVING]
-        got = reasons.agg(*counts, F.count_if(gone).alias("total_rows_removed"), F.count("*").alias("rows")).first().asDict()
-        stats = {k: v for k, v in got.items() if k != "rows"}
-        stats["rows_after_filter"] = got["rows"] - got["total_rows_removed"]
-        return df.join(reasons.where(gone).select("row_id"), "row_id", "left_anti"), stats
+        stats = out.agg(*counts, F.count("*").alias("total_rows_removed")).first().asDict()
+        stats["rows_after_filter"] = annotated.count() - stats["total_rows_removed"]
+        return out.select("row_id"), stats
+
+    def filter_dataset(
+        self, df: DataFrame, annotated: DataFrame, links: DataFrame | None = None
+    ) -> tuple[DataFrame, dict[str, Any]]:
+        """The rows of ``df`` (with row_id) that stay, and the counts."""
+        out, stats = self.removed(annotated, links)
+        return df.join(out, "row_id", "left_anti"), stats

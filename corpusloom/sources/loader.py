@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.sources.session import fresh_name
+from corpusloom.sources.session import fresh_name, materialise
 
 #: Formats by file ending; anything else, and folders, are Parquet.
 FORMATS = {
     ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".csv": "csv", ".tsv": "tcsv", ".txt": "text", ".orc": "orc",
 }
 SAMPLE_SEED = 42
+#: Files whose sizes are broadcast at most, about 150 bytes each; beyond, they are joined as a table.
+BROADCAST_FILES = 100_000
 
 
 def _files(spark: SparkSession, pattern: str) -> list[str]:
@@ -66,24 +68,38 @@ def load_dataset(
     return sample(df, sample_size, id_col)
 
 
-def with_row_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
-    """``df`` with ``row_id``: the given id column, or a dense position.
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a table is Parquet files just as they lie, so that its rows have a place in them."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet"
 
-    Positions come from each partition's size and the place in the partition,
-    inside the JVM.  The sizes are a small table, one row a partition, that is
-    joined; the join moves no row unless there are very many partitions.
+
+def with_row_id(df: DataFrame, id_col: str | None = None, name: str = "row_id") -> DataFrame:
+    """``df`` with a column ``name``: the given id column, or a dense position from 0.
+
+    A position is the number of rows in the files before, by name, and the place
+    in the file.  Anything but a plain scan of Parquet files is first written, so
+    every later use reads the same rows with the same positions, however often or
+    in whatever partitions its plan would run.  The sizes of files are a small
+    table, one row a file.
     """
     if id_col:
-        return df.withColumn("row_id", F.col(id_col).cast("long"))
-    columns = [c for c in df.columns if c.lower() != "row_id"]
-    own, part = fresh_name(df, "own"), fresh_name(df, "part")
-    numbered = df.withColumn(own, F.monotonically_increasing_id()).withColumn(part, F.shiftright(own, 33))
-    sizes = numbered.groupBy(part).count()
-    first = F.sum("count").over(Window.orderBy(part)) - F.col("count")
-    sizes = sizes.select(part, first.alias("row_id"))
-    place = F.col(own).bitwiseAND(F.lit((1 << 33) - 1))
-    joined = numbered.select(*[f"`{c}`" for c in columns], own, part).join(sizes, part)
-    return joined.select(*[f"`{c}`" for c in columns], (F.col("row_id") + place).alias("row_id"))
+        return df.withColumn(name, F.col(id_col).cast("long"))
+    scanned = df if _is_scan(df) else materialise(df, "rows")
+    file, at, of, before = (fresh_name(df, x) for x in ("file", "at", "of", "before"))
+    columns = [f"`{c}`" for c in df.columns if c.lower() != name.lower()]
+    meta = scanned.metadataColumn("_metadata")
+    placed = scanned.select(*columns, meta["file_path"].alias(file), meta["row_index"].alias(at))
+    sizes = placed.groupBy(file).agg(F.count("*").alias("n"))
+    first = F.sum("n").over(Window.orderBy(file)) - F.col("n")
+    sizes = sizes.select(F.col(file).alias(of), first.alias(before))
+    if len(scanned.inputFiles()) <= BROADCAST_FILES:
+        sizes = F.broadcast(sizes)
+    joined = placed.join(sizes, F.col(file) == F.col(of))
+    return joined.select(*columns, (F.col(before) + F.col(at)).alias(name))
 
 
 def sample(df: DataFrame, size: int | None, id_col: str | None = None, seed: int = SAMPLE_SEED) -> DataFrame:
@@ -93,9 +109,10 @@ def sample(df: DataFrame, size: int | None, id_col: str | None = None, seed: int
     """
     if not size or size >= df.count():
         return df
-    rows = with_row_id(df, id_col)
-    key = F.md5(F.concat(F.col("row_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
-    return rows.orderBy(key, "row_id").limit(size).select(*df.columns)
+    own = fresh_name(df, "place")
+    rows = with_row_id(df, id_col, own)
+    key = F.md5(F.concat(F.col(own).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return rows.orderBy(key, own).limit(size).select(*[f"`{c}`" for c in df.columns])
 
 
 def check_output_path(path: str) -> None:
