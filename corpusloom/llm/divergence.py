@@ -8,11 +8,11 @@ all kept terms, and with their language term by term.  All arithmetic is on
 integers.
 
 Plan.
-1. Each task counts terms in one byte trie for each language; a leaf holds the
-   number of documents and a counter for each source.  Tries are written as
-   pieces: runs of leaves in UTF-8 order, front-coded.
+1. Each task makes one byte trie of terms for each language; a leaf holds the
+   number of documents and a counter for each source.  A trie is laid out in
+   preorder and written as pieces: runs of leaves in UTF-8 order.
 2. Cuts at equal numbers of leaves make prefix ranges of a language.  Pieces are
-   cut there, and each range is merged into one trie by streaming its pieces, so
+   cut there, and each range is merged into one trie as its pieces stream in, so
    a language or a term of any frequency is split or folded, never gathered.
    Leaves of too few documents fall away.  The cuts sent to the tasks are at most
    ``CUTS``, whatever the corpus.
@@ -38,9 +38,9 @@ gives no rows; further columns play no part, whatever their names.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -54,11 +54,11 @@ from corpusloom.sources.session import materialise, ship_package
 LEAST_DOCS = 3
 SHARES = 1_000_000_000
 TOP = 200
-#: Leaves of a piece, of a prefix range, and of a task's tries before they are written.
+#: Leaves of a piece and of a prefix range, cuts of all languages, and counters of a task's tries before they are written.
 PIECE = 16_384
 RANGE = 1 << 18
 CUTS = 1 << 14
-HELD = 300_000
+HELD = 500_000
 SLICE = 1 << 20
 #: Numbers that a numpy step works on at once.
 STEP = 1 << 20
@@ -86,69 +86,77 @@ def term_lists(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-class _Node:
-    __slots__ = ("children", "docs", "counts")
-
-    def __init__(self) -> None:
-        self.children: dict[int, tuple[bytes, _Node]] = {}
-        self.docs = 0
-        self.counts: dict[str, int] | None = None
-
-
-Leaf = tuple[bytes, int, dict[str, int]]
+class RadixTrie:
+    """A radix trie over bytes, laid out in its preorder.
 
+    A leaf is told by how many bytes it shares with the leaf before, which is how
+    deep their branches part, and by the bytes below.  It has a number of
+    documents and a counter for each source that has it.  Leaves in this order
+    are in the order of UTF-8, a prefix range is a slice, and tries are merged by
+    merging their orders.
+    """
 
-class RadixTrie:
-    """A radix trie over bytes; a leaf holds a number of documents and a count for each source."""
-
-    def __init__(self) -> None:
-        self.root = _Node()
-        self.leaves = 0
-
-    def _place(self, term: bytes) -> _Node:
-        node, rest = self.root, term
-        while rest:
-            edge = node.children.get(rest[0])
-            if edge is None:
-                new = _Node()
-                node.children[rest[0]] = rest, new
-                return new
-            label, child = edge
-            if rest.startswith(label):
-                node, rest = child, rest[len(label) :]
-                continue
-            same = next((i for i, (x, y) in enumerate(zip(label, rest)) if x != y), min(len(label), len(rest)))
-            middle = _Node()
-            middle.children[label[same]] = label[same:], child
-            node.children[rest[0]] = label[:same], middle
-            node, rest = middle, rest[same:]
-        return node
-
-    def add(self, term: bytes, docs: int, counts: Iterable[tuple[str, int]]) -> None:
-        node = self._place(term)
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
-        node.docs += docs
-        own = node.counts
-        for source, n in counts:
-            own[source] = own.get(source, 0) + n
-
-    def merge(self, leaves: Iterable[Leaf]) -> None:
-        """Take in the leaves of another trie."""
-        for term, docs, counts in leaves:
-            self.add(term, docs, counts.items())
-
-    def __iter__(self) -> Iterator[Leaf]:
-        """Leaves in the order of their bytes."""
-        stack = [(b"", self.root)]
-        while stack:
-            term, node = stack.pop()
-            if node.counts is not None:
-                yield term, node.docs, node.counts
-            for first in sorted(node.children, reverse=True):
-                label, child = node.children[first]
-                stack.append((term + label, child))
+    def __init__(self, terms: list[bytes], docs: np.ndarray, width: np.ndarray, names: list[str], source: np.ndarray, count: np.ndarray) -> None:
+        self.terms, self.docs, self.width = terms, docs, width
+        self.names, self.source, self.count = names, source, count
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    @classmethod
+    def of_entries(cls, terms: list[bytes], docs: np.ndarray, names: list[str], leaf: np.ndarray, source: np.ndarray, count: np.ndarray) -> RadixTrie:
+        """A trie of sorted terms; ``leaf``, ``source`` and ``count`` are counters in any order, equal ones are added up."""
+        key = leaf * len(names) + source
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        total = np.add.reduceat(count[order], head) if len(head) else count[:0]
+        leaf, source = np.divmod(key[head], max(1, len(names)))
+        return cls(terms, docs, np.bincount(leaf, minlength=len(terms)), names, source, total)
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, Counter], docs: Counter) -> RadixTrie:
+        """The trie of one language: counts of terms by source, and numbers of documents."""
+        terms = sorted(docs)
+        place = dict(zip(terms, range(len(terms))))
+        sizes = [len(c) for c in counts.values()]
+        leaf = np.fromiter((place[t] for c in counts.values() for t in c), dtype=np.int64, count=sum(sizes))
+        count = np.fromiter(chain.from_iterable(c.values() for c in counts.values()), dtype=np.int64, count=sum(sizes))
+        own = np.fromiter(map(docs.__getitem__, terms), dtype=np.int64, count=len(terms))
+        return cls.of_entries(terms, own, list(counts), leaf, np.repeat(np.arange(len(sizes)), sizes), count)
+
+    @classmethod
+    def merged(cls, tries: list[RadixTrie]) -> RadixTrie:
+        every = list(chain.from_iterable(t.terms for t in tries))
+        order = sorted(range(len(every)), key=every.__getitem__)  # runs in order, so this is a merge
+        terms: list[bytes] = []
+        leaf = np.empty(len(every), dtype=np.int64)
+        for i in order:
+            if not terms or every[i] != terms[-1]:
+                terms.append(every[i])
+            leaf[i] = len(terms) - 1
+        docs = np.zeros(len(terms), dtype=np.int64)
+        np.add.at(docs, leaf, np.concatenate([t.docs for t in tries]))
+        names: dict[str, int] = {}
+        sources = [np.array([names.setdefault(n, len(names)) for n in t.names], dtype=np.int64)[t.source] for t in tries]
+        entries = np.repeat(leaf, np.concatenate([t.width for t in tries]))
+        return cls.of_entries(terms, docs, list(names), entries, np.concatenate(sources), np.concatenate([t.count for t in tries]))
+
+    def where(self, keep: np.ndarray) -> RadixTrie:
+        """The leaves that a mask keeps."""
+        entries = np.repeat(keep, self.width)
+        terms = [t for t, k in zip(self.terms, keep.tolist()) if k]
+        return RadixTrie(terms, self.docs[keep], self.width[keep], self.names, self.source[entries], self.count[entries])
+
+    def cut(self, a: int, b: int) -> RadixTrie:
+        """The leaves from a to b."""
+        ends = np.concatenate([[0], np.cumsum(self.width)])
+        mine = slice(int(ends[a]), int(ends[b]))
+        return RadixTrie(self.terms[a:b], self.docs[a:b], self.width[a:b], self.names, self.source[mine], self.count[mine])
+
+    def pieces(self, size: int) -> Iterator[RadixTrie]:
+        for at in range(0, len(self), size):
+            yield self.cut(at, min(len(self), at + size))
 
 
 #: A run of leaves in order: each term as bytes shared with the one before and a rest; counters of all leaves in a row.
@@ -161,36 +169,33 @@ _ARROW = {
     "shared": pa.list_(pa.int32()), "rest": pa.list_(pa.binary()), "docs": pa.list_(pa.int64()), "width": pa.list_(pa.int32()),
     "names": pa.list_(pa.string()), "source": pa.list_(pa.int32()), "count": pa.list_(pa.int64()), "sums": pa.list_(pa.int64()),
 }
+#: Bytes that a leaf may share with the one before.
+SHARED = 32
+
 
+def _common(terms: list[bytes]) -> np.ndarray:
+    """How many bytes, at most ``SHARED``, each term has in common with the one before; no term has a zero byte."""
+    bytes_ = np.array([t[:SHARED] for t in terms], dtype=f"S{SHARED}").view(np.uint8).reshape(len(terms), SHARED)
+    same = (bytes_[1:] == bytes_[:-1]) & (bytes_[1:] > 0)
+    return np.concatenate([[0], np.where(same.all(axis=1), SHARED, (~same).argmax(axis=1))])
 
-def pack(lang: str, at: int, leaves: list[Leaf]) -> pa.RecordBatch:
-    """One row that holds a run of leaves."""
-    place: dict[str, int] = {}
-    shared, rest, source, count = [], [], [], []
-    before = b""
-    for term, _, counts in leaves:
-        same, most = 0, min(len(term), len(before))
-        while same < most and term[same] == before[same]:
-            same += 1
-        shared.append(same)
-        rest.append(term[same:])
-        before = term
-        for name, n in counts.items():
-            source.append(place.setdefault(name, len(place)))
-            count.append(n)
-    sums = [0] * len(place)
-    for s, n in zip(source, count):
-        sums[s] += n
+
+def pack(lang: str, at: int, trie: RadixTrie) -> pa.RecordBatch:
+    """One row that holds a trie with leaves; sources that it has no counter of are left out."""
+    used, source = np.unique(trie.source, return_inverse=True)
+    shared = _common(trie.terms)
     row = {
-        "lang": lang, "range": at, "first": leaves[0][0], "last": leaves[-1][0], "n": len(leaves), "shared": shared, "rest": rest,
-        "docs": [d for _, d, _ in leaves], "width": [len(c) for _, _, c in leaves], "names": list(place), "source": source,
-        "count": count, "sums": sums,
+        "lang": lang, "range": at, "first": trie.terms[0], "last": trie.terms[-1], "n": len(trie), "shared": shared,
+        "rest": [t[k:] for t, k in zip(trie.terms, shared.tolist())], "docs": trie.docs, "width": trie.width,
+        "names": [trie.names[u] for u in used.tolist()], "source": source.ravel(), "count": trie.count,
+        "sums": np.bincount(source.ravel(), minlength=len(used)) * 0,
     }
+    np.add.at(row["sums"], row["source"], trie.count)
     return pa.RecordBatch.from_arrays([pa.array([row[c]], type=t) for c, t in _ARROW.items()], names=list(_ARROW))
 
 
 def terms_of(row: dict) -> list[bytes]:
-    """The terms of a packed run."""
+    """The terms of a packed trie."""
     out, before = [], b""
     for same, rest in zip(row["shared"], row["rest"]):
         before = before[:same] + rest
@@ -198,55 +203,39 @@ def terms_of(row: dict) -> list[bytes]:
     return out
 
 
-def unpack(row: dict) -> Iterator[Leaf]:
-    names, at = row["names"], 0
-    for term, docs, wide in zip(terms_of(row), row["docs"], row["width"]):
-        yield term, docs, {names[s]: n for s, n in zip(row["source"][at : at + wide], row["count"][at : at + wide])}
-        at += wide
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Packed rows, one at a time; numbers as numpy arrays."""
+    for i in range(batch.num_rows):
+        row = {}
+        for name in batch.schema.names:
+            value = batch.column(name)[i]
+            numbers = isinstance(value, pa.ListScalar) and pa.types.is_integer(value.type.value_type) and name != "shared"
+            row[name] = value.values.to_numpy().astype(np.int64) if numbers else value.as_py()
+        yield row
 
 
-def _runs(leaves: Iterable[Leaf], size: int) -> Iterator[list[Leaf]]:
-    run: list[Leaf] = []
-    for leaf in leaves:
-        run.append(leaf)
-        if len(run) == size:
-            yield run
-            run = []
-    if run:
-        yield run
+def unpack(row: dict) -> RadixTrie:
+    return RadixTrie(terms_of(row), row["docs"], row["width"], row["names"], row["source"], row["count"])
 
 
 def _count(batches: Iterator[pa.RecordBatch], piece: int, held: int) -> Iterator[pa.RecordBatch]:
-    """A task's tries, as pieces.  Counts of some batches are gathered before they go into the tries."""
-    tries: dict[str, RadixTrie] = {}
-    counts: dict[tuple[str, str], Counter] = {}
+    """A task's tries, one for each language, as pieces; written whenever they have more than ``held`` counters."""
+    counts: dict[str, dict[str, Counter]] = {}
     docs: dict[str, Counter] = {}
 
-    def pour() -> None:
-        of: dict[str, dict[bytes, list[tuple[str, int]]]] = {}
-        for (lang, source), c in counts.items():
-            own = of.setdefault(lang, {})
-            for term, n in c.items():
-                own.setdefault(term, []).append((source, n))
-        for lang, terms in of.items():
-            trie, seen = tries.setdefault(lang, RadixTrie()), docs[lang]
-            for term in sorted(terms):
-                trie.add(term, seen[term], terms[term])
+    def write() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            for part in RadixTrie.of_counts(own, docs[lang]).pieces(piece):
+                yield pack(lang, 0, part)
         counts.clear()
         docs.clear()
 
-    def write() -> Iterator[pa.RecordBatch]:
-        for lang, trie in tries.items():
-            for run in _runs(trie, piece):
-                yield pack(lang, 0, run)
-        tries.clear()
-
     for batch in batches:
         by: dict[tuple[str, str], list[bytes]] = {}
         for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
             by.setdefault((lang, source), []).append(text)
         for (lang, source), texts in by.items():
-            own = counts.setdefault((lang, source), Counter())
+            own = counts.setdefault(lang, {}).setdefault(source, Counter())
             seen = docs.setdefault(lang, Counter())
             distinct = []
             for raw in texts:
@@ -256,11 +245,8 @@ def _count(batches: Iterator[pa.RecordBatch], piece: int, held: int) -> Iterator
                     once.update(terms)
                 distinct.append(once)
             seen.update(chain.from_iterable(distinct))
-        if sum(map(len, counts.values())) > held:
-            pour()
-            if sum(t.leaves for t in tries.values()) > held:
-                yield from write()
-    pour()
+        if sum(len(c) for own in counts.values() for c in own.values()) > held:
+            yield from write()
     yield from write()
     give_back()
 
@@ -276,29 +262,35 @@ def _cut(batches: Iterator[pa.RecordBatch], cuts: dict[str, list[bytes]]) -> Ite
             if low == high:
                 yield one.set_column(1, "range", pa.array([low], type=pa.int32()))
                 continue
-            runs: dict[int, list[Leaf]] = {}
-            for leaf in unpack(one.to_pylist()[0]):
-                runs.setdefault(bisect_right(at, leaf[0]), []).append(leaf)
-            for place, run in runs.items():
-                yield pack(lang, place, run)
+            trie = unpack(next(rows_of(one)))
+            ends = [0, *(bisect_left(trie.terms, c) for c in at[low:high]), len(trie)]
+            for place, a, b in zip(range(low, high + 1), ends, ends[1:]):
+                if a < b:
+                    yield pack(lang, place, trie.cut(a, b))
 
 
-def _merge(batches: Iterator[pa.RecordBatch], piece: int, least: int) -> Iterator[pa.RecordBatch]:
-    """One trie for each range, of pieces sorted by range; its leaves of enough documents, as pieces."""
-    key, trie = None, RadixTrie()
+def _merge(batches: Iterator[pa.RecordBatch], piece: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """One trie for each range, of pieces sorted by range; its leaves of enough documents, as pieces.
+
+    Pieces are merged whenever they have more than ``most`` leaves, so a task holds
+    these and the range's distinct terms.
+    """
+    key, held = None, []
 
     def write() -> Iterator[pa.RecordBatch]:
-        for run in _runs((leaf for leaf in trie if leaf[1] >= least), piece):
-            yield pack(*key, run)
+        trie = RadixTrie.merged(held)
+        for part in trie.where(trie.docs >= least).pieces(piece):
+            yield pack(*key, part)
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
+        for row in rows_of(batch):
             if (row["lang"], row["range"]) != key:
                 if key is not None:
                     yield from write()
-                key, trie = (row["lang"], row["range"]), RadixTrie()
-            trie.merge(unpack(row))
+                key, held = (row["lang"], row["range"]), []
+            held.append(unpack(row))
+            if len(held) > 1 and sum(map(len, held)) > max(most, 2 * len(held[0])):
+                held = [RadixTrie.merged(held)]
     if key is not None:
         yield from write()
     give_back()
@@ -368,14 +360,13 @@ def _score(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "part", "item", "value"])
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
+        for row in rows_of(batch):
             names = [g["source"] for g in row["groups"]]
             whole = np.array([g["size"] for g in row["groups"]], dtype=np.int64) + row["kept"]
             place = {name: k for k, name in enumerate(names)}
-            source = np.array([place[name] for name in row["names"]], dtype=np.int64)[np.array(row["source"], dtype=np.int64)]
-            count = np.array(row["count"], dtype=np.int64)
-            term = np.repeat(np.arange(row["n"]), np.array(row["width"], dtype=np.int64))
+            source = np.array([place[name] for name in row["names"]], dtype=np.int64)[row["source"]]
+            count = row["count"]
+            term = np.repeat(np.arange(row["n"]), row["width"])
             for low in range(0, len(names), step := max(1, 4 * STEP // len(names))):
                 high = min(len(names), low + step)
                 sums = pair_sums(term, source, count, whole, low, high)
@@ -423,7 +414,7 @@ def merged_terms(rows: DataFrame, least: int = LEAST_DOCS, piece: int = PIECE, s
     cuts = _cuts(pieces, size, CUTS)
     ranged = pieces.mapInArrow(lambda it: _cut(it, cuts), PIECE_TYPE) if cuts else pieces
     dealt = ranged.repartition("lang", "range").sortWithinPartitions("lang", "range")
-    return materialise(dealt.mapInArrow(lambda it: _merge(it, piece, least), PIECE_TYPE), "merged")
+    return materialise(dealt.mapInArrow(lambda it: _merge(it, piece, least, size), PIECE_TYPE), "merged")
 
 
 def audit(

@@ -38,22 +38,37 @@ def brute(rows, least=dv.LEAST_DOCS, top=dv.TOP):
     return sorted(out)
 
 
+def leaves(trie):
+    ends = np.concatenate([[0], np.cumsum(trie.width)]).tolist()
+    return [
+        (t, d, {trie.names[s]: n for s, n in zip(trie.source[a:b].tolist(), trie.count[a:b].tolist())})
+        for t, d, a, b in zip(trie.terms, trie.docs.tolist(), ends, ends[1:])
+    ]
+
+
 def test_trie_holds_what_a_dictionary_does():
     rng = random.Random(1)
     words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))).encode() for _ in range(400)]
-    trie, other, want = dv.RadixTrie(), dv.RadixTrie(), {}
-    for i, w in enumerate(words):
-        (trie if i % 2 else other).add(w, 1, [(f"s{i % 3}", i)])
-        docs, counts = want.setdefault(w, [0, Counter()])
-        want[w][0] = docs + 1
-        counts[f"s{i % 3}"] += i
-    trie.merge(other)
-    got = list(trie)
-    assert [t for t, _, _ in got] == sorted(want) and trie.leaves == len(want)
+    words += [b"x" * n for n in (30, 31, 32, 33, 40, 40)]  # longer than what leaves share
+    want, tries = {}, []
+    for k in range(3):
+        counts, docs = {}, Counter()
+        for i, w in enumerate(words):
+            if i % 3 == k:
+                counts.setdefault(f"s{i % 4}", Counter())[w] += i + 1
+                docs[w] += 1
+                want.setdefault(w, [0, Counter()])[0] += 1
+                want[w][1][f"s{i % 4}"] += i + 1
+        tries.append(dv.RadixTrie.of_counts(counts, docs))
+    trie = dv.RadixTrie.merged(tries)
+    got = leaves(trie)
+    assert [t for t, _, _ in got] == sorted(want)
     assert all(d == want[t][0] and c == dict(want[t][1]) for t, d, c in got)
-    row = dv.pack("x", 0, got).to_pylist()[0]
-    assert list(dv.unpack(row)) == got
-    assert dict(zip(row["names"], row["sums"])) == dict(sum((Counter(c) for _, _, c in got), Counter()))
+    parts = [next(dv.rows_of(dv.pack("x", 0, p))) for p in trie.pieces(17)]
+    assert [x for p in parts for x in leaves(dv.unpack(p))] == got
+    sums = sum((Counter(dict(zip(p["names"], p["sums"].tolist()))) for p in parts), Counter())
+    assert sums == sum((Counter(c) for _, _, c in got), Counter())
+    assert leaves(trie.where(trie.docs >= 3)) == [x for x in got if x[1] >= 3]
 
 
 def test_shares_are_exact_for_great_numbers():
