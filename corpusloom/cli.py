@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from corpusloom.config import CheckerConfig
+from corpusloom.config import CheckerConfig, read_settings
 from corpusloom.outcome import ERROR, WARNING, Outcome
 from corpusloom.plans import report as reports
 from corpusloom.plans.runner import check_table, fix_table, merge_config
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return fail("DATASET_ID contains control characters. Only printable characters are allowed.", WARNINGS)
     try:
         if args.config:
-            config = CheckerConfig.from_yaml(args.config)
+            config = read_settings(args.config)
         else:
             config = CheckerConfig()
         config = merge_config(config, args.sample_size, args.skip_checker)

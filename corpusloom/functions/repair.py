@@ -6,7 +6,9 @@ import heapq
 import html
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
+from itertools import product
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -23,6 +25,9 @@ CODE_PAGES = (
 )
 #: A reading must lower a text's cost by more than this, so that one doubtful pair changes nothing.
 LEAST_GAIN = 1.2
+#: States that a search looks at after its best, and runs of a text that are searched together.
+PATIENCE = 3
+TOGETHER = 64
 
 
 class _Page:
@@ -68,6 +73,8 @@ def _kind(c: str) -> tuple[float, str, str]:
     """How implausible a character is, its script if it is a letter, and its case or class."""
     if c < "\x80":
         return 0.0, "LATIN" if c.isalpha() else "", "u" if c.isupper() else "l" if c.isalpha() else ""
+    if c in "\u0192\u02c6\u02dc":  # signs of code pages, not letters
+        return 1.0, "", "symbol"
     cat = unicodedata.category(c)
     if c in _PUNCTUATION:
         return 1.0, "", "after" if c in _AFTER_BLANK else ""
@@ -110,13 +117,16 @@ Run = tuple[str, str, str]
 
 
 @lru_cache(maxsize=131_072)
-def _step(page: _Page, run: Run) -> Run:
-    """A run of characters beyond ASCII, between its neighbours, read by a page wherever that is no worse.
+def _step(page: _Page, run: Run, whole: bool) -> Run:
+    """A run of characters beyond ASCII, between its neighbours, read by a page.
 
-    Where the whole run reads as UTF-8, that reading is taken if it is the more plausible.
+    Either the run as a whole, where that is valid UTF-8, or the more plausible of
+    that and of each sequence in it read for which that is no worse.
     """
     left, text, right = run
-    whole = page.read(text)
+    plain_whole = page.read(text)
+    if whole and plain_whole != text:
+        return left, plain_whole, right
     at = 0
     while m := page.garbled.search(text, at):
         plain = page.read(m[0])
@@ -128,19 +138,19 @@ def _step(page: _Page, run: Run) -> Run:
             text, at = new, m.start() + len(plain)
         else:
             at = m.start() + 1
-    if whole != run[1] and implausibility(left + whole + right) < implausibility(left + text + right):
-        text = whole
+    if plain_whole != run[1] and implausibility(left + plain_whole + right) < implausibility(left + text + right):
+        text = plain_whole
     return left, text, right
 
 
-def ungarble(runs: dict[Run, int]) -> dict[Run, str]:
+def ungarble(runs: dict[Run, int]) -> dict[Run, Run]:
     """The plausible reading of runs of characters, each with its neighbours and how often it occurs.
 
-    Best-first search over chains of code pages: a state is what all runs of a
-    text have become, its successors are the readings by one more page, and the
-    least implausible state is taken up first, until none of its successors is
-    better by ``LEAST_GAIN``.  Each reading is shorter than what it reads, so chains end by
-    themselves; there is no bound on their number.
+    Best-first search over chains of code pages: a state is what all the runs
+    have become, its successors are the readings by one more page, and the least
+    implausible state is taken up first.  The search ends when ``PATIENCE`` states
+    in a row gave nothing better than the best.  Each reading is shorter than what
+    it reads, so chains end by themselves; there is no bound on their length.
     """
     start = tuple(runs)
     often = list(runs.values())
@@ -148,43 +158,53 @@ def ungarble(runs: dict[Run, int]) -> dict[Run, str]:
     def cost(state: tuple[Run, ...]) -> float:
         return sum(n * implausibility("".join(r)) for n, r in zip(often, state))
 
-    queue, seen = [(cost(start), 0, start)], {start}
-    while True:
+    best, best_cost, since = start, cost(start), 0
+    queue, seen = [(best_cost, 0, start)], {start}
+    while queue and since < PATIENCE:
         now, _, state = heapq.heappop(queue)
-        better = False
-        for page in _PAGES:
-            new = tuple(_step(page, r) for r in state)
+        since += 1
+        if now < best_cost - LEAST_GAIN:
+            best, best_cost, since = state, now, 0
+        for page, whole in product(_PAGES, (True, False)):
+            new = tuple(_step(page, r, whole) for r in state)
             if new not in seen:
                 seen.add(new)
                 new_cost = cost(new)
                 if new_cost < now - LEAST_GAIN:
-                    better = True
                     heapq.heappush(queue, (new_cost, len(seen), new))
-        if not better:
-            break
-    return {r: new[1] for r, new in zip(start, state)}
+    return dict(zip(start, best))
 
 
 _BEYOND_ASCII = re.compile("[^\x00-\x7f]{2,}")  # one character alone is never a garbled one
 
 
+@lru_cache(maxsize=131_072)
+def _suspect(run: str) -> bool:
+    return any(p.garbled.search(run) for p in _PAGES)
+
+
 def _readable(text: str) -> str:
-    """A text with its garbled characters read as what they were."""
-    runs: dict[Run, int] = {}
-    places = []
-    for m in _BEYOND_ASCII.finditer(text):
-        if any(p.garbled.search(m[0]) for p in _PAGES):
-            run = (text[m.start() - 1 : m.start()], m[0], text[m.end() : m.end() + 1])
-            runs[run] = runs.get(run, 0) + 1
-            places.append((m.start(), m.end(), run))
-    if not runs:
-        return text
-    plain = ungarble(runs)
-    out, at = [], 0
-    for a, b, run in places:
-        out += [text[at:a], plain[run]]
-        at = b
-    return "".join([*out, text[at:]])
+    """A text with its garbled characters read as what they were, until nothing improves.
+
+    The runs of a text are taken up ``TOGETHER`` at a time, the most frequent first.
+    """
+    while True:
+        places = [
+            (m.start(), m.end(), (text[m.start() - 1 : m.start()], m[0], text[m.end() : m.end() + 1]))
+            for m in _BEYOND_ASCII.finditer(text)
+            if _suspect(m[0])
+        ]
+        runs = Counter(run for _, _, run in places).most_common()
+        plain: dict[Run, Run] = {}
+        for at in range(0, len(runs), TOGETHER):
+            plain |= ungarble(dict(runs[at : at + TOGETHER]))
+        if all(new == run for run, new in plain.items()):
+            return text
+        out, at = [], 0
+        for a, b, run in places:
+            out += [text[at:a], plain[run][1]]
+            at = b
+        text = "".join([*out, text[at:]])
 
 
 _ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")

@@ -87,11 +87,18 @@ class TextLengthChecker(BaseChecker):
 
 @register
 class LanguageChecker(BaseChecker):
-    """Texts that are, with enough confidence, in a language not asked for."""
+    """Texts that are, with enough confidence, in a language not asked for.
+
+    Languages are told by the settings' model where there is one, else by scripts
+    and function words.
+    """
 
     name = "language"
-    #: Column function text -> struct<lang, score>; a better model may take its place.
-    predict = staticmethod(language.predict)
+
+    def predict(self, text: Column) -> Column:
+        """Column struct<lang, score, ...> of a text."""
+        model = self.config.language_model
+        return language.predict(text) if model is None else model.predict(text)
 
     def measures(self, text: Column) -> dict[str, Column]:
         guess = self.predict(text)

@@ -27,10 +27,11 @@ from corpusloom.operators.checks import (
     TextLengthChecker,
     TokenLengthChecker,
 )
+from corpusloom.operators import language_model
 from corpusloom.operators.cleaner import TextCleaner
 from corpusloom.operators.row_filter import REMOVING, RowFilter
-from corpusloom.plans.runner import annotate, fix_table, summarise, text_rows
-from corpusloom.sources.loader import sample, with_row_id
+from corpusloom.plans.runner import annotate, check_table, fix_table, summarise, text_rows
+from corpusloom.sources.loader import load_dataset, sample, with_row_id
 from corpusloom.sources.session import materialise, ship_package
 
 #: Patterns of phrases that the test tables have; the defaults seldom occur in them.
@@ -214,6 +215,13 @@ def language_flags(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", other.alias("non_target"))
 
 
+def language_model_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Languages told by a model counted from the table: the guess, its known trigrams and its lead."""
+    docs = _docs(spark, d)
+    told = language_model.train(docs).predict(F.col("text"))
+    return docs.select("doc_id", told.alias("t")).select("doc_id", F.col("t.lang").alias("guess"), "t.known", "t.lead")
+
+
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     """Guessed languages."""
     guess = language.predict(F.col("text"))
@@ -266,6 +274,50 @@ def mojibake_flags(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", MojibakeChecker().measures(F.col("text"))["garbled"].alias("garbled"))
 
 
+def mojibake_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every document read in a wrong code page once, twice or three times, then repaired."""
+    garbled = F.col("text")
+    for turn in range(3):
+        wrong = F.decode(F.encode(garbled, "UTF-8"), "ISO-8859-1")
+        garbled = F.when(F.col("doc_id") % 3 >= turn, wrong).otherwise(garbled)
+    rows = _docs(spark, d).select("doc_id", garbled.alias("garbled"))
+    return rows.select(
+        "doc_id", repair.has_mojibake(F.col("garbled")).alias("found"),
+        F.md5(repair.fix_mojibake(F.col("garbled")).cast("binary")).alias("digest"),
+    )
+
+
+def load_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The loader, its column guard, and the position of each row in the file."""
+    df = load_dataset(spark, f"{d}/documents.parquet", text_field="text")
+    return with_row_id(df).select("doc_id", "row_id", F.length("text").cast("long").alias("length"))
+
+
+def row_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of a shuffled and joined table: dense, none lost or given twice."""
+    ship_package(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    moved = docs.join(docs.groupBy("lang").agg(F.count("*").alias("of_lang")), "lang").repartition("doc_id")
+    placed = with_row_id(moved)
+    return placed.agg(
+        F.count("*").alias("total_rows"), F.count_distinct("row_id").alias("positions"), F.min("row_id").alias("least"),
+        F.max("row_id").alias("greatest"), F.count_distinct("doc_id").alias("documents"),
+    )
+
+
+def fix_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the fix pipeline: rows that each check flags before and after it, and the first ten."""
+    config = replace(SMALL, near_dup_keep="per_cluster", skip_checkers=["language", "mojibake", "token_length"])
+    docs = _docs(spark, d)
+    before = check_table(docs, "text", config, "doc_id")
+    _, _, after = fix_table(docs, "text", config, "doc_id")
+    rows = [
+        (phase, r.checker, r.severity, r.rows, ",".join(map(str, r.sample)), checked.total_rows)
+        for phase, checked in (("before", before), ("after", after)) for r in checked.outcome.records
+    ]
+    return spark.createDataFrame(rows, "phase string, checker string, severity string, affected_rows long, sample string, total_rows long")
+
+
 def fix_stats(spark: SparkSession, d: str) -> DataFrame:
     """How many pages each cleaning step changes."""
     _, stats = TextCleaner().fix_dataset(_pages(spark, d), "html")
@@ -337,7 +389,7 @@ _ALL = (
     control_whitespace, text_hash, exact_dup_flags, exact_dup_stats, exact_dup_keep_first, shingle_counts,
     minhash_signature, lsh_candidates, near_dup_flags, near_dup_keep, near_dup_keep_clusters, language_flags,
     language_detect, token_length_candidates, token_length_over, control_char_clean, whitespace_clean, clean_stats, strip_html, fix_text,
-    mojibake_flags, fix_stats, row_filter_stats, row_filter_rows, row_filter_kept, check_summary, issue_samples, fix_before_after,
+    mojibake_flags, mojibake_repaired, language_model_detect, load_documents, row_positions, fix_report, fix_stats, row_filter_stats, row_filter_rows, row_filter_kept, check_summary, issue_samples, fix_before_after,
 )
 
 
@@ -437,6 +489,35 @@ def _narrow(column: str) -> str:
     return _STRIPPED.replace("@", _NARROW.replace("@", column))
 
 
+#: Texts as the cleaner leaves them: these tables have nothing for its other steps.
+_CLEANED = "cleaned as (select * replace (" + _narrow("text") + " as text) from documents), "
+
+
+def _of_cleaned(sql: str) -> str:
+    """A query over documents, over the cleaned texts instead."""
+    first = "with recursive " if sql.startswith("with recursive ") else "with "
+    return first + _CLEANED + sql.removeprefix(first).replace("from documents", "from cleaned")
+
+
+_KEPT, _LEAD = language_model.KEPT, language_model.MARGIN
+_LANGUAGES = (
+    "with t as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as s from documents), "
+    "g as materialized (select doc_id, lang, unnest(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) as g from t), "
+    "c as (select lang, g, count(*) as n from g where lang is not null group by lang, g), z as (select lang, sum(n) as z from c group by lang), "
+    f"k as (select * from (select *, row_number() over (partition by lang order by n desc, g) as r from c) where r <= {_KEPT}), "
+    "u as (select distinct g from k), v as (select count(*) as v from u), "
+    "w as materialized (select z.lang, u.g, round(1000 * ln((coalesce(n, 0) + 1)::double / (z + v)::double))::bigint as w "
+    "from z cross join u cross join v left join k on k.lang = z.lang and k.g = u.g), "
+    "s as (select doc_id, w.lang, sum(w)::bigint as s, count(*) as known from g join w using (g) group by doc_id, w.lang), "
+    "m as (select doc_id, count(*) as n from g group by doc_id), "
+    "o as (select *, row_number() over (partition by doc_id order by s desc, lang) as r from s), "
+    "p as (select doc_id, max(known) as known, max(lang) filter (r = 1) as lang, max(s) filter (r = 1) - max(s) filter (r = 2) as lead from o "
+    "group by doc_id) "
+    f"select doc_id, case when known >= {language_model.LEAST} and 2 * known >= n and coalesce(lead, {_LEAD} * known) >= {_LEAD} * known "
+    f"then p.lang end as guess, coalesce(known, 0) as known, coalesce(lead, coalesce({_LEAD} * known, 0)) as lead "
+    "from documents left join m using (doc_id) left join p using (doc_id)"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "scan_project": "select doc_id, lang, source, length(text) as length from documents",
     "sample_n": "select doc_id, source from documents order by md5(doc_id::varchar || ':42'), doc_id limit 100",

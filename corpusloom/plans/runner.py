@@ -142,9 +142,12 @@ class CheckRun:
     outcome for the others follows from what was written (``without``).
     """
 
-    def __init__(self, df: DataFrame, text_field: str, config: CheckerConfig, id_col: str | None = None) -> None:
+    def __init__(
+        self, df: DataFrame, text_field: str, config: CheckerConfig, id_col: str | None = None, shown: DataFrame | None = None
+    ) -> None:
+        """``shown`` is the table whose columns are told, where ``df`` has others besides."""
         ship_package(df.sparkSession)
-        self.df, self.text_field = df, text_field
+        self.df, self.text_field = df if shown is None else shown, text_field
         self.rows = text_rows(df, text_field, id_col)
         self.annotated = self.rows.select("row_id")
         self.shared: dict[str, DataFrame] = {}
@@ -159,7 +162,7 @@ class CheckRun:
                 check = get_all_checkers()[name](config)
                 if isinstance(check, SchemaChecker):
                     self.schema = check
-                    if check.look(df, text_field, self.total_rows).count(ERROR):
+                    if check.look(self.df, text_field, self.total_rows).count(ERROR):
                         break
                 elif check.skipped():
                     self.told |= Outcome({name: {"skipped": True}})
@@ -243,7 +246,7 @@ def fix_table(
     cleaned, stats = TextCleaner().fix_dataset(rows, text_field)
     if not id_col and rows.count() != stats["total_rows"]:  # positions are of a written table, so these counts are of the same rows
         raise RuntimeError(f"{rows.count()} rows before cleaning, {stats['total_rows']} after")
-    run = CheckRun(cleaned, text_field, config, "row_id")
+    run = CheckRun(cleaned, text_field, config, "row_id", df)
     links = run.links() if run.links and config.near_dup_keep == "per_cluster" else None
     removed, counts = RowFilter(config).removed(run.annotated, links)
     fixed = materialise(cleaned.join(removed, "row_id", "left_anti"), "fixed")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import cli
-from corpusloom.config import CheckerConfig
+from corpusloom.config import CheckerConfig, read_settings
 from corpusloom.functions import language, minhash, patterns, repair
 from corpusloom.functions import text as T
 from corpusloom.outcome import ERROR, INFO, WARNING
@@ -251,7 +251,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert code == 3 and json.loads(err)["error"].startswith("Failed to load dataset")
     assert run_cli(spark, capsys, "bad\x07name")[0] == 1
     (tmp_path / "c.yaml").write_text("min_length: 3\nunknown: 1\nskip_checkers: [language]\n")
-    config = CheckerConfig.from_yaml(str(tmp_path / "c.yaml"))
+    config = read_settings(str(tmp_path / "c.yaml"))
     assert config.min_length == 3 and config.max_length == 100_000 and config.skip_checkers == ["language"]
 
 
