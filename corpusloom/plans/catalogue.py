@@ -518,7 +518,46 @@ _LANGUAGES = (
     "from documents left join m using (doc_id) left join p using (doc_id)"
 )
 
+#: Checks of the report before and after a fix, with the SQL of their flags over (doc_id, text).
+_REPORTED = [(c, i, v, p) for c, i, v, p in _CHECKS if c not in ("exact_duplicate", "boilerplate", "pii")]
+_REPORTED += [("exact_duplicate", "twin", "warning", "doc_id in (select doc_id from tw)")]
+_REPORTED += [("near_duplicate", "alike", "warning", "doc_id in (select doc_id from c)")]
+_REPORTED += [x for x in _CHECKS if x[0] in ("pii", "boilerplate")]
+
+
+def _report(phase: str, table: str) -> str:
+    """One row for each flag that some row of a table of cleaned or other texts has."""
+    twins = f"tw as (select doc_id from (select doc_id, count(*) over (partition by sha256(text)) as n from {table} where text is not null) where n > 1)"
+    flags = " union all ".join(
+        f"select '{c}' as checker, '{i}' as issue, '{v}' as severity, doc_id from {table} where {p}" for c, i, v, p in _REPORTED
+    )
+    return (
+        f"select * from ({_BANDED.replace('from documents', f'from {table}')}, {twins}, x as ({flags}) select '{phase}' as phase, checker, severity, "
+        f"count(*) as affected_rows, array_to_string(list_sort(array_agg(doc_id))[1:10], ',') as sample, (select count(*) from {table}) as total_rows "
+        "from x group by checker, issue, severity)"
+    )
+
+
+#: Rows that go when each cluster of near-duplicates keeps its least row.
+_CLUSTERS = (
+    _REMOVED.replace("with ", "with recursive ", 1)
+    .replace(", nd as (select distinct doc_id from c)", ", e as (select first as a, doc_id as b from c union select doc_id, first from c), "
+             "reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a), "
+             "nd as (select a as doc_id from reach group by a having a > min(b))")
+    .replace("doc_id in (select doc_id from nd where doc_id <> (select min(doc_id) from nd)) as near_duplicate", "doc_id in (select doc_id from nd) as near_duplicate")
+)
+_ANY = " or ".join(REMOVING)
+
 ORACLE_SQL: dict[str, str] = {
+    "load_documents": "select doc_id, row_number() over () - 1 as row_id, length(text) as length from documents",
+    "row_positions": "select count(*) as total_rows, count(*) as positions, 0::bigint as least, count(*) - 1 as greatest, "
+    "count(distinct doc_id) as documents from documents",
+    "mojibake_repaired": "select doc_id, coalesce(regexp_matches(text, '[^\\x00-\\x7F]'), false) as found, md5(text) as digest from documents",
+    "language_model_detect": _LANGUAGES,
+    "fix_before_after": _of_cleaned(_REMOVED + f" select doc_id, md5(text) as digest from cleaned join f1 using (doc_id) where not ({_ANY})"),
+    "fix_report": "with " + _CLEANED.removesuffix(", ") + ", kept as materialized (select doc_id, text from cleaned join ("
+    + _CLUSTERS.replace("from documents", "from cleaned") + f" select doc_id from f1 where not ({_ANY})) using (doc_id)) "
+    + _report("before", "documents") + " union all " + _report("after", "kept"),
     "scan_project": "select doc_id, lang, source, length(text) as length from documents",
     "sample_n": "select doc_id, source from documents order by md5(doc_id::varchar || ':42'), doc_id limit 100",
     "missing_field_stats": f"select count(*) as total_rows, count(*) filter ({_MISSING}) as missing_count, "
