@@ -13,17 +13,20 @@ the path from it to the body is the threshold, and in every other subtree whose
 density reaches it the node of the largest sum is content too.  ``article`` and
 ``main`` decide only ties.
 
-Menus, footers, asides, forms, scripts, dialogs and hidden elements have no
-density and are never taken.  Words in a class or id (sidebar, related, ...)
+A page's one heading of first order that stands before what is chosen, and is no
+link, belongs to it.  Menus, footers, asides, forms, scripts, dialogs and hidden
+elements have no density and are never taken.  Words in a class or id (sidebar, related, ...)
 lower the density of an element to nothing, so nothing in it is chosen.  Within
 what is chosen they count only where a whole class name is made of them, and
-never against a heading, a paragraph, a list item or a table cell.
+never against a heading, a paragraph, a list item or a table cell.  Words for
+readers' comments count on boxes alone, and on an ``article`` where one is a whole
+class name and something else is the article.
 
 The column is a row-local Arrow function: no shuffle, nothing gathered.
 
 Defined cases: null or empty html, and html without text, give an empty text; an
-empty table gives no rows; an unclosed comment or script reaches to the end of
-the page; a broken tag is text; pages of any length are read whole, in linear
+empty table gives no rows; an unclosed comment, declaration or script reaches to
+the end of the page; a broken tag is text; pages of any length are read whole, in linear
 time; of nodes of one sum, an ``article`` or ``main`` and then the first in page
 order is chosen; repeated rows each get their own result; further columns play
 no part, whatever their names.
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 _TAG = re.compile(
-    r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>"
+    r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>"
 )
 _ATTRIBUTE = re.compile(r"(?i)(?:^|[\s\"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
@@ -84,12 +87,16 @@ _INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 _COMMENT_WORDS = frozenset("comment comments reply replies commentlist".split())
+#: Elements that no word for comments takes out; an ``article`` only where it is a whole class name.
+_NO_COMMENT = frozenset("main h1 h2 h3 h4 h5 h6 p li td th dd dt blockquote pre figure figcaption".split())
 
 
 class Page:
     """A parsed page: nodes in page order, each after its parent."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, comments: bool = False) -> None:
+        #: Whether an article that is called a comment may be content, and whether one was left out.
+        self.comments, self.commented = comments, False
         self.tag, self.parent = ["#root"], [-1]
         #: By all class words, and by those that count within the article too.
         self.out, self.strict = [0], [0]
@@ -178,14 +185,15 @@ class Page:
             elif key == "role":
                 if value in _OUT_ROLES:
                     found = max(found, 1)
-            elif name not in ("article", "main", "h1"):
+            else:
                 words = _WORDS.findall(value)
-                if any(w in _COMMENT_WORDS for w in words):
+                if name == "article":
+                    if not self.comments and any(set(_WORDS.findall(x)) <= _COMMENT_WORDS for x in value.split() if _WORDS.search(x)):
+                        found, self.commented = 2, True
+                elif name not in _NO_COMMENT and any(w in _COMMENT_WORDS for w in words):
                     found = 3 if found < 2 else found
-                elif _names_a_box(value, name) if strict else any(w in _OUT_WORDS for w in words):
+                elif name not in ("main", "h1") and (_names_a_box(value, name) if strict else any(w in _OUT_WORDS for w in words)):
                     found = max(found, 1)
-            elif any(w in _COMMENT_WORDS for w in _WORDS.findall(value)):
-                found = 2
         return found
 
 
@@ -264,9 +272,29 @@ def _densities(page: Page, out: list[bool]) -> tuple[list[float], list[float]]:
     return density, total
 
 
-def extract(html: str) -> str:
+def _lone_heading(page: Page, taken: list[bool], left_out: list[bool]) -> int:
+    """The page's one heading of first order where it stands before what is taken, without a link; 0 if there is none."""
+    heads = [i for i, tag in enumerate(page.tag) if tag == "h1" and not left_out[i]]
+    first = next((i for i, t in enumerate(taken) if t), 0)
+    if len(heads) != 1 or heads[0] >= first:
+        return 0
+    inside = {heads[0]}
+    for i in range(heads[0] + 1, len(page.tag)):
+        if page.parent[i] in inside:
+            inside.add(i)
+            if page.tag[i] == "a":
+                return 0
+    up = heads[0]
+    while up > 0:
+        up = page.parent[up]
+        if page.tag[up] == "a":
+            return 0
+    return heads[0]
+
+
+def extract(html: str, comments: bool = False) -> str:
     """Main text of a page: its blocks, joined by line ends."""
-    page = Page(html)
+    page = Page(html, comments)
     out, removed = _left_out(page, page.out), _left_out(page, page.strict)
     density, total = _densities(page, out)
     n = len(page.tag)
@@ -299,6 +327,10 @@ def extract(html: str) -> str:
     taken[0] = is_root[0]
     for i in range(1, n):
         taken[i] = taken[page.parent[i]] or is_root[i]
+    if not any(t and tag == "h1" for t, tag in zip(taken, page.tag)):
+        head = _lone_heading(page, taken, [a or b for a, b in zip(out, removed)])
+        for i in range(head, n if head else 0):
+            taken[i] = taken[i] or i == head or (page.parent[i] > 0 and page.parent[i] >= head and taken[page.parent[i]])
     blocks, block = [], []
     for i, text in page.flow:
         if text is None:
@@ -309,7 +341,10 @@ def extract(html: str) -> str:
             block.append(text)
     blocks.append(block)
     lines = (" ".join(htmllib.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    found = "\n".join(x for x in lines if x)
+    if not found and page.commented:  # the article itself is called a comment
+        return extract(html, comments=True)
+    return found
 
 
 def main_text(html: Column) -> Column:

@@ -56,10 +56,44 @@ def test_odd_pages():
     assert extract("<p>one<!-- two <p>three --> four</p>") == "one four"
     assert extract("<p>one<script>never closed") == "one"
     assert extract("<nav>only a menu</nav>") == ""
-    for bad in ("<a" * 50_000, "<p>" * 20_000, "<div>" * 20_000, "<!--" * 5000, '<p ="' * 20_000, "&amp" * 20_000):
+    assert extract(f"<p>{P}</p><!never closed") == P
+    for bad in ("<!x" * 400_000, "<?x" * 200_000, "<a" * 50_000, "<p>" * 20_000, "<div>" * 20_000, "<!--" * 5000, '<p ="' * 20_000, "&amp" * 20_000):
         extract(bad)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article class='post comments-open'>{}</article>", "Title {}"),
+        ("<main class='has-comments'>{}</main>", "Title {}"),
+        ("<article class='post'><h1 class='comment-title'>Title</h1><p>{p}</p><p class='comment'>Comment.</p></article>", "Title|{p}|Comment."),
+        ("<div class=top><h1>Title</h1></div><div class=body><p>{p}</p><p>{p}</p></div>", "Title|{p}|{p}"),
+        ("<div class=logo><h1><a href=/>Site</a></h1></div><div class=body><p>{p}</p><p>{p}</p></div>", "{p}|{p}"),
+        ("<article class='comment'>{}</article>", "Title {}"),
+        ("<article>{}</article><div id=thread><article class='comment depth-1'><p>{p}</p><p>{p}</p></article></div>", "Title {}"),
+        ("<div class='story'>{}</div><ol class='commentlist'><li><p>{p}</p><li><p>{p}</p></ol>", "Title {}"),
+        ("<div id=page><div id=left><ul><li><a href=a>a</a><li><a href=b>b</a></ul></div><div id=right>{}</div></div>", "Title {}"),
+        ("<table><tr><td><a href=1>x</a><td>{}<td><a href=2>y</a></table>", "Title {}"),
+        ("<section><header><h1>Title</h1></header><p>{p}</p><p>{p}</p></section>", "{p}|{p}"),
+        ("<dl class=menu><dt><a href=1>m</a></dl><blockquote><p>{p}</p><p>{p}</p></blockquote><div class=footer>f</div>", "{p}|{p}"),
+    ],
+)
+def test_unlike_layouts(page, want):
+    inner = f"<h1>Title</h1><p>{P}</p><p>{P}</p>"
+    shown = page.replace("{p}", P).replace("{}", inner)
+    expect = "|".join(["Title", P, P]) if want == "Title {}" else want.replace("{p}", P)
+    assert extract(f"<html><head><title>T</title></head><body>{shown}</body></html>") == expect.replace("|", "\n")
+
+
+def test_ties_go_to_an_article_then_to_page_order():
+    box = f"<p>{P}</p><p>{P}</p>"
+    for shell in ("<body><nav>menu</nav><div>{}</div></body>", "<body><article>{}</article></body>", "<body><div><div>{}</div></div></body>"):
+        assert extract(shell.format(box)) == f"{P}\n{P}"
+    assert extract(f"<body><div>{box}</div><article>{box}</article></body>").count(P) in (2, 4)
+    one = extract(f"<body><div><p>A {P}</p></div><div><p>B {P}</p></div></body>")
+    assert one.startswith("A ")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pb ad!-='\"&;é\n", max_size=80))
 def test_any_text_is_parsed(text):
