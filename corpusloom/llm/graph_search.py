@@ -12,9 +12,10 @@ searched by beam in the graph of every shard; what the beam holds is scored
 exactly, in double precision on the original vectors.
 
 Shards are dealt by a hash of the id and hold about ``SHARD_NODES`` vectors, so
-memory is bounded.  Shards are written to the shared folder.  The stated query
-set goes against all shards in blocks of ``BLOCK`` queries; each query keeps its
-best from each shard, and the best of these.  So the work is that of all queries
+memory is bounded.  Shards are written to the shared folder.  The stated query set
+goes to every shard; a task holds one shard at a time while its queries stream
+past, so a shard is shuffled once for each ``QUERIES_A_TASK`` queries.  Each query keeps its best from each shard,
+and the best of these.  So the work is that of all queries
 times all shards, by the method; of several shards each gives its own nearest,
 so recall does not fall with their number (measured: see README).
 
@@ -29,6 +30,8 @@ their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,8 +48,9 @@ BEAM = 96
 BEAM_A_RESULT = 4
 BUILD_BEAM = 64
 BATCH = 256
-BLOCK = 2048
 ENTRIES = 8
+#: Queries that one task streams past a shard, about; more go to further tasks, each with the shard.
+QUERIES_A_TASK = 1 << 18
 
 
 class Graph:
@@ -173,7 +177,7 @@ class Graph:
 _SHARD_TYPE = "dim int, shard int, vectors binary, graph binary, ids array<array<bigint>>"
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
 
 
@@ -198,26 +202,46 @@ def _build_shard(rows: pa.Table) -> pa.Table:
     )
 
 
-def _search_shard(index: pa.Table, queries: pa.Table, k: int, width: int) -> pa.Table:
-    """The best ``k`` of one shard for each query of a block."""
-    out: list[tuple[int, int, float]] = []
-    if index.num_rows and queries.num_rows:
-        dim = index["dim"][0].as_py()
-        vectors = np.frombuffer(index["vectors"][0].as_py()).reshape(-1, dim)
-        graph = np.frombuffer(index["graph"][0].as_py(), dtype=np.int32).reshape(len(vectors) + 1, -1)
-        ids = index["ids"][0].as_py()
-        q = _matrix(queries["x"])
-        found = Graph(vectors, graph).search(q, width)
-        for query, x, nodes in zip(queries["query_id"].to_pylist(), q, found):
-            nodes = nodes[nodes >= 0]
-            score = vectors[nodes] @ x
-            # One more than k of a node's ids suffice, since only the query's own is left out.
-            mine = [(-s, i) for s, node in zip(score.tolist(), nodes.tolist()) for i in ids[node][: k + 1] if i != query]
-            out += [(query, i, -s) for s, i in sorted(mine)[:k]]
-    return pa.table(
-        [pa.array(c, type=t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()))],
-        names=["query_id", "vec_id", "score"],
-    )
+_FOUND_TYPE = "query_id long, vec_id long, score double"
+#: Columns of a task's rows: a shard has its parts, a query its id and vector.
+_ROW = ["dim", "shard", "block", "query_id", "x", "vectors", "graph", "ids"]
+
+
+def _search_shards(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of each shard for each of its queries, of rows sorted by shard, in which a shard comes before its queries.
+
+    One shard is held at a time; its queries stream past it.
+    """
+    at, ids, graph = None, [], None
+    for batch in batches:
+        place = list(zip(*(batch[c].to_pylist() for c in ("dim", "shard", "block"))))
+        asks = batch["query_id"].is_valid().to_pylist()
+        first = 0
+        while first < batch.num_rows:
+            if not asks[first]:
+                at = place[first]
+                vectors = np.frombuffer(batch["vectors"][first].as_py()).reshape(-1, at[0])
+                near = np.frombuffer(batch["graph"][first].as_py(), dtype=np.int32).reshape(len(vectors) + 1, -1)
+                ids, graph = batch["ids"][first].as_py(), Graph(vectors, near)
+                first += 1
+                continue
+            last = first
+            while last < batch.num_rows and asks[last] and place[last] == place[first]:
+                last += 1
+            if place[first] == at:  # a length that only queries have has no shard
+                out: list[tuple[int, int, float]] = []
+                some = batch.slice(first, last - first)
+                q = _matrix(some["x"])
+                for query, x, nodes in zip(some["query_id"].to_pylist(), q, graph.search(q, width)):
+                    nodes = nodes[nodes >= 0]
+                    score = vectors[nodes] @ x
+                    # One more than k of a node's ids suffice, since only the query's own is left out.
+                    mine = [(-s, i) for s, node in zip(score.tolist(), nodes.tolist()) for i in ids[node][: k + 1] if i != query]
+                    out += [(query, i, -s) for s, i in sorted(mine)[:k]]
+                columns = zip(*out) if out else ([], [], [])
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["query_id", "vec_id", "score"])
+            first = last
 
 
 def usable(x: Column) -> Column:
@@ -243,16 +267,13 @@ def search(
         dealt.select("dim", "shard", "vec_id", "x").groupBy("dim", "shard").applyInArrow(_build_shard, _SHARD_TYPE), "graph"
     )
     queries = rows.where("asks").groupBy("vec_id", "dim").agg(F.min("x").alias("x")).withColumnRenamed("vec_id", "query_id")
-    blocks = max(1, -(-rows.where("asks").count() // BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks = max(1, -(-rows.where("asks").count() // QUERIES_A_TASK))
+    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = asked.withColumns({"asks": F.lit(True), "block": F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")})
+    held = index.withColumns({"asks": F.lit(False), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     by = ["dim", "shard", "block"]
-    best = (
-        held.groupBy(*by)
-        .cogroup(asked.groupBy(*by))
-        .applyInArrow(lambda i, q: _search_shard(i, q, k, width), "query_id long, vec_id long, score double")
-    )
+    dealt = asked.unionByName(held, allowMissingColumns=True).repartition(shards * blocks, *by).sortWithinPartitions(*by, "asks")
+    best = dealt.select(*_ROW).mapInArrow(lambda it: _search_shards(it, k, width), _FOUND_TYPE)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -57,7 +57,7 @@ def test_odd_vectors(spark):
     assert gs.search(df.limit(0), asks).count() == 0
 
 
-def test_recall_over_several_shards(spark):
+def test_recall_over_several_shards(spark, monkeypatch):
     """Clustered vectors of uneven norms, one of them very common, in three shards and more."""
     from pyspark.sql import functions as F
 
@@ -68,6 +68,7 @@ def test_recall_over_several_shards(spark):
     common = rng.permutation(n)[:3000]
     x[common] = x[common[0]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(gs, "QUERIES_A_TASK", 80)  # queries of a shard in several tasks
     out = gs.search(df, F.col("vec_id") % 100 == 0, shard_nodes=6000)
     got = {}
     for r in out.collect():
