@@ -81,17 +81,37 @@ def test_bands_cover_all_similar_sizes():
 def test_runs_over_batches():
     rng = np.random.default_rng(0)
     rows = sorted({(int(s), int(v)) for s, v in rng.integers(0, 12, (90, 2))} | {(99, 1), (100, 5), (101, 1), (101, 2)})
-    rows = sorted(rows + rows[3:9])  # repeated rows count once
+    rows = sorted(rows + rows[3:9] + [(s + 200, v) for s, v in rows if s < 5])  # rows and runs again
     runs = defaultdict(set)
     for s, v in rows:
         runs[s].add(v)
-    want = sorted((s, v, min(vs)) for s, vs in runs.items() if len(vs) > 1 for v in vs)
-    for step in (1, 2, 7, 200):
+    want = {(min(vs), frozenset(vs)) for vs in runs.values() if len(vs) > 1}
+    for step in (1, 2, 7, 40, 200):
         batches = [
             pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + step]], type=pa.int64()) for i in (0, 1)], names=["sig", "v"])
             for a in range(0, len(rows), step)
         ]
-        assert sorted(tuple(r.values()) for b in jj._shared(iter(batches)) for r in b.to_pylist()) == want
+        got = defaultdict(list)
+        for r in (r for b in jj._shared(iter(batches)) for r in b.to_pylist()):
+            got[r["key"], r["first"]].append(r["v"])
+        assert all(len(vs) == len(set(vs)) for vs in got.values())
+        assert {(first, frozenset(vs)) for (_, first), vs in got.items()} == want
+    assert len(got) < len([r for r in runs.values() if len(r) > 1])  # equal runs are told once
+
+
+def test_sketches_never_exclude_similar_sets():
+    rng = np.random.default_rng(1)
+    for size in (1, 3, 40, 700, 40_000):
+        one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for share in (0.0, 0.05, 0.14, 0.5, 1.0):
+            two = np.unique(np.concatenate([one[int(share * size) :], rng.integers(0, 1 << 63, int(share * size / 3)).astype(np.uint64)]))
+            x, y = jj.folded([jj.sketch(one), jj.sketch(two)])
+            differ = len(np.setxor1d(one, two))
+            assert np.bitwise_count(x ^ y).sum() <= differ
+            both = len(np.intersect1d(one, two))
+            if 100 * both >= 85 * (len(one) + len(two) - both):
+                assert differ <= jj.may_differ(np.int64(len(one) + len(two)), 85)
+    assert jj.may_differ(np.int64(185), 85) == 15
 
 
 def test_overlap_counts_words():
