@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import language, minhash, patterns, repair, tokens
+from corpusloom.functions import language, many_patterns, minhash, patterns, repair, tokens
 from corpusloom.functions import text as T
 from corpusloom.outcome import ERROR, INFO, WARNING, Outcome, Record
 from corpusloom.operators.base import BaseChecker, Finding, is_text
@@ -17,6 +17,8 @@ from corpusloom.sources.session import materialise, ship_package
 
 #: Tags from which on a text counts as HTML.
 HTML_TAGS = 5
+#: Boilerplate patterns that are tried one by one.
+JVM_PATTERNS = 16
 
 
 def _true(flag: Column) -> Column:
@@ -313,7 +315,12 @@ class BoilerplateChecker(BaseChecker):
     name = "boilerplate"
 
     def first_match(self, text: Column) -> Column:
-        """The first pattern, in the configured order, that a text matches; null if none."""
+        """The first pattern, in the configured order, that a text matches; null if none.
+
+        A few are tried one by one inside the JVM; many are looked for in one scan.
+        """
+        if len(self.config.boilerplate_patterns) > JVM_PATTERNS:
+            return many_patterns.first_match(text, self.config.boilerplate_patterns)
         tests = [F.when(text.rlike(patterns.to_java(p)), F.lit(p)) for p in self.config.boilerplate_patterns]
         return F.coalesce(*tests, F.lit(None).cast("string"))
 

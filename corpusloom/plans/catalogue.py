@@ -6,6 +6,7 @@ language guesses) there is none, and tests hold the query to given cases.
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from functools import wraps
 
@@ -37,6 +38,8 @@ from corpusloom.sources.session import materialise, ship_package
 #: Patterns of phrases that the test tables have; the defaults seldom occur in them.
 PHRASES = [r"(?i)all rights reserved", r"(?i)licensed? under", *BOILERPLATE_PATTERNS]
 SMALL = CheckerConfig(max_length=10_000, boilerplate_patterns=PHRASES)
+#: Words of a benchmark item that make a phrase.
+PHRASE_WORDS = 8
 #: Checks whose results SQL can express.
 _SQL_CHECKS = (MissingFieldChecker, TextLengthChecker, HtmlChecker, ExactDuplicateChecker, PiiChecker, BoilerplateChecker)
 
@@ -132,6 +135,19 @@ def boilerplate_first_match(spark: SparkSession, d: str) -> DataFrame:
     return BoilerplateChecker(SMALL).matches(_rows(spark, d)).withColumnRenamed("row_id", "doc_id")
 
 
+def benchmark_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The boilerplate check with a phrase of every benchmark item: the first that a document has."""
+    ship_package(spark)
+    items = spark.read.parquet(f"{d}/benchmark.parquet").where("text is not null").orderBy("item_id")
+    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, PHRASE_WORDS)
+    own = items.select(words.alias("w")).where(F.size("w") == PHRASE_WORDS).collect()  # the check's settings
+    phrases = ["(?i)" + r"\s+".join(map(re.escape, r["w"])) for r in own]
+    check = BoilerplateChecker(replace(SMALL, boilerplate_patterns=phrases))
+    found = check.matches(_rows(spark, d))
+    words = F.regexp_replace(F.substring("matched_pattern", 5, 1 << 20), r"\\s\+", " ")
+    return found.select(F.col("row_id").alias("doc_id"), F.regexp_replace(words, r"\\(.)", "$1").alias("phrase"))
+
+
 def url_density(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", F.round(T.url_density(F.col("html")), 6).alias("density"))
 
@@ -385,7 +401,7 @@ def fix_before_after(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     scan_project, sample_n, missing_field_stats, missing_field_flags, text_length_flags, text_length_stats, html_flags,
-    html_stats, pii_counts, pii_types, pii_matches, pii_values, boilerplate_first_match, url_density, email_density,
+    html_stats, pii_counts, pii_types, pii_matches, pii_values, boilerplate_first_match, benchmark_phrases, url_density, email_density,
     control_whitespace, text_hash, exact_dup_flags, exact_dup_stats, exact_dup_keep_first, shingle_counts,
     minhash_signature, lsh_candidates, near_dup_flags, near_dup_keep, near_dup_keep_clusters, language_flags,
     language_detect, token_length_candidates, token_length_over, control_char_clean, whitespace_clean, clean_stats, strip_html, fix_text,
@@ -586,6 +602,10 @@ ORACLE_SQL: dict[str, str] = {
     "(length(array_to_string(b[1:i], '')) + length(array_to_string(v[1:i - 1], '')))::bigint as start from i) "
     'select doc_id, pii_type, value, start, start + length(value) as "end" from s',
     "boilerplate_first_match": f"select * from (select doc_id, {_FIRST} as matched_pattern from documents) where matched_pattern is not null",
+    "benchmark_phrases": "with b as (select item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:"
+    + f"{PHRASE_WORDS}] as w from benchmark where text is not null), p as (select item_id, '(?i)' || array_to_string(list_transform(w, "
+    f"lambda x: regexp_escape(x)), '\\s+') as p, array_to_string(w, ' ') as phrase from b where len(w) = {PHRASE_WORDS}) "
+    "select doc_id, arg_min(phrase, item_id) as phrase from documents join p on regexp_matches(text, p) group by doc_id",
     "url_density": f"select page_id, {_dense('html', _URL)} as density from pages",
     "email_density": f"select doc_id, {_dense('text', _PII['email'])} as density from documents",
     "control_whitespace": f"select page_id, len(regexp_extract_all(html, '{_CONTROL}')) as controls, "
