@@ -5,12 +5,12 @@ number, and Spark counts all 4-grams, for each language, over the whole corpus:
 a map step counts within a task, then a partially aggregated ``groupBy`` adds up.
 
 Model.  An interpolated modified Kneser-Ney model for each language, with three
-discounts for each order and continuation counts below the highest.  A
-language's model is made in one task.  Entries are kept by a 64-bit key, a
-one-to-one mix of the n-gram within a language and order, in two arrays sorted
-by key.  They grow with the corpus, so they are files, written by the driver
-``SHARD`` entries at a time, sent to each executor's disk, mapped into memory
-there and read by binary search.
+discounts for each order and continuation counts below the highest, made of
+grouped sums and joins of one order with the next.  Entries are kept by a 64-bit
+key, a one-to-one mix of the n-gram within a language and order, in two arrays
+sorted by key.  They grow with the corpus, so they are files of the shared folder,
+written by the executors in ranges of keys; each executor fetches them to its
+disk, maps them into memory and reads them by binary search.
 
 Bands.  From the log-perplexities of all documents that pass the base rules,
 each language gets a lower and an upper bound: the median and ``WIDTH`` times
@@ -29,30 +29,27 @@ is inside; further columns play no part, whatever their names.
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
-import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, text_of
 from corpusloom.llm.hashing import mixed
-from corpusloom.sources.session import materialise, ship_package
+from corpusloom.sources.session import materialise, shared_dir, ship_package
 
 ORDER = 4
 #: Bits of a symbol in the query's model; the functions also take the small alphabet's 6.
 BITS = 16
-#: Entries of the model that the driver holds at once.
+#: Entries of the model in one file, about.
 SHARD = 1 << 22
 #: Languages whose bands are broadcast at most; beyond, both sides are tables and the join can be split.
 BROADCAST_LANGS = 100_000
@@ -205,15 +202,66 @@ def slot(kind: str, n: int, model: int, gram: np.ndarray) -> np.ndarray:
     return mixed(np.asarray(gram).astype(np.uint64) ^ salt)
 
 
-def _model_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    model = int(pdf["model"].iloc[0])
-    tables = kneser_ney(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), BITS)
-    return pd.DataFrame(
-        {
-            "slot": np.concatenate([slot(k, n, model, g) for (k, n), (g, _) in tables.items()]).view(np.int64),
-            "value": np.concatenate([v for _, v in tables.values()]).astype(np.float32),
-        }
-    )
+def _slots(kind: str, n: int) -> Callable[[Column, Column], Column]:
+    """Column function (model, gram) -> key of the n-gram's entry."""
+
+    def run(model: pa.Array, gram: pa.Array) -> pa.Array:
+        part = np.uint64(2 * n + (kind == "b"))
+        salt = mixed(model.to_numpy().view(np.uint64) * np.uint64(16) + part)
+        return pa.array(mixed(gram.to_numpy().view(np.uint64) ^ salt).view(np.int64))
+
+    return F.arrow_udf(run, "bigint")
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """(model, d1, d2, d3): discounts of counts one, two and more, by the counts of counts one to four."""
+    n = level.groupBy("model").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
+
+    def kept(k: int) -> Column:
+        own = k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1))
+        bounded = F.least(F.greatest(own, F.lit(0.0)), F.lit(float(k)))
+        return F.when(F.col(f"n{k}") > 0, bounded).otherwise(k * 0.5).alias(f"d{k}")
+
+    return n.select("model", *[kept(k) for k in (1, 2, 3)])
+
+
+def model_rows(counts: DataFrame) -> DataFrame:
+    """(slot, value) of the model of a table (model, gram, n) of counted 4-grams.
+
+    Continuation counts, totals and discounts are grouped sums, and each order
+    joins the one below: no task holds a language.
+    """
+
+    def last(n: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1)) if n < ORDER else F.col("gram")
+
+    levels = {ORDER: counts.select("model", "gram", F.col("n").alias("c"))}
+    for n in range(ORDER - 1, 0, -1):  # different symbols before
+        levels[n] = levels[n + 1].groupBy("model", last(n).alias("gram")).agg(F.count("*").alias("c"))
+        levels[n] = materialise(levels[n], f"grams{n}")
+    out, below = None, None
+    for n in range(1, ORDER + 1):
+        level = levels[n].withColumn("context", F.shiftrightunsigned("gram", BITS))
+        many = [F.count_if(F.col("c") == 1).alias("a1"), F.count_if(F.col("c") == 2).alias("a2"), F.count_if(F.col("c") > 2).alias("a3")]
+        contexts = level.groupBy("model", "context").agg(F.sum("c").alias("total"), *many)
+        contexts = contexts.join(materialise(_discounts(level), "discounts"), "model")
+        freed = F.col("a1") * F.col("d1") + F.col("a2") * F.col("d2") + F.col("a3") * F.col("d3")
+        contexts = materialise(contexts.select("model", "context", "total", "d1", "d2", "d3", (freed / F.col("total")).alias("back")), "contexts")
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        p = level.join(contexts, ["model", "context"]).withColumn("own", (F.col("c") - off) / F.col("total"))
+        if below is None:
+            p = p.withColumn("lower", F.lit(1 / (1 << BITS)))
+        else:
+            p = p.withColumn("short", last(n - 1)).join(below.select("model", F.col("gram").alias("short"), F.col("p").alias("lower")), ["model", "short"])
+        below = materialise(p.select("model", "gram", (F.col("own") + F.col("back") * F.col("lower")).alias("p")), f"p{n}")
+        rows = below.select(_slots("p", n)(F.col("model"), F.col("gram")).alias("slot"), F.ln("p").cast("float").alias("value"))
+        back = contexts.select(
+            _slots("b", n - 1)(F.col("model"), F.col("context")).alias("slot"), F.ln(F.greatest("back", F.lit(1e-9))).cast("float").alias("value")
+        )
+        rows = rows.union(back)
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 class HashModel:
@@ -270,21 +318,38 @@ class HashModel:
 
 
 class FileModel(HashModel):
-    """The model in two files that Spark sends to each executor; mapped when first read."""
-
-    def __init__(self, slots: str, values: str, bits: int) -> None:
-        self.names, self.bits = (slots, values), bits
+    """The model in Parquet files of the shared folder that executors fetch; laid out as two arrays when first read.
+
+    The files hold (slot, value) in the order of slots.  A worker writes them as
+    raw arrays beside where Spark put them, once for each executor, and maps these.
+    """
+
+    def __init__(self, files: list[str], tag: str, bits: int) -> None:
+        self.files, self.tag, self.bits = files, tag, bits
+
+    def _lay_out(self) -> None:
+        root = SparkFiles.getRootDirectory()
+        names = [os.path.join(root, f"{kind}-{self.tag}") for kind in ("slots", "values")]
+        if not all(map(os.path.exists, names)):
+            own = [f"{n}.{os.getpid()}" for n in names]
+            with open(own[0], "wb") as slots, open(own[1], "wb") as values:
+                for file in self.files:
+                    for batch in pq.ParquetFile(SparkFiles.get(file)).iter_batches(1 << 18):
+                        slots.write(batch.column(0).to_numpy().tobytes())
+                        values.write(batch.column(1).to_numpy().tobytes())
+            for mine, name in zip(own, names):
+                os.replace(mine, name)
+        for attr, name, kind in zip(("slots", "values"), names, (np.uint64, np.float32)):
+            setattr(self, attr, np.memmap(name, dtype=kind, mode="r") if os.path.getsize(name) else np.zeros(0, dtype=kind))
 
     def __getattr__(self, name: str) -> np.ndarray:
         if name not in ("slots", "values"):
             raise AttributeError(name)
-        for attr, file, kind in zip(("slots", "values"), self.names, (np.uint64, np.float32)):
-            path = SparkFiles.get(file)
-            setattr(self, attr, np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind))
+        self._lay_out()
         return self.__dict__[name]
 
     def __getstate__(self) -> dict:
-        return {"names": self.names, "bits": self.bits}
+        return {"files": self.files, "tag": self.tag, "bits": self.bits}
 
 
 def split_words(text: str) -> list[str]:
@@ -362,26 +427,19 @@ def statistics(text: Column, model: Column, lm: HashModel) -> Column:
 
 
 def language_model(texts: DataFrame) -> FileModel:
-    """The model of a table of (text, model)."""
+    """The model of a table of (text, model), in files of the shared folder."""
     spark = texts.sparkSession
     ship_package(spark)
-    rows = count_grams(texts, BITS).groupBy("model").applyInPandas(_model_rows, "slot long, value float")
-    rows = materialise(rows, "ngrams")
-    splits = (max(1, rows.count()) // SHARD).bit_length()  # 2**splits shards by the first bits of the key
-    folder, tag = tempfile.mkdtemp(prefix="corpusloom-lm-"), uuid.uuid4().hex
-    slots, values = f"slots-{tag}", f"values-{tag}"
-    with open(os.path.join(folder, slots), "wb") as a, open(os.path.join(folder, values), "wb") as b:
-        for shard in range(1 << splits):
-            mine = rows.where(F.shiftrightunsigned("slot", 64 - splits) == shard) if splits else rows
-            got = mine.toArrow()
-            keys = got["slot"].to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            a.write(keys[order].tobytes())
-            b.write(got["value"].to_numpy()[order].tobytes())
-    for name in (slots, values):
-        spark.sparkContext.addFile(os.path.join(folder, name))
-    atexit.register(shutil.rmtree, folder, True)  # executors that start later fetch it too
-    return FileModel(slots, values, BITS)
+    rows = materialise(model_rows(materialise(count_grams(texts, BITS), "grams")), "ngrams")
+    shards = max(1, rows.count() // SHARD)
+    unsigned = F.col("slot").bitwiseXOR(F.lit(-(1 << 63)))  # sorts as the keys do
+    tag = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/corpusloom/model-{tag}"
+    rows.repartitionByRange(shards, unsigned).sortWithinPartitions(unsigned).write.parquet(path)
+    files = sorted(spark.read.schema(rows.schema).parquet(path).inputFiles(), key=os.path.basename)
+    for file in files:
+        spark.sparkContext.addFile(file)  # executors that start later fetch it too
+    return FileModel([os.path.basename(f) for f in files], tag, BITS)
 
 
 def apply_rules(

@@ -177,3 +177,20 @@ def test_verdicts_against_brute_force(spark):
                 assert got[i].kept == (not failed[i] and low <= x <= high)
                 kept += got[i].kept
     assert 0 < kept < len(docs)
+
+
+def test_model_of_joins_equals_the_one_in_memory(spark):
+    """Grouped sums and joins give each entry that one task over all n-grams would give."""
+    rng = np.random.default_rng(6)
+    texts = [("".join(rng.choice(list("abcdé \n"), size=200)), m) for m in (3, -7) for _ in range(12)] + [("", 3), ("😀".encode("utf-16", "surrogatepass").decode("utf-16"), 5)]
+    df = spark.createDataFrame(texts, "text string, model long").repartition(3)
+    counts = rules.count_grams(df, rules.BITS)
+    got = {r.slot & ((1 << 64) - 1): r.value for r in rules.model_rows(counts).collect()}
+    want = {}
+    rows = counts.toPandas()
+    for model, own in rows.groupby("model"):
+        tables = rules.kneser_ney(own["gram"].to_numpy(), own["n"].to_numpy(), rules.BITS)
+        for (kind, n), (grams, values) in tables.items():
+            want |= dict(zip(rules.slot(kind, n, model, grams).tolist(), values.tolist()))
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-5
