@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import re
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +14,7 @@ from corpusloom.outcome import ERROR, WARNING, Outcome
 from corpusloom.plans import report as reports
 from corpusloom.plans.runner import check_table, fix_table, merge_config
 from corpusloom.sources.loader import check_output_path, load_dataset, save_dataset
+from corpusloom.sources.session import scratch
 
 OK, WARNINGS, ERRORS, FAILED = 0, 1, 2, 3
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
@@ -60,6 +62,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Exception as e:  # noqa: BLE001
         return fail(str(e), FAILED)
     spark = spark or SparkSession.builder.appName("corpusloom").getOrCreate()
+    with scratch(spark):
+        return _run(spark, args, config, as_json, fail)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace, config: CheckerConfig, as_json: bool, fail: Callable[[str, int], int]) -> int:
     try:
         df = load_dataset(spark, args.dataset_id, args.split, args.text_field, config.sample_size, args.id_column)
     except Exception as e:  # noqa: BLE001

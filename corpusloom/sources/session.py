@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +42,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
+    for written in getattr(spark.sparkContext, "_corpusloom_scratch", []):
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that were written inside; for runs of which no table outlives them."""
+    open_ = spark.sparkContext.__dict__.setdefault("_corpusloom_scratch", [])
+    written: list[str] = []
+    open_.append(written)
+    try:
+        yield
+    finally:
+        open_[:] = [x for x in open_ if x is not written]
+        for name in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once for each context.
 

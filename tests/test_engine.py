@@ -18,6 +18,7 @@ from corpusloom.operators.cleaner import TextCleaner
 from corpusloom.plans import report as reports
 from corpusloom.plans.runner import CheckRun, check_table, fix_table
 from corpusloom.sources.loader import load_dataset, sample, with_row_id
+from corpusloom.sources.session import shared_dir
 
 LONG = "This sentence is long enough to be an ordinary document of the corpus, number {}."
 ORDER = "missing_field schema text_length language html mojibake exact_duplicate near_duplicate pii token_length boilerplate"
@@ -232,6 +233,8 @@ def run_cli(spark, capsys, *argv):
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
+    shared = os.path.join(shared_dir(spark).removeprefix("file://"), "corpusloom")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
     skip = ["--skip-checker", "token_length"]
     for name, texts, want in (
         ("clean", [f"The house of the man and the dog is on the hill, and it is a good one. Document {w}." for w in ("one", "two")], 0),
@@ -246,6 +249,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     shape = json.loads(out)
     assert list(shape) == ["dataset_id", "split", "total_rows", "text_field", "before", "fix_stats", "after"] and code == 1
     assert spark.read.parquet(str(tmp_path / "out")).count() == shape["fix_stats"]["filter_stats"]["rows_after_filter"] == 1
+    assert set(os.listdir(shared)) == before  # a run leaves none of its tables behind
     assert run_cli(spark, capsys, str(tmp_path / "warning"), "--fix", "--fix-output", "/elsewhere")[0] == 3
     code, _, err = run_cli(spark, capsys, str(tmp_path / "nothing"))
     assert code == 3 and json.loads(err)["error"].startswith("Failed to load dataset")
