@@ -56,10 +56,16 @@ def detect(text: str) -> tuple[str | None, float]:
 
 
 def predict(text: Column) -> Column:
-    """Column struct<lang, score>; null text has a null language."""
+    """Column struct<lang, score>; null text has a null language, and so has one that the detector fails on."""
+
+    def told(text: str | None) -> tuple[str | None, float]:
+        try:
+            return detect(text) if text else (None, 0.0)
+        except Exception:  # noqa: BLE001  one bad row leaves the others alone
+            return None, 0.0
 
     def run(texts: pa.Array) -> pa.Array:
-        got = [detect(t) if t else (None, 0.0) for t in texts.to_pylist()]
+        got = [told(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())],
             names=["lang", "score"],

@@ -271,12 +271,29 @@ def _guarded(text: Column, may_change: Column, function) -> Column:  # noqa: ANN
     return F.coalesce(_each(function)(F.when(may_change, text)), text)
 
 
+#: What a text must have for repair to change it.
+_MAY_CHANGE = r"[^\x09\x0A\x20-\x7E]|&"
+
+
 def fix_mojibake(text: Column) -> Column:
-    return _guarded(text, text.rlike(r"[^\x09\x0A\x20-\x7E]|&"), fix_text)
+    return _guarded(text, text.rlike(_MAY_CHANGE), fix_text)
+
+
+def _or_same(function):  # noqa: ANN001, ANN202
+    """The function, with the text itself where it fails: such a row is passed over, and leaves the others alone."""
+
+    def run(text: str) -> str:
+        try:
+            return function(text)
+        except Exception:  # noqa: BLE001
+            return text
+
+    return run
 
 
 def has_mojibake(text: Column) -> Column:
-    return F.coalesce(fix_mojibake(text) != text, F.lit(False))
+    """Whether repair would change a text; never null, and false where repair fails."""
+    return F.coalesce(_guarded(text, text.rlike(_MAY_CHANGE), _or_same(fix_text)) != text, F.lit(False))
 
 
 def strip_html(text: Column) -> Column:

@@ -79,3 +79,17 @@ def test_long_texts_are_quick():
     assert repair.fix_text("Ã" * 300_000) == "Ã" * 300_000
     assert repair.fix_text("é" * 300_000) == "é" * 300_000
     assert time.time() - began < 60
+
+
+def test_a_row_on_which_repair_fails_is_passed_over(spark):
+    from pyspark.sql import functions as F
+
+    def picky(text):
+        if "bad" in text:
+            raise ValueError(text)
+        return text.upper()
+
+    assert repair._or_same(picky)("bad é") == "bad é" and repair._or_same(picky)("é") == "É"
+    df = spark.createDataFrame([("bad é",), ("é",), (None,)], "text string")
+    got = df.select(repair._guarded(F.col("text"), F.col("text").rlike("é"), repair._or_same(picky)).alias("t")).collect()
+    assert [r.t for r in got] == ["bad é", "É", None]
