@@ -192,6 +192,14 @@ def test_fix_keeps_the_first(spark):
     assert f["total_rows_removed"] <= sum(v for k, v in f.items() if k not in ("total_rows_removed", "rows_after_filter"))
 
 
+def test_fix_leaves_sound_texts_alone(spark):
+    """Repeated capitals with accents are no damage, in the fix pipeline either."""
+    texts = ["Licence publique, version trois.\n" + "Èèç " * 25 + "Èeux", "QUE!! ÈÉÇ!! UN.!! ÈÈQUE!! ÈÉÇ,!! ET!! DE!! ÈÉÇ!! QUEEAUTION"]
+    fixed, stats, after = fix_table(table(spark, texts), "text", CheckerConfig(skip_checkers=["token_length"]), "row_id")
+    assert [r.text for r in fixed.orderBy("row_id").collect()] == texts and stats["total_fixed"] == 0
+    assert after.outcome.stats["mojibake"]["mojibake_count"] == 0
+
+
 def test_near_duplicate_policies(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     df = table(spark, [a, a + " end", b, b + " end", b + " end"])
