@@ -11,7 +11,10 @@ Plan.
 1. Each task makes one byte trie of terms for each language; a leaf holds the
    number of documents and a counter for each source.  A trie is laid out in
    preorder and written as pieces: runs of leaves in UTF-8 order.
-2. Cuts at equal numbers of leaves make prefix ranges of a language.  Pieces are
+2. Cuts at about equal numbers of leaves make prefix ranges of a language.  Each
+   piece marks every ``MARK``-th of its leaves, from a place that differs by piece,
+   so cuts lie within pieces and a range holds no more leaves when there are more
+   pieces; that many tries begin alike plays no part.  Pieces are
    cut there, and each range is merged into one trie as its pieces stream in, so
    a language or a term of any frequency is split or folded, never gathered.
    Leaves of too few documents fall away.  The cuts sent to the tasks are at most
@@ -42,6 +45,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +64,8 @@ RANGE = 1 << 18
 CUTS = 1 << 14
 HELD = 500_000
 SLICE = 1 << 20
+#: Leaves for each mark of a piece.
+MARK = 4096
 #: Numbers that a numpy step works on at once.
 STEP = 1 << 20
 
@@ -169,6 +175,8 @@ _ARROW = {
     "shared": pa.list_(pa.int32()), "rest": pa.list_(pa.binary()), "docs": pa.list_(pa.int64()), "width": pa.list_(pa.int32()),
     "names": pa.list_(pa.string()), "source": pa.list_(pa.int32()), "count": pa.list_(pa.int64()), "sums": pa.list_(pa.int64()),
 }
+#: What a task writes: pieces, and some of their terms, each for so many leaves.
+COUNTED_TYPE = PIECE_TYPE + ", marks array<binary>"
 #: Bytes that a leaf may share with the one before.
 SHARED = 32
 
@@ -194,6 +202,12 @@ def pack(lang: str, at: int, trie: RadixTrie) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([row[c]], type=t) for c, t in _ARROW.items()], names=list(_ARROW))
 
 
+def marks(trie: RadixTrie, every: int) -> list[bytes]:
+    """Every so many terms, from a place that differs by trie: how often terms are marked tells how many leaves lie between."""
+    told = f"{len(trie)} {int(trie.count.sum())}".encode()
+    return trie.terms[crc32(trie.terms[0] + b"\0" + trie.terms[-1] + told) % every :: every]
+
+
 def terms_of(row: dict) -> list[bytes]:
     """The terms of a packed trie."""
     out, before = [], b""
@@ -218,15 +232,15 @@ def unpack(row: dict) -> RadixTrie:
     return RadixTrie(terms_of(row), row["docs"], row["width"], row["names"], row["source"], row["count"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], piece: int, held: int) -> Iterator[pa.RecordBatch]:
-    """A task's tries, one for each language, as pieces; written whenever they have more than ``held`` counters."""
+def _count(batches: Iterator[pa.RecordBatch], piece: int, held: int, every: int) -> Iterator[pa.RecordBatch]:
+    """A task's tries, one for each language, as pieces with marks; written whenever they have more than ``held`` counters."""
     counts: dict[str, dict[str, Counter]] = {}
     docs: dict[str, Counter] = {}
 
     def write() -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
             for part in RadixTrie.of_counts(own, docs[lang]).pieces(piece):
-                yield pack(lang, 0, part)
+                yield pack(lang, 0, part).append_column("marks", pa.array([marks(part, every)], type=pa.list_(pa.binary())))
         counts.clear()
         docs.clear()
 
@@ -391,14 +405,14 @@ def _score(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBat
                 )
 
 
-def _cuts(pieces: DataFrame, size: int, most: int) -> dict[str, list[bytes]]:
+def _cuts(pieces: DataFrame, size: int, most: int, every: int) -> dict[str, list[bytes]]:
     """Where each language's ranges begin, but for the first: about equal numbers of leaves, at most ``most`` cuts in all."""
     total = pieces.agg(F.sum("n")).first()[0] or 0
     size = max(size, -(-total // most))
-    before = F.sum("n").over(Window.partitionBy("lang").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
-    group = F.floor(F.coalesce(before, F.lit(0)) / size)
-    ends = pieces.select("lang", "first", "last", "n").withColumn("group", group)
-    begins = ends.where("group > 0").groupBy("lang", "group").agg(F.min("first").alias("first"))
+    marked = pieces.select("lang", F.explode("marks").alias("first")).groupBy("lang", "first").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    group = F.floor(F.coalesce(before, F.lit(0)) * every / size)
+    begins = marked.withColumn("group", group).where("group > 0").groupBy("lang", "group").agg(F.min("first").alias("first"))
     out: dict[str, list[bytes]] = {}
     for r in begins.orderBy("lang", "first").collect():
         own = out.setdefault(r["lang"], [])
@@ -410,8 +424,10 @@ def _cuts(pieces: DataFrame, size: int, most: int) -> dict[str, list[bytes]]:
 def merged_terms(rows: DataFrame, least: int = LEAST_DOCS, piece: int = PIECE, size: int = RANGE, held: int = HELD) -> DataFrame:
     """Kept terms of a table (text, lang, source) without nulls, as pieces."""
     counted = rows.select(F.col("text").cast("binary"), "lang", "source")
-    pieces = materialise(counted.mapInArrow(lambda it: _count(it, piece, held), PIECE_TYPE), "tries")
-    cuts = _cuts(pieces, size, CUTS)
+    every = max(1, min(MARK, size // 64))
+    pieces = materialise(counted.mapInArrow(lambda it: _count(it, piece, held, every), COUNTED_TYPE), "tries")
+    cuts = _cuts(pieces, size, CUTS, every)
+    pieces = pieces.drop("marks")
     ranged = pieces.mapInArrow(lambda it: _cut(it, cuts), PIECE_TYPE) if cuts else pieces
     dealt = ranged.repartition("lang", "range").sortWithinPartitions("lang", "range")
     return materialise(dealt.mapInArrow(lambda it: _merge(it, piece, least, size), PIECE_TYPE), "merged")

@@ -112,6 +112,28 @@ def test_audit_against_brute_force(spark):
     assert dv.audit(df.limit(0)).count() == 0
 
 
+def test_ranges_do_not_grow_with_the_number_of_tries(spark):
+    """Tries that all begin and end alike, one piece each: cuts lie within them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    rows = [("aaaaa zzzzz " + " ".join(rng.sample(vocab, 400)), "en", "s") for _ in range(48)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(48)
+    size, every = 640, 10
+    pieces = df.select(F.col("text").cast("binary"), "lang", "source").mapInArrow(lambda it: dv._count(it, 10_000, 10_000, every), dv.COUNTED_TYPE)
+    pieces = pieces.persist()
+    cuts = dv._cuts(pieces, size, 1000, every)
+    ranged = pieces.drop("marks").mapInArrow(lambda it: dv._cut(it, cuts), dv.PIECE_TYPE)
+    leaves = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    total = sum(leaves.values())
+    assert total == pieces.agg(F.sum("n")).first()[0] > 15_000
+    assert len(leaves) > 20 and max(leaves.values()) < 2 * size
+    # No cut where all fits one range.
+    assert dv._cuts(pieces, 10**6, 1000, every) == {}
+    pieces.unpersist()
+
+
 def test_pair_sums_by_blocks_of_sources():
     rng = np.random.default_rng(4)
     dense = rng.integers(0, 4, (30, 9)) * rng.integers(0, 2, (30, 9))
