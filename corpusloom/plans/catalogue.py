@@ -221,7 +221,9 @@ def near_dup_keep_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate rows that go when the least of each cluster stays."""
     rows, check = _rows(spark, d), NearDuplicateChecker()
     config = replace(CheckerConfig(), near_dup_keep="per_cluster")
-    removed = RowFilter(config).removals(materialise(annotate(rows, [check]), "annotated"), check.candidates(rows))
+    shared = check.shared(rows)  # signatures are made once, for the flags and for the links
+    annotated = materialise(annotate(rows, [check], {check.name: shared}), "annotated")
+    removed = RowFilter(config).removals(annotated, check.links(shared))
     return removed.where("near_duplicate").select(F.col("row_id").alias("doc_id"))
 
 
