@@ -315,7 +315,8 @@ def row_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions of a shuffled and joined table: dense, none lost or given twice."""
     ship_package(spark)
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    moved = docs.join(docs.groupBy("lang").agg(F.count("*").alias("of_lang")), "lang").repartition("doc_id")
+    langs = docs.groupBy("lang").agg(F.count("*").alias("of_lang"))  # one short row for each language
+    moved = docs.join(F.broadcast(langs), "lang").repartition("doc_id")  # no language's texts go to one task
     placed = with_row_id(moved)
     return placed.agg(
         F.count("*").alias("total_rows"), F.count_distinct("row_id").alias("positions"), F.min("row_id").alias("least"),

@@ -97,3 +97,19 @@ def test_many_matches_in_one_text_are_linear(spark):
     texts = {1: text, 4: "at 10.0.0.1 and 123-45-6789"}
     assert all(texts[r.row_id][r.start : r.end] == r.value for r in got)
     assert [(r.pii_type, r.value) for r in got if r.row_id == 4] == [("ssn", "123-45-6789"), ("ip_address", "10.0.0.1")]
+
+
+def test_no_task_takes_all_texts_of_a_language(spark):
+    """Counts of languages are broadcast: texts are never dealt by language."""
+    from corpusloom.plans import catalogue
+
+    seen = []
+    own = catalogue.with_row_id
+    catalogue.with_row_id = lambda df: seen.append(df) or own(df)
+    try:
+        row = catalogue.row_positions(spark, "/root/testdata/sf0.001").first()
+    finally:
+        catalogue.with_row_id = own
+    assert row["total_rows"] == row["positions"] == row["documents"] and row["least"] == 0
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
