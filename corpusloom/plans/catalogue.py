@@ -191,8 +191,9 @@ def exact_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    runs = T.shingles(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(runs).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(runs), "|").cast("binary")).alias("digest"))
+    runs = _docs(spark, d).select("doc_id", T.shingles(F.col("text")).alias("runs"))  # made once
+    # sort_array compares strings themselves; array_sort calls a function for each two.
+    return runs.select("doc_id", F.size("runs").cast("long").alias("n"), F.md5(F.array_join(F.sort_array("runs"), "|").cast("binary")).alias("digest"))
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
