@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,46 @@ def band_shape(threshold: float, num_perm: int) -> tuple[int, int]:
 def word_runs(text: str, k: int = 5) -> set[str]:
     """Distinct runs of ``k`` lower-case words; a shorter text is one run."""
     words = text.lower().split()
-    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    if len(words) <= k:
+        return {" ".join(words)} if words else set()
+    return set(map(" ".join, zip(*(words[i:] for i in range(k)))))
 
 
-def _modulo(x: np.ndarray) -> np.ndarray:
-    """x modulo ``PRIME`` for x from 0 to below 2**60; the prime is one below a power of two, so no division."""
-    x = (x & PRIME) + (x >> 31)
-    return x - PRIME * (x >= PRIME)
+def run_hashes(text: str, k: int = 5) -> np.ndarray:
+    """h of each run of ``word_runs``, equal ones as often as they occur: they change no least value."""
+    words = " ".join(text.lower().split()).encode()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    ends = list(accumulate(len(w) + 1 for w in words.split(b" ")))
+    digest = hashlib.md5
+    raw = b"".join([digest(words[a : b - 1]).digest() for a, b in zip([0, *ends], ends[k - 1 :] or ends[-1:])])
+    return (np.frombuffer(raw, dtype=">u4")[::4] >> 4).astype(np.int64)  # seven hex digits
+
+
+#: Word runs whose values are made together, so that they stay in a core's cache.
+_STEP = 256
+
+
+def _least(h: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The least of (a * h + c) modulo ``PRIME`` over h below 2**28, for each a and c below ``PRIME``.
+
+    The prime is one below a power of two, so there is no division: the upper and
+    the lower bits add up to less than twice the prime.
+    """
+    least = np.full(len(a), PRIME, dtype=np.uint32)
+    x = np.empty((len(a), min(len(h), _STEP)), dtype=np.int64)
+    for at in range(0, len(h), _STEP):  # bounded memory for long texts
+        part = h[at : at + _STEP]
+        now = x[:, : len(part)]
+        np.multiply(a, part, out=now)
+        now += c
+        high = now >> 31
+        now &= PRIME
+        now += high
+        low = now.astype(np.uint32)
+        np.minimum(low, low - np.uint32(PRIME), out=low)  # what is below the prime wraps around to more
+        np.minimum(least, low.min(axis=1), out=least)
+    return least.astype(np.int64)
 
 
 def signature(text: Column, num_perm: int) -> Column:
@@ -59,19 +93,10 @@ def signature(text: Column, num_perm: int) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         a, c = (np.array(x, dtype=np.int64)[:, None] for x in family(num_perm))
-        digest = hashlib.md5
         out = []
         for text in texts.to_pylist():
-            runs = word_runs(text) if text else ()
-            if not runs:
-                out.append([])
-                continue
-            raw = b"".join([digest(x.encode()).digest()[:4] for x in runs])
-            h = (np.frombuffer(raw, dtype=">u4") >> 4).astype(np.int64)  # seven hex digits
-            least = np.full(num_perm, PRIME, dtype=np.int64)
-            for at in range(0, len(h), 1024):  # bounded memory for long texts
-                np.minimum(least, _modulo(a * h[at : at + 1024] + c).min(axis=1), out=least)
-            out.append(least)
+            h = run_hashes(text or "")
+            out.append(_least(h, a, c) if len(h) else [])
         return pa.array(out, type=pa.list_(pa.int64()))
 
     return F.arrow_udf(run, "array<bigint>").asNondeterministic()(text)

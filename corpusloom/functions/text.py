@@ -17,8 +17,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, P.STRIP, "")
 
 
+def is_blank(text: Column) -> Column:
+    """Whether a text is white space alone; told at the first other character."""
+    return ~text.rlike(f"[^{P.SPACE}]")
+
+
 def is_missing(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(is_blank(text), F.lit(True))
 
 
 def count_html_tags(text: Column) -> Column:
@@ -33,19 +38,21 @@ def has_excessive_whitespace(text: Column) -> Column:
     return text.rlike(P.LONG_BLANKS) | text.rlike(P.LONG_BREAKS)
 
 
-def _density(text: Column, pattern: str) -> Column:
+def _density(text: Column, pattern: str, needed: tuple[str, ...]) -> Column:
+    """Share of characters that belong to matches; each match holds one of the ``needed`` strings."""
     n = F.length(text)
-    return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.regexp_replace(text, pattern, ""))) / n)
+    none = reduce(Column.__and__, [~F.contains(text, F.lit(x)) for x in needed])
+    return F.when((n == 0) | none, F.lit(0.0)).otherwise((n - F.length(F.regexp_replace(text, pattern, ""))) / n)
 
 
 def url_density(text: Column) -> Column:
     """Share of a text's characters that belong to URLs."""
-    return _density(text, P.URL)
+    return _density(text, P.URL, ("://", "www."))
 
 
 def email_density(text: Column) -> Column:
     """Share of a text's characters that belong to e-mail addresses."""
-    return _density(text, P.EMAIL)
+    return _density(text, P.EMAIL, ("@",))
 
 
 def sha256_hash(text: Column) -> Column:

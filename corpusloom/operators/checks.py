@@ -32,7 +32,7 @@ class MissingFieldChecker(BaseChecker):
     name = "missing_field"
 
     def measures(self, text: Column) -> dict[str, Column]:
-        return {"missing": F.coalesce(T.strip(text) == "", ~F.col("present"))}
+        return {"missing": F.coalesce(T.is_blank(text), ~F.col("present"))}
 
     def findings(self, text_field: str) -> list[Finding]:
         return [Finding("missing", ERROR, f"Found {{n}} rows with missing/empty '{text_field}'")]

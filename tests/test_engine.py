@@ -1,10 +1,13 @@
 """Checks, cleaner, row filter, reports and command line on small tables."""
 
+import hashlib
 import io
 import json
 import os
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +203,50 @@ def test_fix_leaves_sound_texts_alone(spark):
     assert after.outcome.stats["mojibake"]["mojibake_count"] == 0
 
 
+def test_signatures_against_whole_numbers():
+    """The least values by numpy are those by Python's integers, for short, repeated and long texts."""
+    rng = random.Random(8)
+    texts = ["", " \u3000\n", "One", "É\u00a0é  straße 日本", "a b c d e", "a b c d e F", "x " * 700, " ".join(f"w{rng.randrange(90)}ß" for _ in range(600))]
+    a, c = minhash.family(128)
+    for text in texts:
+        want = sorted(int(hashlib.md5(r.encode()).hexdigest()[:7], 16) for r in minhash.word_runs(text))
+        h = minhash.run_hashes(text)
+        assert sorted(set(h.tolist())) == sorted(set(want))
+        if want:
+            got = minhash._least(h, np.array(a)[:, None], np.array(c)[:, None])
+            assert got.tolist() == [min((x * v + y) % minhash.PRIME for v in want) for x, y in zip(a, c)]
+
+
+def test_quick_tests_change_no_measure(spark):
+    """Blank texts and densities, by tests that come before the expressions."""
+    texts = ["", " \u3000\x1f\n", "\n.", "see www.a.b now", "see http://a.b/c?d", "no http here", "HTTPS://x", "a@b.co", "a @ b", None, "x" * 9]
+    df = table(spark, texts)
+    t = F.col("text")
+    n = F.length(t)
+    plain = [F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.regexp_replace(t, p, ""))) / n) for p in (patterns.URL, patterns.EMAIL)]
+    got = df.select((T.strip(t) == "").alias("a"), *[x.alias(f"p{i}") for i, x in enumerate(plain)], T.is_blank(t).alias("b"),
+                    T.url_density(t).alias("u"), T.email_density(t).alias("e")).collect()
+    assert [(r.a, r.p0, r.p1) for r in got] == [(r.b, r.u, r.e) for r in got] and {r.b for r in got} == {True, False, None}
+    assert patterns.STRIP not in str(T.is_missing(t))
+
+
+def test_clusters_sign_texts_once(spark, monkeypatch):
+    from corpusloom.plans import catalogue
+
+    asked = []
+    own = minhash.signature
+    monkeypatch.setattr(minhash, "signature", lambda *a: asked.append(a) or own(*a))
+    catalogue.near_dup_keep_clusters(spark, "/root/testdata/sf0.001").count()
+    assert len(asked) == 1
+
+
+def test_shingles_are_sorted_without_a_function(spark):
+    from corpusloom.plans import catalogue
+
+    plan = catalogue.shingle_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan and plan.count("split(") == 1
+
+
 def test_near_duplicate_policies(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     df = table(spark, [a, a + " end", b, b + " end", b + " end"])
