@@ -79,6 +79,19 @@ def test_accented_capitals_in_a_row_stay():
     assert repair.fix_text(garble(told[:-4], "mac-roman") + " Èèç") == told[:-3] + "鏍"
 
 
+def test_words_after_an_ampersand_stay(spark):
+    """A word that begins as a reference's name is none; else ``<a. b`` would go as a tag, with all that follows."""
+    from corpusloom.operators.cleaner import TextCleaner
+
+    texts = ["adoez&&&lta. b", "iellción&&paraciónosírr es", "Stäö&gtz", "a&lta; b", "Q&Amar", "R&D & co", "&"]
+    assert [repair.fix_text(t) for t in texts] == texts == [repair.strip_markup(t) for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    cleaned, stats = TextCleaner().fix_dataset(df)
+    assert sorted(r.text for r in cleaned.collect()) == sorted(texts) and stats["total_fixed"] == 0
+    assert repair.fix_text("a &lt; b &amp;&#233;&eacute; &copy") == "a < b &éé &copy"
+    assert repair.strip_markup("<p>a &lt; b &amp &copy=&#233;&eacute;</p>") == "a < b & ©=éé"
+
+
 def test_garbled_beside_clean():
     assert repair.fix_text("Käse und KÃ¤se, naïve und naÃ¯ve") == "Käse und Käse, naïve und naïve"
     mixed = "Größe " + garble("Straße", "latin-1") + " und " + garble(garble("Füße", "cp1252"), "cp1252")
