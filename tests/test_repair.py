@@ -83,7 +83,7 @@ def test_words_after_an_ampersand_stay(spark):
     """A word that begins as a reference's name is none; else ``<a. b`` would go as a tag, with all that follows."""
     from corpusloom.operators.cleaner import TextCleaner
 
-    texts = ["adoez&&&lta. b", "iellción&&paraciónosírr es", "Stäö&gtz", "a&lta; b", "Q&Amar", "R&D & co", "&"]
+    texts = ["adoez&&&lta. b", "iellción&&paraciónosírr es", "ie&&paraññieque", "Stäö&gtz", "a&lta; b", "Q&Amar", "R&D & co", "&"]
     assert [repair.fix_text(t) for t in texts] == texts == [repair.strip_markup(t) for t in texts]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     cleaned, stats = TextCleaner().fix_dataset(df)
