@@ -24,6 +24,11 @@ else is removed.  Strings are judged on the input; matches never cross texts.
    is linear in its contexts.
 5. Cutting.  Covered ranges go back to the texts, and are cut out.
 
+Passages.  On request (``words``) every word in a run of 50 words that starts
+again elsewhere goes too, with the white space between two such words, however
+few bytes the run has and whatever white space parts it.  Steps 1 to 4 then run a second time, on texts in which each word is its
+digest of eight bytes, so that 400 bytes are 50 words.
+
 Shortcuts by digest, all of equal strings only: texts equal as wholes are
 compared once; equal contexts are one, repeated as a whole; an anchor with one
 distinct context has nothing to sort.  Everything else is decided by suffix
@@ -43,7 +48,8 @@ through is dropped.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -64,6 +70,10 @@ MERGE_SHARDS = 6
 GRIDS = (42, 6, 1)
 #: Windows looked at together; texts of any length are taken in such steps.
 STEP = 1 << 19
+#: Bytes of a word's digest: a window of ``SPAN`` bytes is a passage of 50 words.
+WORD_BYTES = 8
+PASSAGE = SPAN // WORD_BYTES
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Digests that a task remembers to give equal strings once; others are given again.
 KNOWN = 200_000
 
@@ -105,15 +115,31 @@ def _anchors(data: bytes, span: int, size: int, offset: int) -> tuple[np.ndarray
     return grams[at[first]], first + offset, last + offset, at[first] + offset
 
 
-def _texts_of(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
-    """The texts of a batch as bytes, one at a time."""
-    return (x.as_py() for x in batch.column(column).cast(pa.binary()))
+class WordDigests(dict):
+    """Digests of words; so many are remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=WORD_BYTES).digest()
+        if len(self) < KNOWN:
+            self[word] = digest
+        return digest
+
+    def of(self, data: bytes) -> bytes:
+        """A text's words as digests; bytes split at the white space that ``_WORD`` leaves out."""
+        return b"".join([self[w] for w in data.split()])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts_of(batch: pa.RecordBatch, column: int, digests: WordDigests | None = None) -> Iterator[bytes]:
+    """The texts of a batch as bytes, or as their words' digests, one at a time."""
+    texts = (x.as_py() for x in batch.column(column).cast(pa.binary()))
+    return texts if digests is None else map(digests.of, texts)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], words: bool = False) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
+    digests = WordDigests() if words else None
     for batch in batches:
-        for v, data in zip(batch.column(0).to_pylist(), _texts_of(batch, 1)):
+        for v, data in zip(batch.column(0).to_pylist(), _texts_of(batch, 1, digests)):
             key = bytes.fromhex(v)
             if len(data) < SPAN or key in seen:  # a copy: its windows are known
                 continue
@@ -158,12 +184,13 @@ def _context_batches(pieces: Iterator[tuple[int, int, bytes, bytes, int]]) -> It
     give_back()
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _context_rows(batches: Iterator[pa.RecordBatch], words: bool = False) -> Iterator[pa.RecordBatch]:
     """Contexts of the anchors of texts (v, text, places)."""
 
     def pieces() -> Iterator[tuple[int, int, bytes, bytes, int]]:
+        digests = WordDigests() if words else None
         for batch in batches:
-            for v, data, places in zip(batch.column(0).to_pylist(), _texts_of(batch, 1), batch.column(2)):
+            for v, data, places in zip(batch.column(0).to_pylist(), _texts_of(batch, 1, digests), batch.column(2)):
                 owner = bytes.fromhex(v)
                 for p in places.as_py():
                     yield p["anchor"], p["at"] - p["first"], data[p["first"] : p["last"] + SPAN], owner, p["first"]
@@ -444,14 +471,19 @@ def _placed(contexts: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(
-    texts: DataFrame, shard_bytes: int = SHARD_BYTES, merge_shards: int = MERGE_SHARDS, grids: tuple[int, ...] = GRIDS
+    texts: DataFrame,
+    shard_bytes: int = SHARD_BYTES,
+    merge_shards: int = MERGE_SHARDS,
+    grids: tuple[int, ...] = GRIDS,
+    words: bool = False,
 ) -> DataFrame:
     """(v, ranges) of the texts of a table (v, id, text) of which v is the hash; copies of a text once.
 
-    Ranges may overlap.  Only texts with repeated ranges have a row.
+    Ranges may overlap.  Only texts with repeated ranges have a row.  With
+    ``words`` they are ranges of the words' digests.
     """
     places = texts.select("v", "text").mapInArrow(
-        _anchor_rows, "v string, anchor long, first long, last long, at long, occurrence long"
+        lambda it: _anchor_rows(it, words), "v string, anchor long, first long, last long, at long, occurrence long"
     )
     places = materialise(places, "anchors")
     again = (
@@ -467,7 +499,7 @@ def repeated_ranges(
     first_id = texts.groupBy("v").agg(F.min("id").alias("id"))
     wanted = kept.join(first_id, "v")
     carried = texts.select("v", "id", "text").join(wanted, ["v", "id"]).select("v", "text", "places")
-    contexts = materialise(carried.mapInArrow(_context_rows, _CONTEXT_TYPE), "contexts")
+    contexts = materialise(carried.mapInArrow(lambda it: _context_rows(it, words), _CONTEXT_TYPE), "contexts")
     found = _placed(contexts, _sorted_ranges(contexts, shard_bytes, merge_shards, grids))
     return found.select(F.lower(F.hex("owner")).alias("v"), "ranges")
 
@@ -482,9 +514,26 @@ def _merged(ranges: list[dict]) -> list[list[int]]:
     return out
 
 
+def _passages(data: bytes, coded: list[dict]) -> list[dict]:
+    """Byte ranges of a text from ranges of its words' digests."""
+    words = [m.span() for m in _WORD.finditer(data)]
+    runs = ((-(-a // WORD_BYTES), b // WORD_BYTES) for a, b in _merged(coded))  # whole words
+    return [{"start": words[i][0], "end": words[j - 1][1]} for i, j in runs if i < j]
+
+
 def _cut_batch(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    return _cut(zip((x.as_py() for x in texts.cast(pa.binary())), ranges.to_pylist()))
+
+
+def _cut_passages(texts: pa.Array, ranges: pa.Array, coded: pa.Array) -> pa.Array:
+    data = [x.as_py() for x in texts.cast(pa.binary())]
+    both = zip(data, ranges.to_pylist(), coded.to_pylist())
+    return _cut((d, (found or []) + (_passages(d, more) if more else [])) for d, found, more in both)
+
+
+def _cut(rows: Iterable[tuple[bytes, list[dict] | None]]) -> pa.Array:
     kept, removed, spans = [], [], []
-    for data, found in zip((x.as_py() for x in texts.cast(pa.binary())), ranges.to_pylist()):
+    for data, found in rows:
         runs = _merged(found) if found else []
         at, parts = 0, []
         for a, b in runs:
@@ -501,34 +550,47 @@ def _cut_batch(texts: pa.Array, ranges: pa.Array) -> pa.Array:
 
 
 def cut_repeats(
-    df: DataFrame, result: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int | None = None, **shards
+    df: DataFrame,
+    result: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_bytes: int | None = None,
+    words: bool = False,
+    **shards,
 ) -> DataFrame:
-    """``df`` with a column ``result``: struct<kept binary, n_removed, n_spans>."""
+    """``df`` with a column ``result``: struct<kept binary, n_removed, n_spans>; ``words``: without repeated passages too."""
     ship_package(df.sparkSession)
-    v, i, r = (fresh_name(df, x) for x in ("v", "id", "ranges"))
+    v, i, r, c = (fresh_name(df, x) for x in ("v", "id", "ranges", "coded"))
     text = text_of(df, text_col)
     keyed = df.withColumns({v: F.md5(text.cast("binary")), i: F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63)))})
     texts = keyed.select(F.col(v).alias("v"), F.col(i).alias("id"), text_of(keyed, text_col).alias("text"))
     ranges = materialise(repeated_ranges(texts, shard_bytes or SHARD_BYTES, **shards), "ranges")
-    rows = texts.select("v", "id", F.octet_length("text").cast("long").alias("n"))
-    copies = rows.groupBy("v").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
-    # A text of 400 bytes or more that occurs again as a whole goes as a whole.
-    gone = copies.where((F.col("copies") > 1) & (F.col("n") >= SPAN)).select(
+    long = F.octet_length("text") >= SPAN
+    if words:
+        coded = repeated_ranges(texts, shard_bytes or SHARD_BYTES, words=True, **shards)
+        coded = materialise(coded.withColumnRenamed("ranges", "coded"), "coded")
+        ranges = ranges.join(coded, "v", "full")
+        long |= F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= PASSAGE
+    found = {"ranges": r, "coded": c} if words else {"ranges": r}
+    rows = texts.select("v", "id", F.octet_length("text").cast("long").alias("n"), long.alias("long"))
+    copies = rows.groupBy("v").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("long").alias("long"))
+    # A text of 400 bytes (or a passage) or more that occurs again as a whole goes as a whole.
+    gone = copies.where((F.col("copies") > 1) & F.col("long")).select(
         "v", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("all")
     )
-    of_text = ranges.join(gone, "v", "full").select("v", F.coalesce("all", "ranges").alias("ranges"))
+    of_text = ranges.join(gone, "v", "full").withColumn("ranges", F.coalesce("all", "ranges")).select("v", *found)
     # By text and id, so that the rows of one text don't meet in one task.
     of_row = rows.select("v", "id").join(of_text, "v").dropDuplicates(["v", "id"])
-    of_row = of_row.select(F.col("v").alias(v), F.col("id").alias(i), F.col("ranges").alias(r))
+    of_row = of_row.select(F.col("v").alias(v), F.col("id").alias(i), *[F.col(x).alias(y) for x, y in found.items()])
     joined = keyed.join(of_row, [v, i], "left")
-    cut = F.arrow_udf(_cut_batch, "struct<kept:binary,n_removed:bigint,n_spans:bigint>")
-    return joined.withColumn(result, cut(text_of(joined, text_col), F.col(r))).select(*df.columns, result)
+    cut = F.arrow_udf(_cut_passages if words else _cut_batch, "struct<kept:binary,n_removed:bigint,n_spans:bigint>")
+    return joined.withColumn(result, cut(text_of(joined, text_col), *map(F.col, found.values()))).select(*df.columns, result)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``df``, repeated strings cut out of the text; null stays null."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
+    """All rows and columns of ``df``, repeated strings (``words``: and passages) cut out of the text; null stays null."""
     name = fresh_name(df, "cut")
-    out = cut_repeats(df, name, id_col, text_col)
+    out = cut_repeats(df, name, id_col, text_col, words=words)
 
     def decoded(kept: pa.Array) -> pa.Array:
         return pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], type=pa.string())

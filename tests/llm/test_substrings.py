@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -166,3 +167,53 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, "x" + long[700_000:701_000] + "y")], "doc_id long, text string")
     got = {r.doc_id: (r.cut.n_removed, r.cut.n_spans) for r in ss.cut_repeats(df, "cut").collect()}
     assert got == {1: (1000, 1), 2: (1000, 1)}
+
+
+def brute_passages(texts, span=400, words=50):
+    """(n_removed, n_spans, sha256) once equal strings and the words of equal runs are gone."""
+    data = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    runs = [[tuple(d[a:b] for a, b in w[i : i + words]) for i in range(len(w) - words + 1)] for d, w in zip(data, at)]
+    strings = Counter(d[i : i + span] for d in data for i in range(len(d) - span + 1))
+    passages = Counter(r for of in runs for r in of)
+    out = []
+    for d, w, of in zip(data, at, runs):
+        ranges = [(i, i + span) for i in range(len(d) - span + 1) if strings[d[i : i + span]] > 1]
+        held = {i + k for i, r in enumerate(of) if passages[r] > 1 for k in range(words)}
+        ranges += [(w[i][0], w[i + 1 if i + 1 in held else i][1]) for i in held]  # with the white space between two
+        gone = bytearray(len(d))
+        for a, b in ranges:
+            gone[a:b] = b"\1" * (b - a)
+        kept = bytes(x for x, g in zip(d, gone) if not g)
+        out.append((sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def make_passages():
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    passages = [prose(n) for n in (49, 50, 51, 60)]
+    twice = prose(55)
+    texts = [None, "", "one", "one", "a " * 130, prose(50), f"{twice} x {twice}", "  " + "\n".join(passages[3].split()) + "\x0b"]
+    texts += [texts[5]] * 2  # a whole text of 50 words and fewer than 400 bytes
+    texts += [f"{prose(k)} {passages[k % 4]} {prose(3)}" for k in range(16)]
+    texts += [f"z{passages[1]}", "\xa0".join(passages[2].split()), prose(300), "w" * 1000]
+    return texts
+
+
+@pytest.mark.parametrize("shards", [{}, {"shard_bytes": 1500, "merge_shards": 2}])
+def test_passages_of_words(spark, shards):
+    """Passages of 50 words go with ``words``, below 400 bytes too; those of 49 stay."""
+    texts = make_passages()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.cut for r in ss.cut_repeats(df, "cut", words=True, **shards).collect()}
+    want = brute_passages(texts)
+    assert [(got[i].n_removed, got[i].n_spans, hashlib.sha256(bytes(got[i].kept)).hexdigest()) for i in range(len(texts))] == want
+    assert want[5][0] and want[11][0] and not want[10][0] and len(texts[11].encode()) < 400
+
+
+def test_passages_of_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("length(text) < 9000")
+    rows = docs.collect()
+    got = {r.doc_id: (r.cut.n_removed, r.cut.n_spans, hashlib.sha256(bytes(r.cut.kept)).hexdigest()) for r in ss.cut_repeats(docs, "cut", words=True).collect()}
+    assert got == {r.doc_id: w for r, w in zip(rows, brute_passages([r.text for r in rows]))}
