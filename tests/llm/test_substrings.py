@@ -217,3 +217,33 @@ def test_passages_of_documents(spark):
     rows = docs.collect()
     got = {r.doc_id: (r.cut.n_removed, r.cut.n_spans, hashlib.sha256(bytes(r.cut.kept)).hexdigest()) for r in ss.cut_repeats(docs, "cut", words=True).collect()}
     assert got == {r.doc_id: w for r, w in zip(rows, brute_passages([r.text for r in rows]))}
+
+
+def test_words_as_symbols():
+    """Suffix arrays over words' digests, shared places of words, and digests that agree where words do."""
+    rng = random.Random(3)
+    texts = [b"".join(rng.choice([b"a", b"b", b"word", b"eight888", b"longer than", b"\x00", b"\xc2\xa0", b" ", b"\t\n", b"z" * 130]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    told = {}
+    for d, coded in zip(texts, ss._coded(texts)):
+        assert coded.tolist() == ss.word_digests(d)[0].tolist() and len(coded) == len(d.split())
+        assert [d[a:b] for a, b in zip(*ss.word_places(np.frombuffer(d, dtype=np.uint8)))] == d.split()
+        assert all(told.setdefault(w, h) == h for w, h in zip(d.split(), coded.tolist()))
+    assert len(set(told.values())) == len(told)
+    words = [[rng.randrange(3) << 60 for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    parts = [np.array(w, dtype="<u8").tobytes() for w in words]
+    s, other = ss.SuffixShard(parts[:6], 4, 8), ss.SuffixShard(parts[6:], 4, 8)
+    windows = [[tuple(w[i : i + 4]) if i + 4 <= len(w) else None for i in range(len(w))] for w in words]
+    times = Counter(x for of in windows[:6] for x in of)
+    assert s.repeated().tolist() == [x is not None and times[x] > 1 for of in windows[:6] for x in of]
+    there = {x for of in windows[6:] for x in of} - {None}
+    assert s.found_in(other).tolist() == [x in there for of in windows[:6] for x in of]
+
+
+def test_query_tells_passages(spark):
+    """Columns beyond the contract's: what is left once passages of 50 words are gone too, short ones among them."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = ss.op2_suffix_array(spark, DATA)
+    assert got.columns[5:] == ["n_removed_words", "n_spans_words", "kept_words_sha256"]
+    got = sorted(tuple(r) for r in got.collect())
+    assert [g[:1] + g[5:] for g in got] == sorted((i, *w) for (i, _), w in zip(rows, brute_passages([t for _, t in rows])))
+    assert [g[:5] for g in got] == brute_rows(rows) and any(g[5] > g[2] for g in got)
