@@ -27,6 +27,8 @@ Plan.
    only differences are added, once for each count that a source has.
 4. Partial sums are added; candidates are ranked again.
 
+Pieces are written and read a few at a time, and texts ``READ_ROWS`` at a time, so
+the executor's JVM holds neither a file of pieces nor thousands of texts at once.
 What a task holds is bounded by the leaves of a range (``RANGE`` or a ``CUTS``-th
 of all) and by the sources of a language; the pairs of a language's sources are
 the result itself.
@@ -53,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import give_back, table
-from corpusloom.sources.session import materialise, ship_package
+from corpusloom.sources.session import long_rows, materialise, ship_package
 
 LEAST_DOCS = 3
 SHARES = 1_000_000_000
@@ -64,6 +66,9 @@ RANGE = 1 << 18
 CUTS = 1 << 14
 HELD = 500_000
 SLICE = 1 << 20
+#: Leaves of a counted piece, which is smaller, and of the pieces that are written, and later read, at once.
+COUNTED = 2048
+GROUP = 1 << 16
 #: Leaves for each mark of a piece.
 MARK = 4096
 #: Numbers that a numpy step works on at once.
@@ -425,12 +430,13 @@ def merged_terms(rows: DataFrame, least: int = LEAST_DOCS, piece: int = PIECE, s
     """Kept terms of a table (text, lang, source) without nulls, as pieces."""
     counted = rows.select(F.col("text").cast("binary"), "lang", "source")
     every = max(1, min(MARK, size // 64))
-    pieces = materialise(counted.mapInArrow(lambda it: _count(it, piece, held, every), COUNTED_TYPE), "tries")
+    small = min(piece, COUNTED)
+    pieces = materialise(counted.mapInArrow(lambda it: _count(it, small, held, every), COUNTED_TYPE), "tries", max(1, GROUP // small))
     cuts = _cuts(pieces, size, CUTS, every)
     pieces = pieces.drop("marks")
     ranged = pieces.mapInArrow(lambda it: _cut(it, cuts), PIECE_TYPE) if cuts else pieces
     dealt = ranged.repartition("lang", "range").sortWithinPartitions("lang", "range")
-    return materialise(dealt.mapInArrow(lambda it: _merge(it, piece, least, size), PIECE_TYPE), "merged")
+    return materialise(dealt.mapInArrow(lambda it: _merge(it, piece, least, size), PIECE_TYPE), "merged", max(1, GROUP // piece))
 
 
 def audit(
@@ -444,15 +450,16 @@ def audit(
         return F.coalesce(df[c].cast("string"), F.lit(""))
 
     rows = df.select(known(text_col).alias("text"), known(lang_col).alias("lang"), known(source_col).alias("source"))
-    merged = merged_terms(rows, least, piece, size, held)
-    sizes = merged.select("lang", F.explode(F.arrays_zip("names", "sums")).alias("g"))
-    sizes = sizes.groupBy("lang", F.col("g.names").alias("source")).agg(F.sum("g.sums").alias("size"))
-    kept = merged.groupBy("lang").agg(F.sum("n").alias("kept"))
-    groups = rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").fillna(0, ["size"])
-    groups = materialise(groups, "groups")
-    langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "size"))).alias("groups"))
-    langs = materialise(langs.join(kept, "lang", "left").fillna(0, ["kept"]), "langs")
-    scored = materialise(merged.join(langs, "lang").mapInArrow(lambda it: _score(it, top), _SCORE_TYPE), "scored")
+    with long_rows(df.sparkSession):
+        merged = merged_terms(rows, least, piece, size, held)
+        sizes = merged.select("lang", F.explode(F.arrays_zip("names", "sums")).alias("g"))
+        sizes = sizes.groupBy("lang", F.col("g.names").alias("source")).agg(F.sum("g.sums").alias("size"))
+        kept = merged.groupBy("lang").agg(F.sum("n").alias("kept"))
+        groups = rows.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").fillna(0, ["size"])
+        groups = materialise(groups, "groups")
+        langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "size"))).alias("groups"))
+        langs = materialise(langs.join(kept, "lang", "left").fillna(0, ["kept"]), "langs")
+        scored = materialise(merged.join(langs, "lang").mapInArrow(lambda it: _score(it, top), _SCORE_TYPE), "scored")
 
     each = groups.join(langs, "lang").select("lang", "source", "size", "kept", F.explode("groups").alias("other"))
     each = each.where(F.col("source") != F.col("other.source"))

@@ -144,3 +144,33 @@ def test_pair_sums_by_blocks_of_sources():
     want = np.array([[sum(dv.difference(p[:, a], p[:, b])) - 30 * dv.difference(zero[a], zero[b]) if a != b else 0 for b in range(9)] for a in range(9)])
     got = [dv.pair_sums(term, source, dense[term, source], whole, low, min(9, low + 4)) for low in (0, 4, 8)]
     assert (np.concatenate(got) == want).all()
+
+
+def test_executors_hold_few_pieces_and_texts_at_once(spark, monkeypatch):
+    """Row groups and reader batches were as large as a task's whole table of pieces, and 4096 texts."""
+    import pyarrow.parquet as pq
+
+    from corpusloom.sources import session
+
+    monkeypatch.setattr(dv, "COUNTED", 8)
+    monkeypatch.setattr(dv, "GROUP", 16)
+    rng, batches = random.Random(8), []
+    rows = [(" ".join(rng.choices([f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)], k=60)), "en", f"s{i % 3}") for i in range(90)]
+    write = dv.materialise
+
+    def told(df, tag, *a):
+        out = write(df, tag, *a)
+        batches.append((tag, int(spark.conf.get(session.READ_KEY)), [f.removeprefix("file://") for f in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(dv, "materialise", told)
+    before = spark.conf.get(session.READ_KEY)
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    got = sorted(tuple(r) for r in dv.audit(df, piece=8, size=64).collect())
+    assert got == brute(rows)
+    assert {tag for tag, _, _ in batches} == {"tries", "groups", "langs", "merged", "scored"}
+    assert all(n <= session.READ_ROWS for _, n, _ in batches) and spark.conf.get(session.READ_KEY) == before
+    for _, _, files in (b for b in batches if b[0] in ("tries", "merged")):
+        held = [pq.ParquetFile(f).metadata for f in files]
+        sizes = [m.row_group(i).num_rows for m in held for i in range(m.num_row_groups)]
+        assert sum(sizes) > 10 and max(sizes) <= 2
