@@ -300,9 +300,9 @@ def mojibake_repaired(spark: SparkSession, d: str) -> DataFrame:
         wrong = F.decode(F.encode(garbled, "UTF-8"), "ISO-8859-1")
         garbled = F.when(F.col("doc_id") % 3 >= turn, wrong).otherwise(garbled)
     rows = _docs(spark, d).select("doc_id", garbled.alias("garbled"))
-    return rows.select(
-        "doc_id", repair.has_mojibake(F.col("garbled")).alias("found"),
-        F.md5(repair.fix_mojibake(F.col("garbled")).cast("binary")).alias("digest"),
+    plain = rows.withColumn("plain", repair.fix_mojibake(F.col("garbled")))  # a text is repaired once, for both columns
+    return plain.select(
+        "doc_id", F.coalesce(F.col("plain") != F.col("garbled"), F.lit(False)).alias("found"), F.md5(F.col("plain").cast("binary")).alias("digest"),
     )
 
 

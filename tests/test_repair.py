@@ -118,3 +118,59 @@ def test_a_row_on_which_repair_fails_is_passed_over(spark):
     df = spark.createDataFrame([("bad é",), ("é",), (None,)], "text string")
     got = df.select(repair._guarded(F.col("text"), F.col("text").rlike("é"), repair._or_same(picky)).alias("t")).collect()
     assert [r.t for r in got] == ["bad é", "É", None]
+
+
+def every_page(runs):
+    """The search of ``ungarble`` with every page tried on every run."""
+    import heapq
+    from itertools import product
+
+    start, often = tuple(runs), list(runs.values())
+
+    def cost(old, state):
+        return sum(n * repair._reading_cost(o, r) for n, o, r in zip(often, old, state))
+
+    best, best_cost, since = start, cost(start, start), 0
+    queue, seen = [(best_cost, 0, start)], {start}
+    while queue and since < repair.PATIENCE:
+        now, _, state = heapq.heappop(queue)
+        since += 1
+        if now < best_cost - repair.LEAST_GAIN:
+            best, best_cost, since = state, now, 0
+        for page, whole in product(repair._PAGES, (True, False)):
+            new = tuple(repair._step(page, r, whole) for r in state)
+            if new not in seen:
+                seen.add(new)
+                new_cost = cost(state, new)
+                if new_cost < now - repair.LEAST_GAIN:
+                    heapq.heappush(queue, (new_cost, len(seen), new))
+    return dict(zip(start, best))
+
+
+def test_pages_are_tried_only_where_they_change_a_run(monkeypatch):
+    """Every page was tried on every run, and anew for each pair of neighbours."""
+    import random
+
+    rng, words = random.Random(4), [w for t in (*AMBIGUOUS, WORDS) for w in t.split()]
+    for _ in range(60):
+        pages = rng.choices(repair.CODE_PAGES, k=rng.randrange(1, 3))
+        runs = {}
+        for word in rng.choices(words, k=12):
+            for page in pages[: rng.randrange(3)]:
+                word = garble(word, page)
+            for m in repair._BEYOND_ASCII.finditer(word):
+                runs[word[: m.start()][-1:] or rng.choice("xQ .1"), m[0], word[m.end() :][:1]] = rng.randrange(1, 9)
+        assert repair.ungarble(runs) == every_page(runs)
+
+    steps, step = [], repair._step
+    monkeypatch.setattr(repair, "_step", lambda *a: steps.append(a) or step(*a))
+    text = " ".join(f"{a}{garble(w, 'latin-1')}{b}" for w in "éöñ" for a in "bcdfghjklm" for b in "npqrstvwxy")
+    assert repair.fix_text(text).count("é") == 100 and len(steps) < 1_000
+
+
+def test_a_text_is_repaired_once_for_both_columns(spark):
+    from corpusloom.plans import catalogue
+
+    df = catalogue.QUERIES["mojibake_repaired"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1
